@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm import mixture, mojibake, tokenize
+from docketlake.llm import mixture, mojibake, neardup, tokenize
 from docketlake.plans.session import cut, table
 
 
+def _precedent_sets(spark: SparkSession, sf_dir: str, words: int) -> DataFrame:
+    text = F.concat_ws(" ", "facts_texts", "ratio_text")  # null elements and null parts add nothing
+    return neardup.documents(table(spark, sf_dir, "precedents"), "row_no", text, words)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = neardup.Similar(_precedent_sets(spark, sf_dir, 3), 0.6).pairs()
+    return pairs.select(F.col("a").alias("row_no_a"), F.col("b").alias("row_no_b"))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every precedent row with its group and number of links, by five words and a similarity of 0.8."""
+    return neardup.Similar(_precedent_sets(spark, sf_dir, 5), 0.8).groups().withColumnRenamed("id", "row_no")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.token_ids(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -41,5 +56,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_repaired(spark, sf_dir).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_totals, p8_mixture, p8_report, p9_found, p9_repaired)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_groups, p7_ids, p7_totals, p8_mixture, p8_report, p9_found, p9_repaired)}
 SQL: dict[str, str] = {}
