@@ -12,7 +12,9 @@ from docketlake.plans.session import cut
 #: Classes of equal texts up to this size are expanded to all their pairs; larger ones to pairs with their smallest member.
 EXPAND = 50
 #: Documents of one prefix token that meet in one task; larger groups are cut into blocks of so many.
-BLOCK = 512
+BLOCK = 2048
+#: Prefix tokens that a candidate must share; the prefixes are longer by as many.
+MATCHES = 4
 
 
 def shingles(text: Column, words: int) -> Column:
@@ -48,8 +50,8 @@ class Similar:
     meet in pairs. An empty table has no members and no links.
 
     Plan: document frequencies are counted over all representatives; a token that stands in one document only can't be
-    shared and leaves. Order 1 is by frequency, rarest first: representatives that share a token of their prefix under
-    it, within the length and position bounds, are candidates. Orders 2 and 3 are by the token's hash, up and down: a
+    shared and leaves. Order 1 is by frequency, rarest first: representatives that share MATCHES tokens of their
+    prefixes under it, whose length depends on both sizes, are candidates. Orders 2 and 3 are by the token's hash, up and down: a
     candidate must share a prefix token under each of them too before its whole sets are intersected.
     """
 
@@ -62,27 +64,25 @@ class Similar:
         sets = cut(sets)
         tokens = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("t"))
         common = tokens.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
-        shared = cut(tokens.join(common, "t").select("id", "n", "t", "df"))
-        by_rarity = Window.partitionBy("id").orderBy("df", "t")
-        placed = shared.withColumn("m", F.count("*").over(Window.partitionBy("id"))).withColumn("p", F.row_number().over(by_rarity) + F.col("n") - F.col("m"))
-        prefix = placed.filter(F.col("p") <= _prefix(F.col("n"), t)).select("id", "n", "t", "p")
-        # Groups of a token are cut into blocks, so that no task holds all documents of a hot token; each pair of
-        # blocks meets once: block i of one side is sent to the pairs (i, j) with j of the other side.
-        prefix = cut(prefix)
-        sizes = prefix.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
-        prefix = prefix.join(sizes, "t").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        left = prefix.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
-        right = prefix.withColumn("other", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("block"))))
-        a = left.select("t", "block", "other", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("p").alias("px"))
-        b = right.select("t", "block", "other", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("p").alias("py"))
-        least, most = F.least("nx", "ny"), F.greatest("nx", "ny")
-        bound = F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-        near = (least >= F.lit(t) * most - 1e-9) & (bound >= _overlap(F.col("nx"), F.col("ny"), t))
-        different = F.when(F.col("block") == F.col("other"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y"))
-        pairs = cut(
-            a.join(b, ["t", "block", "other"]).filter(near & different)
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        )
+        shared = tokens.join(common, "t").select("id", "n", "t", "df")
+        doc = Window.partitionBy("id")
+        # p is the token's place among all tokens of its document: those of one document only come first.
+        placed = shared.withColumn("p", F.row_number().over(doc.orderBy("df", "t")) + F.col("n") - F.count("*").over(doc)).drop("df")
+        prefix = cut(placed.filter(F.col("p") < _prefix(F.col("n"), t) + MATCHES))
+        # The documents of a hot token are cut into blocks that meet block by block, so that no task holds them all.
+        hot = prefix.groupBy("t").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK).select("t", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+        prefix = prefix.join(hot, "t", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        own, every = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        # x is the larger of a pair: as y has at least t times its tokens, y's prefix can be the shorter one.
+        x = prefix.withColumn("i", own).withColumn("j", every).select("t", "i", "j", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("p").alias("px"))
+        short = F.col("n") - _overlap(F.col("n"), F.col("n"), t) + MATCHES
+        y = prefix.filter(F.col("p") <= short).withColumn("j", own).withColumn("i", every).select("t", "i", "j", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("p").alias("py"))
+        need = _overlap(F.col("nx"), F.col("ny"), t)
+        ordered = (F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x")))
+        near = ordered & (F.col("ny") >= F.lit(t) * F.col("nx") - 1e-9) & (F.col("px") <= F.col("nx") - need + MATCHES) & (F.col("py") <= F.col("ny") - need + MATCHES)
+        # Among the first n - need + MATCHES tokens of both, a pair that is similar shares MATCHES (or all it can have).
+        met = x.join(y, ["t", "i", "j"]).filter(near).groupBy("x", "y").agg(F.count("*").alias("c"), F.min(F.least(F.lit(MATCHES), need)).alias("least"))
+        pairs = cut(met.filter("c >= least").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
         sa = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
         sb = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
         both = pairs.join(sa, "a").join(sb, "b")
