@@ -5,10 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm import mixture, mojibake, neardup, tokenize
+from docketlake.llm import mixture, mojibake, neardup, neighbours, tokenize
 from docketlake.plans.session import cut, table
 
 
+VECTORS = (("lessons", "lesson_no"), ("vectors", "vec_id"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of cosine 0.90 or more that are among the ten most similar of either row; every row is a query."""
+    parts = []
+    for name, id in VECTORS:
+        near = neighbours.most_similar(table(spark, sf_dir, name), id, "vec", least=0.9, ef=16, gap=0.14)
+        parts.append(near.select(F.lit(name).alias("src"), F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct())
+    return parts[0].unionByName(parts[1])
+
+
+def _searched(spark: SparkSession, sf_dir: str, name: str, id: str) -> DataFrame:
+    return neighbours.most_similar(table(spark, sf_dir, name), id, "vec", asks=F.col(id) % 20 == 0)
+
+
+def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar of all rows, for every row whose id is divisible by 20."""
+    parts = [_searched(spark, sf_dir, name, id).select(F.lit(name).alias("src"), "id_a", "id_b", "similarity") for name, id in VECTORS]
+    return parts[0].unionByName(parts[1])
+
+
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of p5_nearest against brute force, per table."""
+    parts = [
+        neighbours.recall(cut(_searched(spark, sf_dir, name, id)), table(spark, sf_dir, name), id, "vec").select(F.lit(name).alias("src"), "n_queries", "recall")
+        for name, id in VECTORS
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def _precedent_sets(spark: SparkSession, sf_dir: str, words: int) -> DataFrame:
     text = F.concat_ws(" ", "facts_texts", "ratio_text")  # null elements and null parts add nothing
     return neardup.documents(table(spark, sf_dir, "precedents"), "row_no", text, words)
@@ -56,5 +87,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_repaired(spark, sf_dir).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_groups, p7_ids, p7_totals, p8_mixture, p8_report, p9_found, p9_repaired)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_nearest, p5_recall, p6_found, p6_groups, p7_ids, p7_totals, p8_mixture, p8_report, p9_found, p9_repaired)}
 SQL: dict[str, str] = {}
