@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm import mixture, mojibake, neardup, neighbours, tokenize
+from docketlake.llm import mixture, mojibake, neardup, neighbours, personal, tokenize
 from docketlake.plans.session import cut, table
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text segments that carry personal information, in rows (src, row_id, seg, text)."""
+    facts = table(spark, sf_dir, "precedents").select(F.lit("precedents").alias("src"), F.col("row_no").alias("row_id"), F.posexplode("facts_texts").alias("seg", "text"))
+    said = table(spark, sf_dir, "statutory_analysis").select(F.lit("statutory_analysis").alias("src"), F.col("analysis_id").alias("row_id"), F.lit(0).alias("seg"), F.col("interpretation").alias("text"))
+    return facts.unionByName(said)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = _segments(spark, sf_dir)
+    return personal.find(segments, personal.fitted(segments), ["src", "row_id", "seg"]).select("src", "row_id", "seg", "kind", "pii_text").distinct()
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment that has any, with typed placeholders in place of personal information."""
+    segments = _segments(spark, sf_dir)
+    return personal.redact(segments, personal.fitted(segments), ["src", "row_id", "seg"]).filter("n_found > 0").distinct()
+
+
 VECTORS = (("lessons", "lesson_no"), ("vectors", "vec_id"))
 
 
@@ -87,5 +105,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_repaired(spark, sf_dir).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_nearest, p5_recall, p6_found, p6_groups, p7_ids, p7_totals, p8_mixture, p8_report, p9_found, p9_repaired)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p5_found, p5_nearest, p5_recall, p6_found, p6_groups, p7_ids, p7_totals, p8_mixture, p8_report, p9_found, p9_repaired)}
 SQL: dict[str, str] = {}
