@@ -13,7 +13,7 @@ from docketlake.llm.hnsw import Graph
 from docketlake.plans.session import cut
 
 #: Vectors of a shard. A shard that gets twice as many is split by a hash; queries then go to each of its parts.
-SHARD = 8192
+SHARD = 16_384
 #: Queries to one part of a shard that one task answers; with more of them, copies of the part share them.
 QUERIES = 65_536
 #: Rows the shard centres are fitted on: this many a shard, and at least LEAST_SAMPLE (documented bound of the fit).
@@ -53,14 +53,11 @@ def centres(x: np.ndarray, shards: int) -> np.ndarray:
     return (means / (np.linalg.norm(means, axis=1, keepdims=True) + 1e-30)).astype(np.float32)
 
 
-def _route(at: np.ndarray, gap: float | None, counts: dict[int, int] | None, asked: dict[int, int] | None):
-    """Sends each vector to its home shard as a node (role 0), and each query to the shards it may have neighbours in.
+def _route(at: np.ndarray, gap: float | None):
+    """Gives each vector, of length one, its home shard and, if it is a query, the shards it may have neighbours in.
 
-    Without counts it only tells (shard, role) of each row sent, to count them. gap: shards whose centre is less
-    similar to the query than the best one by more than this are left out; None: none is.
+    gap: shards whose centre is less similar to the query than the best one by more than this are left out; None: none is.
     """
-    split = {s: -(-n // (2 * SHARD)) for s, n in (counts or {}).items()}
-    copies = {s: -(-n // QUERIES) for s, n in (asked or {}).items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -68,26 +65,11 @@ def _route(at: np.ndarray, gap: float | None, counts: dict[int, int] | None, ask
                 continue
             x = _unit(pdf["vec"]).astype(np.float32)
             s = x @ at.T
-            home = s.argmax(1)
             near = np.ones_like(s, bool) if gap is None else s >= s.max(1, keepdims=True) - gap
             near &= pdf["asks"].to_numpy()[:, None]
-            r, c = np.nonzero(near)
-            if counts is None:
-                n = pd.Series(np.concatenate([home, c])).groupby([np.concatenate([home, c]), np.repeat([0, 1], [len(home), len(c)])]).size()
-                yield pd.DataFrame({"shard": n.index.get_level_values(0), "role": n.index.get_level_values(1), "n": n.to_numpy()})
-                continue
-            ids = pdf["id"].to_numpy()
-            mix = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            out = []
-            for i, h in enumerate(home):
-                part = int(mix[i]) % split.get(h, 1)
-                out += [(f"{h}.{part}.{copy}", 0, i) for copy in range(copies.get(h, 1))]
-            for i, h in zip(r, c):
-                # A home query is answered from its own place in its own part.
-                copy = int(mix[i] >> 8) % copies.get(h, 1)
-                out += [(f"{h}.{part}.{copy}", 1, i) for part in range(split.get(h, 1))]
-            raw = [v.tobytes() for v in x]
-            yield pd.DataFrame([(k, role, ids[i], raw[i]) for k, role, i in out], columns=["shard", "role", "id", "vec"])
+            _, c = np.nonzero(near)
+            asked = np.split(c.astype(np.int32), np.cumsum(near.sum(1))[:-1])
+            yield pdf.drop(columns=["vec", "asks"]).assign(vec=[v.tobytes() for v in x], home=s.argmax(1).astype(np.int32), near=asked)
 
     return run
 
@@ -143,15 +125,21 @@ def most_similar(
     asks = F.lit(True) if asks is None else asks
     rows = df.filter(valid(F.col(vec), size) & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vec).alias("vec"), F.coalesce(asks, F.lit(False)).alias("asks"))
     rows = rows.withColumn("h", F.xxhash64("vec")).withColumn("g", F.xxhash64(F.lit(1), "vec"))
-    reps = cut(rows.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("vec").alias("vec"), F.max("asks").alias("asks"), F.count_distinct("id").alias("size")))
-    n = reps.count()
+    n = rows.count()
     shards = max(1, round(n / SHARD))
-    sample = reps.orderBy(F.xxhash64("id"), "id").limit(max(LEAST_SAMPLE, SAMPLE * shards)).select("vec").toPandas()
+    sample = rows.orderBy("g", "id").limit(max(LEAST_SAMPLE, SAMPLE * shards)).select("g", "vec").toPandas().drop_duplicates("g")
     at = centres(_unit(sample["vec"]), shards) if len(sample) else np.zeros((1, size), np.float32)
-    slim = reps.select("id", "vec", "asks")
-    sent = slim.mapInPandas(_route(at, gap, None, None), "shard int, role int, n long").groupBy("shard", "role").agg(F.sum("n").alias("n")).collect()
-    counts, asked = ({r.shard: r.n for r in sent if r.role == role} for role in (0, 1))  # two numbers a shard
-    routed = slim.mapInPandas(_route(at, gap, counts, asked), "shard string, role int, id long, vec binary")
+    reps = rows.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("vec").alias("vec"), F.max("asks").alias("asks"), F.count_distinct("id").alias("size"))
+    reps = cut(reps.mapInPandas(_route(at, gap), "h long, g long, id long, size long, vec binary, home int, near array<int>"))
+    # Parts of a shard with too many nodes, and copies of a part with too many queries: one row a shard.
+    parts = reps.groupBy(F.col("home").alias("shard")).agg(F.ceil(F.count("*") / (2 * SHARD)).cast("int").alias("parts"))
+    copies = reps.select(F.explode("near").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies"))
+    plan = cut(parts.join(copies, "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1))))
+    mix = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    nodes = reps.select("id", "vec", F.col("home").alias("shard")).join(plan, "shard").select("shard", (mix % F.col("parts")).cast("int").alias("part"), upto("copies").alias("copy"), F.lit(0).alias("role"), "id", "vec")
+    questions = reps.select("id", "vec", F.explode("near").alias("shard")).join(plan, "shard").select("shard", upto("parts").alias("part"), (F.floor(mix / 64) % F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("role"), "id", "vec")
+    routed = nodes.unionByName(questions).select(F.concat_ws(".", "shard", "part", "copy").alias("shard"), "role", "id", "vec")
     found = routed.groupBy("shard").applyInPandas(_answer(k, ef, least), "q long, n long, sim double")
     if least > -1:
         found = cut(found)
