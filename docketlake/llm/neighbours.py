@@ -134,7 +134,8 @@ def most_similar(
     # Parts of a shard with too many nodes, and copies of a part with too many queries: one row a shard.
     parts = reps.groupBy(F.col("home").alias("shard")).agg(F.ceil(F.count("*") / (2 * SHARD)).cast("int").alias("parts"))
     copies = reps.select(F.explode("near").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies"))
-    plan = cut(parts.join(copies, "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1))))
+    # Two numbers for each of the shards, whose count was chosen above: at most n / SHARD rows.
+    plan = F.broadcast(cut(parts.join(copies, "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))))
     mix = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     nodes = reps.select("id", "vec", F.col("home").alias("shard")).join(plan, "shard").select("shard", (mix % F.col("parts")).cast("int").alias("part"), upto("copies").alias("copy"), F.lit(0).alias("role"), "id", "vec")
