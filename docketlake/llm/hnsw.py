@@ -134,34 +134,41 @@ def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef
     opened[:, : entry.shape[1]] = entry < 0
     seen[rows[:, None], entry] = True
     seen[:, n] = True
+    # Row n of the links, and place n of what was seen, stand for no node.
+    wide_links = np.concatenate([np.where(links < 0, n, links), np.full((1, links.shape[1]), n, links.dtype)])
     live = rows
+    flat_seen = seen.reshape(-1)
+    w = min(wide, ef)
+    # The beams of live queries are kept together, so that a step takes whole rows and no scattered places.
+    b_n, b_s, b_o, q_l = beam, sims, opened, q
     while len(live):
-        s = np.where(opened[live], -np.inf, sims[live])
-        w = min(wide, ef)
+        s = np.where(b_o, -np.inf, b_s)
         pick = np.argpartition(-s, w - 1, axis=1)[:, :w] if w < ef else np.tile(np.arange(ef), (len(live), 1))
         best = np.take_along_axis(s, pick, 1)
         some = best.max(1) > -np.inf
-        live, pick, best = live[some], pick[some], best[some]
-        if not len(live):
-            break
-        nodes = np.where(best > -np.inf, beam[live[:, None], pick], -1)
-        opened[live[:, None], pick] = True
-        nxt = np.where(nodes[:, :, None] >= 0, links[nodes], -1).reshape(len(live), -1)
-        nxt = np.where(nxt < 0, n, nxt)
+        if not some.all():
+            beam[live[~some]], sims[live[~some]] = b_n[~some], b_s[~some]
+            live, pick, best, b_n, b_s, b_o, q_l = (t[some] for t in (live, pick, best, b_n, b_s, b_o, q_l))
+            if not len(live):
+                break
+        nodes = np.where(best > -np.inf, np.take_along_axis(b_n, pick, 1), n)
+        np.put_along_axis(b_o, pick, True, 1)
+        nxt = wide_links.take(nodes, axis=0).reshape(len(live), -1)
         nxt.sort(axis=1)
         nxt[:, 1:][nxt[:, 1:] == nxt[:, :-1]] = n
-        old = seen[live[:, None], nxt]
-        nxt[old] = n
-        seen[live[:, None], nxt] = True
+        places = live[:, None] * (n + 1) + nxt
+        new_at = np.flatnonzero(~flat_seen.take(places))
+        flat_seen[places.reshape(-1).take(new_at)] = True
         # Only nodes not seen before are compared, in one flat list over all queries.
-        r, c = np.nonzero(~old)
-        new = np.full(nxt.shape, -np.inf, np.float32)
-        new[r, c] = np.einsum("id,id->i", q[live[r]], x[nxt[r, c]])
-        all_s = np.concatenate([sims[live], new], 1)
-        all_n = np.concatenate([beam[live], nxt], 1)
-        all_o = np.concatenate([opened[live], new == -np.inf], 1)
+        to = nxt.reshape(-1).take(new_at)
+        new = np.full(nxt.size, -np.inf, np.float32)
+        new[new_at] = np.einsum("id,id->i", q_l.take(new_at // nxt.shape[1], axis=0), x.take(to, axis=0))
+        new = new.reshape(nxt.shape)
+        all_s = np.concatenate([b_s, new], 1)
         keep = np.argpartition(-all_s, ef - 1, axis=1)[:, :ef]
-        sims[live], beam[live], opened[live] = (np.take_along_axis(t, keep, 1) for t in (all_s, all_n, all_o))
+        b_s = np.take_along_axis(all_s, keep, 1)
+        b_n = np.take_along_axis(np.concatenate([b_n, nxt], 1), keep, 1)
+        b_o = np.take_along_axis(np.concatenate([b_o, new == -np.inf], 1), keep, 1)
     beam[sims == -np.inf] = -1
     order = np.argsort(-sims, axis=1, kind="stable")
     return np.take_along_axis(beam, order, 1), np.take_along_axis(sims, order, 1)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlake.llm.hnsw import Graph
-from docketlake.plans.session import cut
+from docketlake.plans.session import cut, parallelism
 
 #: Vectors of a shard. A shard that gets twice as many is split by a hash; queries then go to each of its parts.
 SHARD = 16_384
@@ -141,6 +141,8 @@ def most_similar(
     nodes = reps.select("id", "vec", F.col("home").alias("shard")).join(plan, "shard").select("shard", (mix % F.col("parts")).cast("int").alias("part"), upto("copies").alias("copy"), F.lit(0).alias("role"), "id", "vec")
     questions = reps.select("id", "vec", F.explode("near").alias("shard")).join(plan, "shard").select("shard", upto("parts").alias("part"), (F.floor(mix / 64) % F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("role"), "id", "vec")
     routed = nodes.unionByName(questions).select(F.concat_ws(".", "shard", "part", "copy").alias("shard"), "role", "id", "vec")
+    # A task a shard or so: left to itself, a small shuffle would be merged into fewer tasks than there are cores.
+    routed = routed.repartition(max(2 * shards, parallelism(spark)), "shard")
     found = routed.groupBy("shard").applyInPandas(_answer(k, ef, least), "q long, n long, sim double")
     if least > -1:
         found = cut(found)
