@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 _DECODER = json.JSONDecoder()
 
@@ -57,8 +57,11 @@ def tolerant_json(spark: SparkSession, path: str, recursive: bool = True) -> Dat
 def records(spark: SparkSession, path: str, schema: StructType | str, recursive: bool = True) -> DataFrame:
     """Typed JSON lines with their file's name and the raw text of lines that don't fit (null otherwise)."""
     kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    reader = spark.read.schema(kind.add("_bad", "string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.json*")
-    return reader.json(path).withColumn("file", F.col("_metadata.file_name"))
+    lines = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.json*").text(path)
+    wide = StructType([*kind.fields, StructField("_bad", StringType())])
+    parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = lines.filter(F.trim("value") != "").select(parsed.alias("r"), "value", F.col("_metadata.file_name").alias("file"))
+    return rows.select("r.*", "file")
 
 
 def log_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
