@@ -106,7 +106,7 @@ def _answer(k: int, ef: int, least: float):
 
 
 def most_similar(
-    df: DataFrame, id: str, vec: str, k: int = 10, size: int = 64, least: float = -2.0, ef: int = 80, gap: float | None = None, asks: Column | None = None
+    df: DataFrame, id: str, vec: str, k: int = 10, size: int = 64, least: float = -2.0, ef: int = 160, gap: float | None = None, asks: Column | None = None
 ) -> DataFrame:
     """(id_a, id_b, similarity): the k rows most similar to each query row id_a, of those with cosine `least` or more.
 
