@@ -82,6 +82,8 @@ def _parser(record_key: str):
                 ids.append(own if isinstance(own, str) else None if own is None else canonical(own))
                 marks.append(_hash(raw))
                 fields.append([{"path": p, "kind": _type(v), "value": None if v is None else _hash(canonical(v))} for p, v in _walk(record)])
+            if not keep:
+                continue
             yield pdf.iloc[keep][[*FILE, "received_at", "line_no"]].assign(record_id=ids, mark=marks, fields=fields)
 
     return run
@@ -295,7 +297,8 @@ def _leaves(record_key: str):
                 own = own if isinstance(own, str) else None if own is None else canonical(own)
                 text = {p: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for p, v in _walk(record) if not isinstance(v, dict) and v is not None}
                 out.append((feed, name, date, at, line, own, _hash(raw), list(text.items())))
-            yield pd.DataFrame(out, columns=[*FILE, "received_at", "line_no", "record_id", "mark", "fields"])
+            if out:
+                yield pd.DataFrame(out, columns=[*FILE, "received_at", "line_no", "record_id", "mark", "fields"])
 
     return run
 
