@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,3 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hash_sample(df: DataFrame, h: Column, total: int, most: int) -> DataFrame:
+    """At most `most` rows of df, which has `total`, in order of a 64-bit hash: the same rows whatever the partitioning.
+
+    Only rows below a bound that about three times as many pass are ordered, so that no task hands on more than its share.
+    """
+    bound = -(2**63) + int(2**64 * min(1.0, 3 * most / max(1, total)))
+    near = df.withColumn("__h", h)
+    if bound < 2**63:
+        near = near.filter(F.col("__h") < F.lit(bound))
+    return near.orderBy("__h").limit(most).drop("__h")

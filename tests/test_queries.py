@@ -27,7 +27,7 @@ def rows(names, data):
     return sorted((tuple(value(r[i]) for i in order) for r in data), key=repr)
 
 
-CORE = sorted(n for n in entry.oracle_sql() if n in {**entry.library.SQL, **entry.training.SQL})
+CORE = sorted(n for n in entry.oracle_sql() if n in {**entry.library.SQL, **entry.casework.SQL, **entry.training.SQL})
 
 
 @pytest.mark.parametrize("name", CORE)
@@ -41,7 +41,7 @@ def test_against_sql(spark, sf, name):
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted({**entry.library.QUERIES, **entry.training.QUERIES}.keys() - set(CORE)))
+@pytest.mark.parametrize("name", sorted({**entry.library.QUERIES, **entry.casework.QUERIES, **entry.training.QUERIES}.keys() - set(CORE)))
 def test_runs(spark, sf, name):
     assert entry.queries()[name](spark, sf).count() > 0
 
