@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlake.llm.hnsw import Graph
-from docketlake.plans.session import cut, parallelism
+from docketlake.plans.session import cut, hash_sample, parallelism
 
 #: Vectors of a shard. A shard that gets twice as many is split by a hash; queries then go to each of its parts.
 SHARD = 16_384
@@ -127,7 +127,8 @@ def most_similar(
     rows = rows.withColumn("h", F.xxhash64("vec")).withColumn("g", F.xxhash64(F.lit(1), "vec"))
     n = rows.count()
     shards = max(1, round(n / SHARD))
-    sample = rows.orderBy("g", "id").limit(max(LEAST_SAMPLE, SAMPLE * shards)).select("g", "vec").toPandas().drop_duplicates("g")
+    most = max(LEAST_SAMPLE, SAMPLE * shards)
+    sample = hash_sample(rows.select("g", "vec"), F.xxhash64("g"), n, 2 * most).dropDuplicates(["g"]).limit(most).toPandas()
     at = centres(_unit(sample["vec"]), shards) if len(sample) else np.zeros((1, size), np.float32)
     reps = rows.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("vec").alias("vec"), F.max("asks").alias("asks"), F.count_distinct("id").alias("size"))
     reps = cut(reps.mapInPandas(_route(at, gap), "h long, g long, id long, size long, vec binary, home int, near array<int>"))
