@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.operators import evaluation, hearing, overlap, records, resolve
+from docketlake.functions import text
+from docketlake.operators import checks, evaluation, hearing, overlap, quality, records, reports, resolve, runlog
 from docketlake.plans.session import table
 
 QUERIES: dict = {}
@@ -217,3 +218,101 @@ def alias_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "precedents").select(F.explode("statutes_cited").alias("citation")).filter("citation is not null").distinct()
     aliases = spark.createDataFrame([("CREVC", "REVIVAL"), ("CREVC_1999", "CRC_1999"), ("MEDC", "MEDIATION")], "cited_prefix string, law_db_prefix string")
     return resolve.rewrite_alias(c, aliases)
+
+
+# Reports and checks
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT row_no, precedent_id AS id, content_hash AS h, coalesce(final_order, '~') AS l FROM precedents), t AS (SELECT h, count(*) AS n, count(DISTINCT l) AS k FROM r GROUP BY h), i AS (SELECT id, count(DISTINCT h) AS n FROM r GROUP BY id)
+    SELECT 'rows' AS measure, count(*) AS n FROM r UNION ALL SELECT 'contents', count(*) FROM t UNION ALL SELECT 'duplicated', count(*) FROM t WHERE n > 1 UNION ALL SELECT 'conflicting_labels', count(*) FROM t WHERE k > 1 UNION ALL SELECT 'id_collisions', count(*) FROM i WHERE n > 1"""
+)
+def corpus_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate contents, conflicting outcomes and id collisions among the precedents."""
+    rows = table(spark, sf_dir, "precedents").select("row_no", F.col("precedent_id").alias("id"), F.col("content_hash").alias("h"), F.coalesce("final_order", F.lit("~")).alias("l")).distinct()
+    return reports.corpus_audit(rows, "id", "h", "l")
+
+
+@query("""SELECT coalesce(source, '~') AS source, coalesce(lang, '~') AS lang, doc_kind, count(*) AS n FROM documents GROUP BY ALL""")
+def route_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("~")).alias("source"), F.coalesce("lang", F.lit("~")).alias("lang"), "doc_kind")
+    return reports.route_histogram(docs, ["source", "lang"], "doc_kind")
+
+
+@query(
+    """WITH g AS (SELECT l_suppkey AS judge, count(*) AS n, avg((l_quantity > 5)::INT) AS valid_rate, min(l_discount) AS gap_min, median(l_discount) AS gap_median, max(l_discount) AS gap_max, avg((l_returnflag = 'A')::INT) AS share_a, count(DISTINCT l_orderkey) AS c FROM lineitem GROUP BY 1)
+    SELECT judge, n, round(valid_rate, 9) AS valid_rate, gap_min, round(gap_median, 9) AS gap_median, gap_max, round(share_a, 9) AS share_a, c >= 100 AND greatest(share_a, 1 - share_a) > 0.68 AS biased FROM g"""
+)
+def persona_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier as a judge: valid share, gaps, and whether one return flag wins too often."""
+    line = table(spark, sf_dir, "lineitem")
+    o = line.select(F.col("l_suppkey").alias("judge"), F.col("l_orderkey").alias("case_id"), (F.col("l_quantity") > 5).alias("valid"), F.col("l_discount").alias("gap"), F.col("l_returnflag").alias("winner"), F.lit("A").alias("side_a"))
+    r = reports.persona_report(o, 100, 0.68)
+    return r.select("judge", "n", F.round("valid_rate", 9).alias("valid_rate"), "gap_min", F.round("gap_median", 9).alias("gap_median"), "gap_max", F.round("share_a", 9).alias("share_a"), "biased")
+
+
+@query("""SELECT l_orderkey AS session_id, l_returnflag AS side, round(avg((3 * l_discount + l_tax) / 4), 9) AS score FROM lineitem GROUP BY ALL""")
+def advocacy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_returnflag").alias("side"), "l_discount", "l_tax")
+    return reports.advocacy(line, {"l_discount": 3.0, "l_tax": 1.0}).select("session_id", "side", F.round("score", 9).alias("score"))
+
+
+@query("""SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events""")
+def numbered_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runlog.number_events(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"]).select("event_id", "user_id", "seq")
+
+
+@query(
+    """WITH a AS (SELECT row_no AS fact_id, unnest(facts_texts) AS t, decision_date AS d FROM precedents), s AS (SELECT fact_id, string_agg(t, ' ') AS t, any_value(d) AS d FROM (SELECT DISTINCT fact_id, t, d FROM a WHERE t IS NOT NULL) GROUP BY fact_id)
+    SELECT fact_id, 'DATE_NOT_WRITTEN' AS problem FROM (SELECT *, CASE WHEN regexp_matches(d, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN try_strptime(d, '%Y-%m-%d') END AS x FROM s)
+    WHERE x IS NOT NULL AND NOT (contains(t, strftime(x, '%Y-%m-%d')) OR contains(t, strftime(x, '%d.%m.%Y')) OR contains(t, strftime(x, '%-d %B %Y')) OR contains(t, strftime(x, '%B %-d, %Y')))"""
+)
+def unwritten_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precedents whose decision date stands in none of their facts, in any of four forms."""
+    p = table(spark, sf_dir, "precedents").select("row_no", "decision_date", F.explode("facts_texts").alias("t")).filter("t is not null").distinct()
+    s = p.groupBy(F.col("row_no").alias("fact_id")).agg(F.array_join(F.collect_list("t"), " ").alias("source_text"), F.first("decision_date").alias("d"))
+    return checks.literal_problems(s.select("fact_id", "source_text", text.iso_date(F.col("d")).alias("day"), F.lit(None).cast("double").alias("amount")))
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(party_name, '[^A-Za-z]+')) AS word FROM parties WHERE kind = 'PERSON'), s AS (SELECT doc_id, words, unnest(words) AS word FROM (SELECT doc_id, regexp_split_to_array(text, '[^A-Za-z]+') AS words FROM documents WHERE text IS NOT NULL))
+    SELECT DISTINCT s.doc_id, s.word, list_position(s.words, s.word) - 1 AS first_at FROM s JOIN w ON w.word = s.word WHERE length(s.word) >= 4 AND regexp_matches(s.word, '^[A-Z]')"""
+)
+def residual_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of persons' names that still stand in a document, with their first place."""
+    names = table(spark, sf_dir, "parties").filter("kind = 'PERSON'").select(F.col("party_name").alias("name")).distinct()
+    return checks.residual_names(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text"), names)
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k FROM events""")
+def event_property(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", checks.json_value(F.col("props"), "k").alias("k"))
+
+
+@query(
+    """WITH t AS (SELECT l_orderkey AS c, l_partkey AS s, l_returnflag AS p, count(DISTINCT l_linestatus) AS n FROM lineitem GROUP BY ALL) SELECT c AS case_id, s AS statute_id, p AS parameter, n = 1 AS usable FROM t"""
+)
+def threshold_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem")
+    return reports.threshold_agreement(line.select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("statute_id"), F.col("l_returnflag").alias("parameter"), F.col("l_linestatus").alias("value")))
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT statute_id, lower(trim(jurisdiction_type)) AS k FROM law_snapshots WHERE snapshot_no = (SELECT min(snapshot_no) FROM law_snapshots)), b AS (SELECT DISTINCT statute_id, lower(trim(jurisdiction_type)) AS k FROM law_snapshots WHERE snapshot_no = (SELECT max(snapshot_no) FROM law_snapshots)),
+    j AS (SELECT coalesce(a.statute_id, b.statute_id) AS slot, coalesce(a.k, b.k) AS key, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'AGREED' WHEN a.k IS NOT NULL THEN 'PRIMARY_ONLY' ELSE 'SECONDARY_ONLY' END AS s FROM a FULL JOIN b ON a.statute_id = b.statute_id AND a.k = b.k),
+    c AS (SELECT slot, count(DISTINCT s) = 2 AS clash FROM j WHERE s <> 'AGREED' GROUP BY slot)
+    SELECT j.slot AS statute_id, key, CASE WHEN s <> 'AGREED' AND clash THEN 'DISAGREED' ELSE s END AS state FROM j LEFT JOIN c ON c.slot = j.slot WHERE key IS NOT NULL"""
+)
+def delivery_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of each statute in the first and the last delivery: agreed, only in one, or disagreed."""
+    s = table(spark, sf_dir, "law_snapshots").filter("jurisdiction_type is not null").select("snapshot_no", "statute_id", F.lower(F.trim("jurisdiction_type")).alias("key")).distinct()
+    ends = F.broadcast(table(spark, sf_dir, "law_snapshots").agg(F.min("snapshot_no").alias("a"), F.max("snapshot_no").alias("b")))  # one row
+    s = s.join(ends)
+    return quality.agreement(s.filter("snapshot_no = a"), s.filter("snapshot_no = b"), "statute_id", "key")
+
+
+@query()
+def likely_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later rows of a precedent id whose ratio is like the first one's by 0.9 (matching blocks, so without SQL)."""
+    p = table(spark, sf_dir, "precedents").filter("precedent_id is not null and ratio_text is not null").select("row_no", "precedent_id", "ratio_text").distinct()
+    return checks.same_id_copies(p, "precedent_id", "row_no", "ratio_text", 0.9)
