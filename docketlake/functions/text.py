@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,10 +23,23 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once: a lambda's body would compute a plain expression anew for each element."""
+    return F.transform(F.array(c), f)[0]
+
+
 def n_grams(tokens: Column, n: int) -> Column:
     """Distinct n-grams of a token array as text; none where it is shorter (a sequence must never run backwards)."""
-    at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " ")))
+    return once(tokens, lambda w: F.array_distinct(F.transform(_starts(w, n), lambda i: F.array_join(F.slice(w, i, n), " "))))
+
+
+def n_gram_hashes(tokens: Column, n: int) -> Column:
+    """64-bit hashes of the distinct n-grams of a token array; none where it is shorter."""
+    return once(tokens, lambda w: F.array_distinct(F.transform(_starts(w, n), lambda i: F.xxhash64(F.slice(w, i, n)))))
+
+
+def _starts(w: Column, n: int) -> Column:
+    return F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
 
 
 def amounts(c: Column) -> Column:

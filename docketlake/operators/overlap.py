@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.functions.text import n_grams, words
+from docketlake.functions.text import n_gram_hashes, words
 
 # Words that name kinds of companies and parties, and so tell none apart.
 GENERIC = (
@@ -27,7 +27,7 @@ def leakage(views: DataFrame, sealed: DataFrame, visible: DataFrame | None, n: i
     """
 
     def grams(df: DataFrame, *keep: str) -> DataFrame:
-        return df.filter("key is not null").select(*keep, F.explode(n_grams(words(F.col("text")), n)).alias("g")).select(*keep, F.xxhash64("g").alias("g")).distinct()
+        return df.filter("key is not null").select(*keep, F.explode(n_gram_hashes(words(F.col("text")), n)).alias("g")).distinct()
 
     seen = grams(views, "key")
     if visible is not None:
