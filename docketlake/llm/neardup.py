@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketlake.functions.text import n_gram_hashes
 from docketlake.plans.session import cut
 
 #: Classes of equal texts up to this size are expanded to all their pairs; larger ones to pairs with their smallest member.
@@ -20,14 +21,12 @@ MATCHES = 4
 def shingles(text: Column, words: int) -> Column:
     """Sorted distinct 64-bit hashes of the runs of `words` successive words; words are runs of letters and digits."""
     parts = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    at = F.when(F.size("__w") >= words, F.sequence(F.lit(1), F.size("__w") - words + 1)).otherwise(F.array().cast("array<int>"))
-    return parts, F.array_sort(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice("__w", i, words)))))
+    return F.array_sort(n_gram_hashes(parts, words))
 
 
 def documents(df: DataFrame, id: str, text: Column, words: int) -> DataFrame:
-    """(id, s): one row per id with its sorted shingle hashes; rows without a shingle are left out."""
-    parts, hashes = shingles(text, words)
-    return df.select(F.col(id).alias("id"), parts.alias("__w")).filter(F.size("__w") >= words).select("id", hashes.alias("s"))
+    """(id, s): the ids with their sorted shingle hashes, which are empty for null and short texts."""
+    return df.select(F.col(id).alias("id"), shingles(text, words).alias("s"))
 
 
 def _prefix(n: Column, t: float) -> Column:
@@ -57,7 +56,8 @@ class Similar:
 
     def __init__(self, docs: DataFrame, threshold: float) -> None:
         t = threshold
-        rows = cut(docs.withColumn("h", F.md5(F.to_json("s"))))
+        # Rows without a shingle leave only after the cut: a filter before it would compute all shingles twice.
+        rows = cut(docs.withColumn("h", F.md5(F.to_json("s")))).filter(F.size("s") > 0)
         reps = rows.groupBy("h").agg(F.min("id").alias("rep"))
         self.members = cut(rows.select("id", "h").join(reps, "h").select("id", "rep").distinct())
         sets = rows.join(reps, (rows.h == reps.h) & (rows.id == reps.rep), "left_semi").select("id", "s").dropDuplicates(["id"])
