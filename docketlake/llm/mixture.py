@@ -71,7 +71,8 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     over the source's documents, ordered by language, topic and a hash, in groups of bounded size.
     """
     goals = targets.select("source", F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").alias("cap"))
-    slim = docs.filter("source is not null and n_tokens > 0").select("doc_id", "source", "lang", "topic", "n_tokens").join(goals.select("source", "cap"), "source")
+    # Counting tokens is the costly part: it is done once, and what follows reads the counts.
+    slim = cut(docs.filter("source is not null and n_tokens > 0").select("doc_id", "source", "lang", "topic", "n_tokens").join(goals.select("source", "cap"), "source"))
     slim = cut(_largest(_largest(slim, "lang", LANGUAGES), "topic", TOPICS))
     cells = slim.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"), F.max("cap").alias("cap"), F.count("*").alias("n")).toPandas()
     shares = {r["source"]: r["target_share"] for r in goals.collect()}
