@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors that meet a block of rows in one task.
 QUERY_BLOCK = 2048
+#: Query vectors of one product of max_sim, unless one query has more.
+QUERY_PART = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -46,6 +48,12 @@ def _unit(v: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _starts(*sorted_columns: pd.Series) -> np.ndarray:
+    """Where each run of equal values of sorted columns begins."""
+    codes = np.stack([pd.factorize(c, use_na_sentinel=False)[0] for c in sorted_columns])
+    return np.flatnonzero(np.r_[True, (codes[:, 1:] != codes[:, :-1]).any(axis=0)])
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int, before: bool = False) -> DataFrame:
     """(query_id, uid, score, rank): the k rows most similar to each query, exactly; equal scores by uid.
 
@@ -84,13 +92,43 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, before: bool = False) ->
 def max_sim(sections: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, uid, score, rank): documents of many vectors by the sum, over a query's vectors, of the best section.
 
-    sections: uid, vec; queries: query_id, part, vec. The queries are a stated, bounded set.
+    sections: uid, vec; queries: query_id, part, vec. Vectors must be usable. Queries are cut into blocks, and sections
+    into slices, by document, so that each pair of block and slice has whole documents on both sides; it multiplies
+    whole queries at a time, about QUERY_PART vectors, and keeps k documents a query.
     """
-    pairs = sections.join(F.broadcast(queries.select("query_id", "part", F.col("vec").alias("q_vec"))))
-    best = pairs.groupBy("query_id", "part", "uid").agg(F.max(cosine(F.col("vec"), F.col("q_vec"))).alias("best"))
-    total = best.groupBy("query_id", "uid").agg(F.round(F.sum("best"), 9).alias("score"))
+    spark = sections.sparkSession
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    r = sections.select("uid", "vec").withColumn("slice", F.pmod(F.xxhash64("uid"), F.lit(slices))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    q = queries.select("query_id", "part", F.col("vec").alias("q_vec")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": right["query_id"].iloc[:0], "uid": left["uid"].iloc[:0], "score": pd.Series(dtype=float)})
+        if not len(left) or not len(right):
+            return empty
+        left, right = left.sort_values("uid", na_position="first"), right.sort_values(["query_id", "part"])
+        docs, asks = _starts(left["uid"]), _starts(right["query_id"], right["part"])
+        whole = _starts(right["query_id"].iloc[asks])  # a query's parts, among asks
+        uids, ids = left["uid"].to_numpy()[docs], right["query_id"].to_numpy()[asks[whole]]
+        vectors, q_vectors = _unit(left["vec"]), _unit(right["q_vec"])
+        m, out, at = min(k, len(docs)), [], 0
+        while at < len(whole):
+            end = at + 1
+            while end < len(whole) and (asks[whole[end + 1]] if end + 1 < len(whole) else len(right)) - asks[whole[at]] <= QUERY_PART:
+                end += 1
+            lo, hi = whole[at], whole[end] if end < len(whole) else len(asks)
+            rows = slice(asks[lo], asks[hi] if hi < len(asks) else len(right))
+            best = np.maximum.reduceat(np.maximum.reduceat(q_vectors[rows] @ vectors.T, docs, axis=1), asks[lo:hi] - asks[lo], axis=0)
+            s = np.round(np.add.reduceat(best, whole[at:end] - lo, axis=0), 9)
+            top = np.argsort(-s, axis=1, kind="stable")[:, :m]
+            out.append(pd.DataFrame({"query_id": np.repeat(ids[at:end], m), "uid": uids[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}))
+            at = end
+        return pd.concat(out)
+
+    kinds = dict(sections.dtypes) | dict(queries.dtypes)
+    found = r.groupBy("block", "slice").cogroup(q.groupBy("block", "slice")).applyInPandas(score, f"query_id {kinds['query_id']}, uid {kinds['uid']}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "uid")
-    return total.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def rerank(candidates: DataFrame, passages: DataFrame, k: int) -> DataFrame:

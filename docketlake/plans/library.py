@@ -62,6 +62,21 @@ def maxsim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.max_sim(v.select("uid", "vec"), asks, 10).select("query_id", "uid", "rank", F.round("score", 6).alias("score"))
 
 
+@query(
+    f"""WITH v AS ({UNIT}), q AS (SELECT uid AS query_id, section_no AS part, vec FROM v WHERE uid IN (SELECT precedent_uid FROM precedents WHERE row_no % 20 = 0)),
+    b AS (SELECT query_id, part, v.uid, max(list_cosine_similarity(v.vec, q.vec)) AS best FROM v, q GROUP BY ALL),
+    t AS (SELECT query_id, uid, round(sum(best), 9) AS score FROM b GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid) AS rank FROM t)
+    SELECT query_id, uid, rank, round(score, 6) AS score FROM r WHERE rank <= 10"""
+)
+def maxsim_precedents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As maxsim_topk, for the sections of every precedent with a row whose number is divisible by 20."""
+    v = _vectors(spark, sf_dir)
+    asked = table(spark, sf_dir, "precedents").filter("row_no % 20 = 0").select(F.col("precedent_uid").alias("uid")).distinct()
+    asks = v.join(asked, "uid", "left_semi").select(F.col("uid").alias("query_id"), F.col("section_no").alias("part"), "vec")
+    return vector.max_sim(v.select("uid", "vec"), asks, 10).select("query_id", "uid", "rank", F.round("score", 6).alias("score"))
+
+
 @query(
     f"""WITH v AS (SELECT DISTINCT vec_id, uid, section_no, vec::DOUBLE[] AS vec FROM vectors WHERE {OK} AND uid IS NOT NULL),
     p AS (SELECT a.uid, a.section_no, a.vec_id, max(CASE WHEN b.section_no < a.section_no THEN list_cosine_similarity(a.vec, b.vec) END) AS best

@@ -3,11 +3,13 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docketlake.functions import text as T
 from docketlake.operators import evaluation, memory, overlap, predicates, quality, resolve, runlog, sync, temporal, vector, voting
+from docketlake.plans import library
 from docketlake.sources import files
 from docketlake.streaming import logs
 
@@ -315,3 +317,29 @@ def test_streams_equal_batch(spark, sf, tmp_path):
     said = []
     logs.guard(events, {"click": 1.0}, 1.0, said.append, str(tmp_path / "cp")).awaitTermination()
     assert said and said[0] > 1
+
+
+def test_max_sim_asks_every_stated_precedent(spark, sf):
+    asked = spark.read.parquet(f"{sf}/precedents.parquet").filter("row_no % 20 = 0").select("precedent_uid").distinct()
+    held = library._vectors(spark, sf).select(F.col("uid").alias("precedent_uid")).distinct()
+    got = library.maxsim_precedents(spark, sf)
+    want = {r[0] for r in asked.join(held, "precedent_uid", "left_semi").collect()}
+    assert {r.query_id for r in got.select("query_id").distinct().collect()} == want and len(want) > 3
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_max_sim_equals_brute_force(spark):
+    rng = np.random.default_rng(1)
+    docs = [(f"d{rng.integers(40)}", rng.normal(size=4).tolist()) for _ in range(150)]
+    asks = [(f"q{rng.integers(120)}", int(rng.integers(3)), rng.normal(size=4).tolist()) for _ in range(700)]
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    score = {}
+    for q, part, a in asks:
+        for d, b in docs:
+            score[q, d, part] = max(score.get((q, d, part), -2.0), float(unit(a) @ unit(b)))
+    total = {}
+    for (q, d, _), s in score.items():
+        total[q, d] = total.get((q, d), 0.0) + s
+    want = {q: sorted((-round(s, 9), d) for (x, d), s in total.items() if x == q)[:5] for q in {q for q, _, _ in asks}}
+    got = vector.max_sim(spark.createDataFrame(docs, "uid string, vec array<double>"), spark.createDataFrame(asks, "query_id string, part int, vec array<double>"), 5)
+    assert [(r.query_id, r["rank"], r.uid) for r in got.orderBy("query_id", "rank").collect()] == [(q, i + 1, d) for q in sorted(want) for i, (_, d) in enumerate(want[q])]
