@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docketlake.functions import text as T
 from docketlake.operators import evaluation, memory, overlap, predicates, quality, references, resolve, runlog, sync, temporal, vector, voting
 from docketlake.plans.session import table
+from docketlake.plans.training import LAW_CONTENT
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -403,6 +404,23 @@ def incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.incremental_sync(last.join(ends).filter("snapshot_no = a"), last.join(ends).filter("snapshot_no = b"), "statute_id")
 
 
+@query(
+    """WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_no, statute_id ORDER BY received_at DESC) AS rn FROM law_snapshots WHERE statute_id IS NOT NULL) WHERE rn = 1),
+    m AS (SELECT min(snapshot_no) AS a, max(snapshot_no) AS b FROM law_snapshots),
+    o AS (SELECT s.* FROM s, m WHERE snapshot_no = a), n AS (SELECT s.* FROM s, m WHERE snapshot_no = b)
+    SELECT coalesce(o.statute_id, n.statute_id) AS statute_id, CASE WHEN o.statute_id IS NULL THEN 'insert' WHEN n.statute_id IS NULL THEN 'remove'
+      WHEN """ + " OR ".join(f"n.{c} IS DISTINCT FROM o.{c}" for c in LAW_CONTENT) + """ THEN 'update' ELSE 'unchanged' END AS action
+    FROM o FULL JOIN n ON o.statute_id = n.statute_id"""
+)
+def law_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to do to bring the first law delivery to the last, by all content columns. A law record has no derived fields."""
+    rows = table(spark, sf_dir, "law_snapshots")
+    hashed = rows.filter("statute_id is not null").select("snapshot_no", "statute_id", sync.content_hash(*LAW_CONTENT).alias("content_hash"), F.lit("").alias("derived_hash"), "received_at")
+    last = hashed.groupBy("snapshot_no", "statute_id").agg(F.max(F.struct("received_at", "content_hash", "derived_hash")).alias("x")).select("snapshot_no", "statute_id", "x.content_hash", "x.derived_hash")
+    ends = F.broadcast(rows.agg(F.min("snapshot_no").alias("a"), F.max("snapshot_no").alias("b")))  # one row
+    return sync.incremental_sync(last.join(ends).filter("snapshot_no = a"), last.join(ends).filter("snapshot_no = b"), "statute_id")
+
+
 @query(
     """WITH l AS (SELECT DISTINCT doc_id, sha256(coalesce(text, '~')) AS h FROM documents),
     g AS (SELECT substr(md5(doc_id::VARCHAR), 1, 2) AS g, sha256(string_agg(doc_id::VARCHAR || ':' || h, chr(10) ORDER BY doc_id::VARCHAR || ':' || h)) AS h FROM l GROUP BY 1)

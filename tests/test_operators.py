@@ -328,6 +328,17 @@ def test_max_sim_asks_every_stated_precedent(spark, sf):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_law_sync_sees_every_content_column(spark, sf, tmp_path):
+    one = spark.read.parquet(f"{sf}/law_snapshots.parquet").filter("diagnostic_checklist is not null and procedural_timelines is not null").limit(1).cache()
+    base = one.withColumn("statute_id", F.explode(F.array(*map(F.lit, (*library.LAW_CONTENT, "source_file"))))).withColumn("snapshot_no", F.lit(1))
+    other = {"array<string>": F.array(F.lit("new")), "string": F.lit("new")}
+    new = base.withColumn("snapshot_no", F.lit(2)).withColumns(
+        {c: F.when(F.col("statute_id") == c, other.get(t, F.lit(None).cast(t))).otherwise(F.col(c)) for c, t in base.dtypes if c in (*library.LAW_CONTENT, "source_file")}
+    )
+    base.unionByName(new).write.parquet(str(tmp_path / "law_snapshots.parquet"))
+    assert rows(library.law_sync(spark, str(tmp_path))) == sorted([(c, "update") for c in library.LAW_CONTENT] + [("source_file", "unchanged")])
+
+
 def test_max_sim_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     docs = [(f"d{rng.integers(40)}", rng.normal(size=4).tolist()) for _ in range(150)]
