@@ -8,25 +8,55 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from docketlake.functions import text as T
 
 
-@F.pandas_udf(DoubleType())
-def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-blocks ratio of two texts, for pairs already blocked by id."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+def first_like(texts: list[str], least: float) -> list[tuple[int, float]]:
+    """(place of the first kept text it is like by `least`, matching-blocks ratio) of each text in turn.
+
+    A text that is like no kept one is kept: its own place, 1.0.
+    """
+    kept, out = [], []
+    matcher = difflib.SequenceMatcher()
+    for i, t in enumerate(texts):
+        matcher.set_seq2(t)
+        hit = None
+        for j in kept:
+            matcher.set_seq1(texts[j])
+            # both are upper bounds of the ratio
+            if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and (ratio := matcher.ratio()) >= least:
+                hit = (j, ratio)
+                break
+        if hit is None:
+            kept.append(i)
+            hit = (i, 1.0)
+        out.append(hit)
+    return out
 
 
 def same_id_copies(rows: DataFrame, id: str, key: str, text: str, least: float) -> DataFrame:
-    """(key, kept_key, similarity): later rows of an id that are like its first one by `least` or more.
+    """(key, kept_key, similarity): later rows of an id, by key, that are like a kept one by `least` or more.
 
-    Each row is compared with the first of its id only, so a group's work is linear.
+    A row is compared with every kept row before it and goes to the first it is like; if there is none it is kept
+    itself. Equal texts are collapsed before, so that an id's work is the square of its distinct kept texts. A null
+    text is like nothing.
     """
-    first = rows.groupBy(id).agg(F.min_by(F.struct(F.col(key).alias("k"), F.col(text).alias("t")), key).alias("f"))
-    j = rows.join(first, id).filter(F.col(key) != F.col("f.k"))
-    return j.select(F.col(key), F.col("f.k").alias("kept_key"), likeness(F.col(text), F.col("f.t")).alias("similarity")).filter(F.col("similarity") >= least)
+    r = rows.filter(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(key).alias("key"), F.col(text).alias("text")).withColumn("digest", F.sha2("text", 256))
+    distinct = r.groupBy("id", "digest").agg(F.min("key").alias("key"), F.first("text").alias("text"))
+    ids = distinct.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("key", "digest", "text"))).alias("t"))
+    kinds = dict(r.dtypes)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, t in zip(pdf["id"], pdf["t"]):
+                out += [(i, x["digest"], t[j]["key"], ratio) for x, (j, ratio) in zip(t, first_like([x["text"] for x in t], least))]
+            yield pd.DataFrame(out, columns=["id", "digest", "kept_key", "similarity"])
+
+    found = ids.filter(F.size("t") > 1).mapInPandas(fold, f"id {kinds['id']}, digest string, kept_key {kinds['key']}, similarity double")
+    alone = ids.filter(F.size("t") == 1).select("id", F.col("t")[0]["digest"].alias("digest"), F.col("t")[0]["key"].alias("kept_key"), F.lit(1.0).alias("similarity"))
+    return r.select("id", "digest", "key").join(found.unionByName(alone), ["id", "digest"]).filter("key <> kept_key").select(F.col("key").alias(key), "kept_key", "similarity")
 
 
 def draft_checks(drafts: DataFrame, vocabulary: list[str]) -> DataFrame:

@@ -313,6 +313,7 @@ def delivery_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def likely_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Later rows of a precedent id whose ratio is like the first one's by 0.9 (matching blocks, so without SQL)."""
-    p = table(spark, sf_dir, "precedents").filter("precedent_id is not null and ratio_text is not null").select("row_no", "precedent_id", "ratio_text").distinct()
-    return checks.same_id_copies(p, "precedent_id", "row_no", "ratio_text", 0.9)
+    """Later rows of a precedent id whose ratio, facts and order are like those of a kept row by 0.9 (matching blocks, so without SQL)."""
+    whole = text.title_key(F.concat_ws(" ", "ratio_text", "facts_texts", "final_order"))
+    p = table(spark, sf_dir, "precedents").filter("precedent_id is not null").select("row_no", "precedent_id", whole.alias("text")).distinct()
+    return checks.same_id_copies(p, "precedent_id", "row_no", "text", 0.9)

@@ -1,10 +1,13 @@
 """Stated cases of the reports and checks."""
 
 import datetime as dt
+import difflib
+import re
 
 from pyspark.sql import functions as F
 
 from docketlake.operators import checks, reports
+from docketlake.plans import casework
 
 D = dt.date
 
@@ -98,3 +101,25 @@ def test_names_and_lines(spark):
     assert [j.select(checks.json_value(F.col("j"), p)).first()[0] for p in ("a.b", "a", "c", "z")] == ["1", None, None, None]
     r = spark.createDataFrame([("i", 1, "the same long text here"), ("i", 2, "the same long text there"), ("i", 3, "unlike")], "id string, k int, t string")
     assert [(x.k, x.kept_key) for x in checks.same_id_copies(r, "id", "k", "t", 0.9).collect()] == [(2, 1)]
+
+
+def test_copies_of_any_kept_row_of_an_id(spark):
+    a, b = "the tenant paid rent for the yard each month", "an appeal against the order was filed too late"
+    data = [("i", 1, a), ("i", 2, b), ("i", 3, b + "!"), ("i", 4, b), ("i", 5, a), ("i", 6, a + "s"), ("j", 7, b), ("j", 8, b), ("k", 9, None), ("k", 10, None)]
+    got = checks.same_id_copies(spark.createDataFrame(data, "id string, k int, t string"), "id", "k", "t", 0.9)
+    assert rows(got.select("k", "kept_key")) == sorted([(3, 2), (4, 2), (5, 1), (6, 1), (8, 7)], key=repr)
+
+
+def test_likely_copies_equal_the_reference_rule(spark, sf):
+    p = spark.read.parquet(f"{sf}/precedents.parquet").filter("precedent_id is not null").orderBy("row_no").collect()
+    kept, want = {}, []
+    for r in p:
+        joined = " ".join([r.ratio_text or "", *(x for x in r.facts_texts or () if x is not None), r.final_order or ""])
+        t = re.sub(r"[^a-z0-9]+", " ", joined.lower()).strip()
+        mine = kept.setdefault(r.precedent_id, [])
+        like = next((k for k, u in mine if u == t or difflib.SequenceMatcher(None, u, t).ratio() >= 0.9), None)
+        if like is None:
+            mine.append((r.row_no, t))
+        else:
+            want.append((r.row_no, like))
+    assert rows(casework.likely_copies(spark, sf).select("row_no", "kept_key")) == sorted(want, key=repr) and want
