@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,17 +14,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketlake.llm.boosting import Trees, best_threshold, fit
-from docketlake.plans.session import hash_sample
+from docketlake.plans.session import cut
 
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
-#: Texts whose lower-case words make up the vocabulary of common words, and training texts made for the fit.
-VOCABULARY_TEXTS, TRAINING_TEXTS = 4000, 2400
+#: Share of the distinct texts that a lower-case word must stand in to be common, and training texts made for the fit.
+COMMON_SHARE, TRAINING_TEXTS = 1 / 2000, 2400
 
 _DOT = r"(?:\.|\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+)"
-_LOCAL = r"[\w+%-]+(?:(?:\.|\s*[\[({]\s*dot\s*[\])}]\s*)[\w+%-]+)*"
+_LOCAL = r"[\w+%-]++(?:(?:\.|\s*[\[({]\s*dot\s*[\])}]\s*)[\w+%-]++)*+"
 _HOST = rf"[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)+"
 _EMAIL = re.compile(rf"{_LOCAL}(?:\s*@\s*|\s*[\[({{<]\s*at\s*[\])}}>]\s*){_HOST}", re.I)
 _SPOKEN = re.compile(rf"[\w+%-]+(?:\s+dot\s+[\w+%-]+|\.[\w+%-]+)*\s+at\s+[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*{_DOT}[a-z]{{2,}}\b", re.I)
+_EMAIL_LOCAL = re.compile(rf"(?<![\w+%-]){_LOCAL}(?=(?:\s*@\s*|\s*[\[({{<]\s*at\s*[\])}}>]\s*){_HOST})", re.I)
+_SPOKEN_LOCAL = re.compile(rf"[\w+%-]+(?:\s+dot\s+[\w+%-]+|\.[\w+%-]+)*(?=\s+at\s+[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*{_DOT}[a-z]{{2,}}\b)", re.I)
 _AT = re.compile(r"@|[\[({<]\s*at\s*[\])}>]", re.I)
 _AT_WORD = re.compile(r"\bat\s+[\w-]+(?:\.[a-z]|\s+dot\b|\s*[\[({<]\s*dot)", re.I)
 _DIGITS = re.compile(r"\d[\d\s().-]{5,}\d|\d{4}")
@@ -33,7 +36,7 @@ _IDS = tuple(
     re.compile(rf"(?<![\w/-])(?:{x})(?![\w]|[/-]\w)", re.I)
     for x in (r"[a-z]{5}[ -]?\d{4}[ -]?[a-z]", r"\d{4}([ -]?)\d{4}\1\d{4}", r"\d{8}", r"[a-z]\d{7}", r"[a-z]{3}\d{7}", r"[a-z]{2}\d{6,8}")
 )
-_ID_HINT = re.compile(r"\d{6}|\d{4}[ -]\d{4}|\d{4}[ -]?[A-Za-z](?![A-Za-z])")
+_ID_HINT = re.compile(r"\d{4}(?:\d\d|[ -]\d{4}|[ -]?[A-Za-z](?![A-Za-z]))")
 _HOUSE = r"(?:(?:flat|plot|house|door|villa|shop|apartment|unit|bungalow|quarter|block|h)\s*\.?\s*(?:no|number|#)?\s*\.?\s*[a-z]?-?\d[\w/-]*|\d{1,4}(?:/\d+)*[a-z]?(?:-[a-z0-9]+)?(?=\s*,|\s+[A-Z]))"
 _PART = r"(?:\d{1,4}(?:st|nd|rd|th)?\s+)?[A-Z][A-Za-z’']*(?:\s+(?:[A-Z][A-Za-z’']*|of|the)){0,4}(?:\s+\d{1,3}(?!\s?\d))?"
 _PIN = r"(?:\s*[,–-]?\s*(?:PIN(?:\s*code)?\s*[:.-]?\s*)?\d{3}\s?\d{3}(?!\d))"
@@ -323,15 +326,37 @@ def train(common: frozenset[str], texts: int = TRAINING_TEXTS, seed: int = 11) -
     return model
 
 
+def _lower_words(text: str) -> set[str]:
+    """Lower-case words of a text without the local parts of its e-mail addresses, which are often names."""
+    if _AT.search(text):
+        text = _EMAIL_LOCAL.sub("@", text)
+    if _AT_WORD.search(text):
+        text = _SPOKEN_LOCAL.sub("@", text)
+    return set(_LOWER.findall(text))
+
+
+def common_words(segments: DataFrame, text: str = "text") -> frozenset[str]:
+    """Lower-case words that stand in COMMON_SHARE of all distinct texts, and in two at least.
+
+    Every text is read and copies count once. At most the words of a mean text / COMMON_SHARE pass, so the list is
+    bounded whatever the size of the table.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n = Counter(w for t in pdf["t"] for w in _lower_words(t))
+            n[""] = len(pdf)  # no word is empty: the number of texts
+            yield pd.DataFrame({"word": list(n), "n": list(n.values())})
+
+    texts = segments.filter(F.length(text) > 0).select(F.col(text).alias("t")).distinct()
+    counts = cut(texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.filter("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return frozenset(r.word for r in counts.filter((F.col("word") != "") & (F.col("n") >= max(2, total * COMMON_SHARE))).select("word").collect())
+
+
 def fitted(segments: DataFrame, text: str = "text") -> Model:
-    """A model whose common words come from at most VOCABULARY_TEXTS texts, chosen by a hash of the text."""
-    texts = segments.filter(F.length(text) > 0).select(F.col(text).alias("t"))
-    chosen = hash_sample(texts, F.xxhash64("t"), texts.count(), VOCABULARY_TEXTS).toPandas()["t"]
-    counts: dict[str, int] = {}
-    for t in chosen:
-        for w in set(_LOWER.findall(t)):
-            counts[w] = counts.get(w, 0) + 1
-    return train(frozenset(w for w, n in counts.items() if n > 1))
+    """A model whose common words come from all distinct texts."""
+    return train(common_words(segments, text))
 
 
 def find(segments: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:

@@ -59,3 +59,15 @@ def test_trees_separate_a_rule():
     p = trees.score(x[2000:])
     cut = boosting.best_threshold(p, y[2000:])
     assert ((p >= cut) == y[2000:]).mean() > 0.99
+
+
+def test_common_words_come_from_every_distinct_text(spark, monkeypatch):
+    monkeypatch.setattr(personal, "train", lambda common: common)
+    copied = [("write to marin.kallova@mail.test about the parcel",)] * 50
+    mails = [(f"the case {i} names oskar.vell@mail.test or ilse dot vell at mail dot test",) for i in range(3)]
+    many = [(f"the case {i} went on",) for i in range(9000)] + [(f"the case {i} went astray",) for i in range(20)] + [(f"the case {i} went amiss",) for i in range(2)]
+    df = spark.createDataFrame(copied + mails + many + [(None,), ("",)], "text string")
+    common = personal.fitted(df)
+    assert {"the", "case", "went", "on", "astray"} <= common
+    assert not common & {"marin", "parcel", "oskar", "ilse", "vell", "amiss"}
+    assert personal.fitted(df.limit(0)) == frozenset()
