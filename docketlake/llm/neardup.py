@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from docketlake.functions.text import n_gram_hashes
 from docketlake.plans.session import cut
 
-#: Classes of equal texts up to this size are expanded to all their pairs; larger ones to pairs with their smallest member.
+#: Unless told otherwise, classes of equal texts up to this size are expanded to all their pairs; larger ones to pairs with their smallest member.
 EXPAND = 50
-#: Documents of one prefix token that meet in one task; larger groups are cut into blocks of so many.
+#: Documents of one prefix token or class that meet in one task; larger groups are cut into blocks of so many.
 BLOCK = 2048
 #: Prefix tokens that a candidate must share; the prefixes are longer by as many.
 MATCHES = 4
@@ -96,13 +96,18 @@ class Similar:
             .select("a", "b", (F.col("i") / F.col("u")).alias("similarity"))
         )
 
-    def pairs(self) -> DataFrame:
+    def pairs(self, expand: int | None = EXPAND) -> DataFrame:
         """(a, b), a < b, of all documents that are similar. Every link between different texts is expanded to all
-        members; a class of equal texts to all its pairs up to EXPAND members, beyond that to pairs with its smallest."""
-        size = self.members.groupBy("rep").agg(F.count("*").alias("size"))
-        m = self.members.join(size, "rep")
-        x, y = m.select("rep", "size", F.col("id").alias("x")), m.select("rep", F.col("id").alias("y"))
-        equal = x.filter((F.col("size") > 1) & ((F.col("size") <= EXPAND) | (F.col("x") == F.col("rep")))).join(y, "rep").filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        members; a class of equal texts to all its pairs up to `expand` members, beyond that to pairs with its smallest.
+
+        With None every class is expanded to all its pairs, which are as many as the square of its size. Classes of more
+        than BLOCK members are cut into blocks that meet block by block.
+        """
+        size = self.members.groupBy("rep").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        m = self.members.join(size.filter("size > 1"), "rep").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        starts = m if expand is None else m.filter((F.col("size") <= expand) | (F.col("id") == F.col("rep")))
+        x, y = starts.select("rep", F.col("own").alias("i"), F.col("other").alias("j"), F.col("id").alias("x")), m.select("rep", F.col("other").alias("i"), F.col("own").alias("j"), F.col("id").alias("y"))
+        equal = x.join(y, ["rep", "i", "j"]).filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
         ma = self.members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
         mb = self.members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
         linked = self.links.join(ma, "a").join(mb, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

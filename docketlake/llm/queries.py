@@ -64,7 +64,8 @@ def _precedent_sets(spark: SparkSession, sf_dir: str, words: int) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = neardup.Similar(_precedent_sets(spark, sf_dir, 3), 0.6).pairs()
+    """Every pair of similar rows, copies among them; a text that stands in n rows makes n (n - 1) / 2 pairs."""
+    pairs = neardup.Similar(_precedent_sets(spark, sf_dir, 3), 0.6).pairs(expand=None)
     return pairs.select(F.col("a").alias("row_no_a"), F.col("b").alias("row_no_b"))
 
 

@@ -118,6 +118,15 @@ def test_many_copies_stay_linear(spark):
     assert empty.pairs().count() == 0 and empty.groups().count() == 0
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_large_class_gives_every_pair(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    texts = ["one text stands here", "One text, stands here", "ONE text stands HERE."]
+    data = [(i, [texts[i % 3]], None) for i in range(60)] + [(60, ["quite another text altogether"], None)]
+    spark.createDataFrame(data, "row_no long, facts_texts array<string>, ratio_text string").write.parquet(str(tmp_path / "precedents.parquet"))
+    assert rows(queries.p6_found(spark, str(tmp_path))) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     got = neardup.components(spark.range(202).select("id"), edges)
