@@ -222,6 +222,12 @@ def text_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size(T.numbers(c)).alias("n_numbers"), T.first_marker(c, ["Appeal", "petition"]).alias("marker"), T.title_key(F.substring(c, 1, 60)).alias("title_key"))
 
 
+@query("""SELECT DISTINCT row_no, trim(regexp_replace(lower(case_title), '[^a-z0-9]+', ' ', 'g')) AS title_key FROM precedents WHERE case_title IS NOT NULL""")
+def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole title of each precedent, normalised."""
+    return table(spark, sf_dir, "precedents").filter("case_title is not null").select("row_no", T.title_key(F.col("case_title")).alias("title_key")).distinct()
+
+
 @query("""SELECT DISTINCT row_no, CASE WHEN regexp_matches(decision_date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN strftime(try_strptime(decision_date, '%Y-%m-%d'), '%Y-%m-%d') END AS decided FROM precedents""")
 def strict_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "precedents").select("row_no", T.iso_date(F.col("decision_date")).cast("string").alias("decided")).distinct()

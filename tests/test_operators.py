@@ -339,6 +339,13 @@ def test_law_sync_sees_every_content_column(spark, sf, tmp_path):
     assert rows(library.law_sync(spark, str(tmp_path))) == sorted([(c, "update") for c in library.LAW_CONTENT] + [("source_file", "unchanged")])
 
 
+def test_title_keys_are_of_whole_titles(spark, tmp_path):
+    head = "The same long opening of two case titles, longer than sixty signs: "
+    spark.createDataFrame([(1, head + "A v. B"), (2, head + "A v. C"), (3, None)], "row_no long, case_title string").write.parquet(str(tmp_path / "precedents.parquet"))
+    got = dict(rows(library.title_keys(spark, str(tmp_path))))
+    assert got.keys() == {1, 2} and got[1].endswith("sixty signs a v b") and got[2].endswith("sixty signs a v c")
+
+
 def test_max_sim_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     docs = [(f"d{rng.integers(40)}", rng.normal(size=4).tolist()) for _ in range(150)]
