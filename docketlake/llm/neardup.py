@@ -2,36 +2,78 @@
 
 from __future__ import annotations
 
-import math
+import hashlib
+import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketlake.functions.text import n_gram_hashes
 from docketlake.plans.session import cut
 
-#: Unless told otherwise, classes of equal texts up to this size are expanded to all their pairs; larger ones to pairs with their smallest member.
-EXPAND = 50
 #: Documents of one prefix token or class that meet in one task; larger groups are cut into blocks of so many.
 BLOCK = 2048
-#: Prefix tokens that a candidate must share; the prefixes are longer by as many.
+#: Prefix tokens that a candidate must share under each order; the prefixes are longer by as many.
 MATCHES = 4
+#: Counters of the token frequencies, as a power of two: a table of constant size, one byte each.
+COUNTERS = 20
+#: Documents whose tokens are ordered at a time.
+ROWS = 8192
+
+_WORD = re.compile(r"[^\W_]+")
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * _MIX[0]
+    z = (z ^ (z >> np.uint64(27))) * _MIX[1]
+    return z ^ (z >> np.uint64(31))
+
+
+def token_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes (int64) of the runs of `words` successive words of each text."""
+    known: dict[str, int] = {}
+    parts = [_WORD.findall(t.lower()) if t else [] for t in texts]
+    for w in {w for p in parts for w in p}:
+        known[w] = xxhash.xxh64_intdigest(w)
+    out = []
+    for p in parts:
+        n = len(p) - words + 1
+        if n < 1:
+            out.append(np.zeros(0, np.int64))
+            continue
+        h = np.fromiter((known[w] for w in p), np.uint64, len(p))
+        s = np.zeros(n, np.uint64)
+        for k in range(words):
+            s = _mixed(s + h[k : k + n])
+        out.append(np.unique(s.view(np.int64)))
+    return out
 
 
-def shingles(text: Column, words: int) -> Column:
-    """Sorted distinct 64-bit hashes of the runs of `words` successive words; words are runs of letters and digits."""
-    parts = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_sort(n_gram_hashes(parts, words))
+def documents(df: DataFrame, id: str, text: Column, words: int) -> DataFrame:
+    """(id, s, h): the ids with their sorted shingle hashes, which are empty for null and short texts, and a digest of these.
 
+    Words are runs of letters and digits, in lower case. Whole texts are read.
+    """
 
-def documents(df: DataFrame, id: str, text: Column, words: int) -> DataFrame:
-    """(id, s): the ids with their sorted shingle hashes, which are empty for null and short texts."""
-    return df.select(F.col(id).alias("id"), shingles(text, words).alias("s"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = token_sets(b.column(1).to_pylist(), words)
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(digests, pa.binary())], ["id", "s", "h"])
 
+    rows = df.select(F.col(id).alias("id"), text.alias("text"))
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, s array<long>, h binary")
 
-def _prefix(n: Column, t: float) -> Column:
+
+def _prefix(n, t: float):
     """Tokens of a set of n of which sets of similarity t or more must share one, under any one order."""
-    return (n - F.ceil(n * F.lit(t) - F.lit(1e-9)) + 1).cast("int")
+    return n - np.ceil(n * t - 1e-9).astype(np.int64) + 1
 
 
 def _overlap(n: Column, m: Column, t: float) -> Column:
@@ -39,6 +81,44 @@ def _overlap(n: Column, m: Column, t: float) -> Column:
     return F.ceil((n + m) * F.lit(t / (1 + t)) - F.lit(1e-9))
 
 
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How common the tokens are: 2 ** COUNTERS counters by the first bits of the token, as eighths of a power of two.
+
+    All sets are counted. The table has the same size whatever the number of tokens, so it may go to every task; with
+    very many tokens rare ones share counters, and only common ones are still told apart, which are those that matter.
+    """
+    at = F.shiftrightunsigned("t", 64 - COUNTERS).cast("int")
+    level = F.least(F.lit(127), F.floor(F.log2(F.col("n")) * 4)).cast("byte")
+    got = sets.select(F.explode("s").alias("t")).select(at.alias("at")).groupBy("at").agg(F.count("*").alias("n")).select("at", level.alias("level")).toPandas()
+    out = np.zeros(1 << COUNTERS, np.uint8)
+    out[got["at"].to_numpy(np.int64)] = got["level"].to_numpy(np.uint8)
+    return out
+
+
+def _prefixes(common: np.ndarray, t: float):
+    """(t, id, n, p): the first tokens of each set under order 1, rarest first, with the set's size and their place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                b = whole.slice(start, ROWS)
+                lists = b.column(1)
+                flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                doc = np.repeat(np.arange(len(n)), n)
+                # One sort key: the document, how common the token is, the token's first bits; the rest as they stand.
+                key = (doc.astype(np.uint64) << np.uint64(50)) | (common[flat >> np.uint64(64 - COUNTERS)].astype(np.uint64) << np.uint64(42)) | (flat >> np.uint64(22))
+                order = np.argsort(key, kind="stable")
+                place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+                keep = place < np.repeat(_prefix(n, t) + MATCHES, n)
+                at = doc[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat[order][keep].view(np.int64)), b.column(0).take(pa.array(at)), pa.array(n[at].astype(np.int32)), pa.array(place[keep].astype(np.int32))], ["t", "id", "n", "p"]
+                )
+
+    return run
+
+
 class Similar:
     """Classes of equal shingle sets, and the links between their representatives.
 
@@ -48,70 +128,85 @@ class Similar:
     Nulls and texts of fewer words belong to no class. Equal texts are one class whatever their number, so they never
     meet in pairs. An empty table has no members and no links.
 
-    Plan: document frequencies are counted over all representatives; a token that stands in one document only can't be
-    shared and leaves. Order 1 is by frequency, rarest first: representatives that share MATCHES tokens of their
-    prefixes under it, whose length depends on both sizes, are candidates. Orders 2 and 3 are by the token's hash, up and down: a
-    candidate must share a prefix token under each of them too before its whole sets are intersected.
+    Plan: order 1 is rarest first, by counters of constant size over all sets, so each task orders its own documents
+    and only prefixes are shuffled. Representatives that share MATCHES tokens of their prefixes under order 1, whose
+    length depends on both sizes, meet. Orders 2 and 3 are by the token's hash, up and down: what met must share
+    MATCHES tokens of those prefixes too. Only pairs that pass all three fetch whole sets and are verified.
     """
 
     def __init__(self, docs: DataFrame, threshold: float) -> None:
         t = threshold
         # Rows without a shingle leave only after the cut: a filter before it would compute all shingles twice.
-        rows = cut(docs.withColumn("h", F.md5(F.to_json("s")))).filter(F.size("s") > 0)
-        reps = rows.groupBy("h").agg(F.min("id").alias("rep"))
-        self.members = cut(rows.select("id", "h").join(reps, "h").select("id", "rep").distinct())
-        sets = rows.join(reps, (rows.h == reps.h) & (rows.id == reps.rep), "left_semi").select("id", "s").dropDuplicates(["id"])
-        sets = cut(sets)
-        tokens = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("t"))
-        common = tokens.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
-        shared = tokens.join(common, "t").select("id", "n", "t", "df")
-        doc = Window.partitionBy("id")
-        # p is the token's place among all tokens of its document: those of one document only come first.
-        placed = shared.withColumn("p", F.row_number().over(doc.orderBy("df", "t")) + F.col("n") - F.count("*").over(doc)).drop("df")
-        prefix = cut(placed.filter(F.col("p") < _prefix(F.col("n"), t) + MATCHES))
+        rows = cut(docs).filter(F.size("s") > 0)
+        self.members = cut(rows.select("id", F.min("id").over(Window.partitionBy("h")).alias("rep")).distinct())
+        first = self.members.filter("id = rep").select("id")
+        self.sets = cut(rows.join(first, "id", "left_semi").select("id", "s").dropDuplicates(["id"]))
+        kind = dict(self.sets.dtypes)["id"]
+        self.prefix = cut(self.sets.mapInArrow(_prefixes(frequencies(self.sets), t), f"t long, id {kind}, n int, p int"))
+        self.met = cut(self._meet(self.prefix, t))
+        ends = self.sets.select("id", F.size("s").alias("n"), "s")
+        length = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * F.lit(t) - F.lit(1e-9)) + MATCHES).cast("int")
+        ends = ends.select("id", "n", F.slice("s", F.lit(1), length).alias("up"), F.slice("s", F.col("n") - length + 1, length).alias("down"))
+        a, b = (ends.select(*[F.col(c).alias(f"{c}_{x}") for c in ends.columns]) for x in "ab")
+        need = F.least(F.lit(MATCHES), _overlap(F.col("n_a"), F.col("n_b"), t))
+        share = lambda c: F.size(F.array_intersect(f"{c}_a", f"{c}_b")) >= need
+        self.candidates = cut(self.met.join(a, F.col("a") == F.col("id_a")).join(b, F.col("b") == F.col("id_b")).filter(share("up")).filter(share("down")).select("a", "b"))
+        both = self.candidates.join(self.sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(self.sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        same = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
+        self.links = cut(same.filter(F.col("i") >= F.lit(t) * (F.col("n") - F.col("i")) - 1e-9).select("a", "b", (F.col("i") / (F.col("n") - F.col("i"))).alias("similarity")))
+
+    @staticmethod
+    def _meet(prefix: DataFrame, t: float) -> DataFrame:
+        """(a, b): pairs that share MATCHES tokens of their prefixes under order 1, or all that similar sets share."""
         # The documents of a hot token are cut into blocks that meet block by block, so that no task holds them all.
-        hot = prefix.groupBy("t").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK).select("t", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-        prefix = prefix.join(hot, "t", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        hot = cut(prefix.groupBy("t").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK).select("t", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
+        one = F.lit(1)
+        if hot.isEmpty():
+            prefix = prefix.withColumn("blocks", one)
+        else:
+            prefix = prefix.join(hot, "t", "left").withColumn("blocks", F.coalesce("blocks", one))
         own, every = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        meeting = F.when(F.col("blocks") == 1, F.col("t")).otherwise(F.xxhash64("t", "i", "j")).alias("t")
         # x is the larger of a pair: as y has at least t times its tokens, y's prefix can be the shorter one.
-        x = prefix.withColumn("i", own).withColumn("j", every).select("t", "i", "j", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("p").alias("px"))
+        x = prefix.withColumn("i", own).withColumn("j", every).select(meeting, F.col("id").alias("x"), F.col("n").alias("nx"), F.col("p").alias("px"))
         short = F.col("n") - _overlap(F.col("n"), F.col("n"), t) + MATCHES
-        y = prefix.filter(F.col("p") <= short).withColumn("j", own).withColumn("i", every).select("t", "i", "j", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("p").alias("py"))
+        y = prefix.filter(F.col("p") <= short).withColumn("j", own).withColumn("i", every).select(meeting, F.col("id").alias("y"), F.col("n").alias("ny"), F.col("p").alias("py"))
         need = _overlap(F.col("nx"), F.col("ny"), t)
         ordered = (F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x")))
         near = ordered & (F.col("ny") >= F.lit(t) * F.col("nx") - 1e-9) & (F.col("px") <= F.col("nx") - need + MATCHES) & (F.col("py") <= F.col("ny") - need + MATCHES)
         # Among the first n - need + MATCHES tokens of both, a pair that is similar shares MATCHES (or all it can have).
-        met = x.join(y, ["t", "i", "j"]).filter(near).groupBy("x", "y").agg(F.count("*").alias("c"), F.min(F.least(F.lit(MATCHES), need)).alias("least"))
-        pairs = cut(met.filter("c >= least").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-        sa = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-        sb = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-        both = pairs.join(sa, "a").join(sb, "b")
-        head = lambda c: F.slice(c, F.lit(1), _prefix(F.size(c), t))
-        tail = lambda c: F.slice(c, F.size(c) - _prefix(F.size(c), t) + 1, _prefix(F.size(c), t))
-        met = F.arrays_overlap(head("sa"), head("sb")) & F.arrays_overlap(tail("sa"), tail("sb"))
-        same = F.size(F.array_intersect("sa", "sb"))
-        self.links = cut(
-            both.filter(met).select("a", "b", same.alias("i"), (F.size("sa") + F.size("sb") - same).alias("u"))
-            .filter(F.col("i") >= F.lit(t) * F.col("u") - 1e-9)
-            .select("a", "b", (F.col("i") / F.col("u")).alias("similarity"))
-        )
+        met = x.join(y, "t").filter(near).groupBy("x", "y").agg(F.count("*").alias("c"), F.min(F.least(F.lit(MATCHES), need)).alias("least"))
+        return met.filter("c >= least").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
-    def pairs(self, expand: int | None = EXPAND) -> DataFrame:
-        """(a, b), a < b, of all documents that are similar. Every link between different texts is expanded to all
-        members; a class of equal texts to all its pairs up to `expand` members, beyond that to pairs with its smallest.
+    def pairs(self) -> DataFrame:
+        """(a, b), a < b, of all documents that are similar: every link between representatives is expanded to all
+        members of both classes, and every class of equal texts to all its pairs, as many as the square of its size.
 
-        With None every class is expanded to all its pairs, which are as many as the square of its size. Classes of more
-        than BLOCK members are cut into blocks that meet block by block.
+        Classes of more than BLOCK members are cut into blocks that meet block by block, here and in links.
         """
         size = self.members.groupBy("rep").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        m = self.members.join(size.filter("size > 1"), "rep").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        starts = m if expand is None else m.filter((F.col("size") <= expand) | (F.col("id") == F.col("rep")))
-        x, y = starts.select("rep", F.col("own").alias("i"), F.col("other").alias("j"), F.col("id").alias("x")), m.select("rep", F.col("other").alias("i"), F.col("own").alias("j"), F.col("id").alias("y"))
+        m = self.members.join(size, "rep").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        several = m.filter("size > 1").withColumn("other", every)
+        x, y = several.select("rep", F.col("own").alias("i"), F.col("other").alias("j"), F.col("id").alias("x")), several.select("rep", F.col("other").alias("i"), F.col("own").alias("j"), F.col("id").alias("y"))
         equal = x.join(y, ["rep", "i", "j"]).filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        ma = self.members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
-        mb = self.members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-        linked = self.links.join(ma, "a").join(mb, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        return equal.unionByName(linked).distinct()
+        # A link meets the blocks of both its classes one by one.
+        blocks = size.select("rep", "blocks")
+        wide = self.links.join(blocks.select(F.col("rep").alias("a"), "blocks"), "a").select("a", "b", every.alias("i"))
+        wide = wide.join(blocks.select(F.col("rep").alias("b"), "blocks"), "b").select("a", "b", "i", every.alias("j"))
+        ma = m.select(F.col("rep").alias("a"), F.col("own").alias("i"), F.col("id").alias("x"))
+        mb = m.select(F.col("rep").alias("b"), F.col("own").alias("j"), F.col("id").alias("y"))
+        linked = wide.join(ma, ["a", "i"]).join(mb, ["b", "j"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        return equal.unionByName(linked)
+
+    def funnel(self) -> DataFrame:
+        """(step, n): what each filter leaves: prefix tokens, pairs met under order 1, under all orders, links."""
+        steps = (("documents", self.members), ("distinct", self.sets), ("prefix_tokens", self.prefix), ("met_order_1", self.met), ("met_all_orders", self.candidates), ("links", self.links))
+        out = None
+        for name, df in steps:
+            one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("step"), "n")
+            out = one if out is None else out.unionByName(one)
+        return out
 
     def groups(self) -> DataFrame:
         """(id, class_id, n_links): the smallest id of the document's group, and the number of its similar documents.
