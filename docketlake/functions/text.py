@@ -43,24 +43,40 @@ def _starts(w: Column, n: int) -> Column:
 
 
 def amounts(c: Column) -> Column:
-    """Amounts written in digits, times lakh or crore where that word follows, truncated to whole units."""
-    found = F.regexp_extract_all(c, F.lit(r"(?:₹|Rs\.?) ?([0-9][0-9,]*(?:\.[0-9]+)?(?: ?(?:lakh|crore))?)"), F.lit(1))
+    """Distinct whole amounts written in digits, sorted, times lakh or crore (also lac, cr) where that follows, truncated.
+
+    Every number counts, whatever stands before it; numbers of more than twenty digits are left out.
+    """
+    found = F.regexp_extract_all(c, F.lit(r"(?i)([0-9][0-9,]*(?:\.[0-9]+)?\s*(?:/-)?\s*(?:crores?|cr\b|lakhs?|lacs?)?)"), F.lit(1))
 
     def value(m: Column) -> Column:
-        number = F.regexp_replace(F.regexp_extract(m, r"^([0-9][0-9,]*(?:\.[0-9]+)?)", 1), ",", "").cast("decimal(28,4)")
-        unit = F.when(m.endswith("crore"), F.lit(CRORE)).when(m.endswith("lakh"), F.lit(LAKH)).otherwise(F.lit(1))
-        return F.floor(number * unit).cast("bigint")
+        number = F.regexp_replace(F.regexp_extract(m, r"^([0-9][0-9,]*(?:\.[0-9]+)?)", 1), ",", "").try_cast("decimal(24,4)")
+        unit = F.when(F.lower(m).rlike("cr"), F.lit(CRORE)).when(F.lower(m).rlike("la"), F.lit(LAKH)).otherwise(F.lit(1))
+        return F.floor(number * unit).try_cast("bigint")
+
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(found, value))))
+
+
+# Month names in order.
+MONTHS = "january february march april may june july august september october november december".split()
+_MONTH = "|".join(MONTHS)
+
 
-    return F.transform(found, value)
+def _day(year: Column, month: Column, day: Column) -> Column:
+    return F.try_to_timestamp(F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
 
 
 def dates(c: Column) -> Column:
-    """Distinct dates written yyyy-mm-dd, dd.mm.yyyy or '4 March 2019', sorted; impossible ones are left out."""
-    iso = F.transform(F.regexp_extract_all(c, F.lit(r"\b([0-9]{4}-[0-9]{2}-[0-9]{2})\b"), F.lit(1)), lambda m: F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date"))
-    dots = F.transform(F.regexp_extract_all(c, F.lit(r"\b([0-9]{2}\.[0-9]{2}\.[0-9]{4})\b"), F.lit(1)), lambda m: F.try_to_timestamp(m, F.lit("dd.MM.yyyy")).cast("date"))
-    months = "January|February|March|April|May|June|July|August|September|October|November|December"
-    long = F.transform(F.regexp_extract_all(c, F.lit(rf"\b([0-9]{{1,2}} (?:{months}) [0-9]{{4}})\b"), F.lit(1)), lambda m: F.try_to_timestamp(m, F.lit("d MMMM yyyy")).cast("date"))
-    return F.array_sort(F.array_distinct(F.array_compact(F.concat(iso, dots, long))))
+    """Distinct dates written d.m.yyyy (also with / or -), '4th day of March, 2019' or 'March 4th, 2019', in any case,
+    sorted; impossible ones are left out, never repaired."""
+    low = F.lower(c)
+    every = lambda p: F.regexp_extract_all(low, F.lit(p), F.lit(0))
+    part = lambda m, p: F.regexp_extract(m, p, 1)
+    month = lambda m: F.array_position(F.array(*map(F.lit, MONTHS)), part(m, f"({_MONTH})")).cast("string")
+    figures = F.transform(every(r"\b[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}\b"), lambda m: _day(part(m, "([0-9]{4})$"), part(m, "^[0-9]+[./-]([0-9]+)"), part(m, "^([0-9]+)")))
+    day_first = F.transform(every(rf"\b[0-9]{{1,2}}(?:st|nd|rd|th)?\s+(?:day\s+of\s+)?(?:{_MONTH}),?\s+[0-9]{{4}}\b"), lambda m: _day(part(m, "([0-9]{4})$"), month(m), part(m, "^([0-9]+)")))
+    month_first = F.transform(every(rf"\b(?:{_MONTH})\s+[0-9]{{1,2}}(?:st|nd|rd|th)?,?\s+[0-9]{{4}}\b"), lambda m: _day(part(m, "([0-9]{4})$"), month(m), part(m, "^[a-z]+\\s+([0-9]+)")))
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(figures, day_first, month_first))))
 
 
 def iso_date(c: Column) -> Column:
@@ -69,10 +85,11 @@ def iso_date(c: Column) -> Column:
 
 
 def appeal_numbers(c: Column) -> Column:
-    """Distinct 'number/year' of 'No. n of yyyy' and 'n/yyyy', leading zeros stripped."""
-    of = F.transform(F.regexp_extract_all(c, F.lit(r"No\. ?([0-9]{1,6} of [0-9]{4})\b"), F.lit(1)), lambda m: F.regexp_replace(m, " of ", "/"))
-    slash = F.regexp_extract_all(c, F.lit(r"(?<![0-9/])([0-9]{1,6}/[0-9]{4})(?![0-9/])"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(F.concat(of, slash), lambda m: F.regexp_replace(m, "^0+(?=[0-9])", ""))))
+    """Distinct 'number/year' of 'No. n of yyyy' (also Nos, n/yyyy) and of a bare n/yyyy, years 1900 to 2099, leading zeros stripped."""
+    plain = lambda m: F.concat(F.regexp_replace(F.regexp_extract(m, r"([0-9]{1,6})\s*(?:[oO][fF]|/)", 1), "^0+(?=[0-9])", ""), F.lit("/"), F.regexp_extract(m, "([0-9]{4})$", 1))
+    named = F.regexp_extract_all(c, F.lit(r"(?i)\bNos?\.?\s*[0-9]{1,6}\s*(?:of|/)\s*(?:19|20)[0-9]{2}\b"), F.lit(0))
+    bare = F.regexp_extract_all(c, F.lit(r"(?<![0-9/])[0-9]{1,6}\s*/\s*(?:19|20)[0-9]{2}\b"), F.lit(0))
+    return F.array_sort(F.array_distinct(F.transform(F.concat(named, bare), plain)))
 
 
 def numbers(c: Column) -> Column:
@@ -112,12 +129,46 @@ def cap_list(items: Column, most: int) -> Column:
     return F.when(rest > 0, F.concat(F.array_join(F.slice(items, 1, most), ", "), F.lit(" +"), rest.cast("string"), F.lit(" more"))).otherwise(F.array_join(items, ", "))
 
 
+#: The form of a section's head, a number and a label in capitals, and the parts that are left out or kept.
+SECTION = r"(?:^|\s)[0-9]+\.\s+([A-Z][A-Z /&-]*[A-Z]):\s*"
+LEFT_OUT, RATIO_PARTS = ("PARTY IDENTITIES",), 3
+
+
 def sections(c: Column) -> Column:
-    """Labelled parts 'LABEL: text' as structs (label, text); a text without labels is one part labelled ''."""
-    labels = F.regexp_extract_all(c, F.lit(r"(?:^|\s)([A-Z][A-Z ]{3,}):\s"), F.lit(1))
-    texts = F.split(c, r"(?:^|\s)[A-Z][A-Z ]{3,}:\s+")
-    parts = F.zip_with(labels, F.slice(texts, 2, F.size(labels)), lambda k, v: F.struct(k.alias("label"), F.trim(v).alias("text")))
-    return F.when(F.size(labels) == 0, F.array(F.struct(F.lit("").alias("label"), c.alias("text")))).otherwise(parts)
+    """Parts '1. LABEL: text' as structs (label, text) in order; none where there is no numbered label."""
+    labels = F.regexp_extract_all(c, F.lit(SECTION), F.lit(1))
+    texts = F.split(c, SECTION)
+    return F.zip_with(labels, F.slice(texts, 2, F.greatest(F.size(labels), F.lit(0))), lambda k, v: F.struct(k.alias("label"), F.trim(v).alias("text")))
+
+
+def _labelled(parts: Column) -> Column:
+    return F.transform(F.filter(parts, lambda s: s["text"] != ""), lambda s: F.concat(s["label"], F.lit(": "), s["text"]))
+
+
+def _or_whole(c: Column, parts: Column) -> Column:
+    whole = F.filter(F.array(F.trim(c)), lambda t: t != "")
+    return F.when(F.size(sections(c)) > 0, parts).otherwise(whole)
+
+
+def facts_sections(c: Column) -> Column:
+    """'LABEL: text' of each part with text, those of LEFT_OUT excepted; without parts the whole text, if there is any."""
+    return _or_whole(c, _labelled(F.filter(sections(c), lambda s: ~s["label"].isin(*LEFT_OUT))))
+
+
+def ratio_parts(c: Column) -> Column:
+    """'LABEL: text' of those of the first RATIO_PARTS parts that have text; without parts the whole text."""
+    return _or_whole(c, _labelled(F.slice(sections(c), 1, RATIO_PARTS)))
+
+
+def ratio_passage(c: Column) -> Column:
+    """The first RATIO_PARTS parts, empty ones too, as one passage; without parts the whole text."""
+    parts = F.transform(F.slice(sections(c), 1, RATIO_PARTS), lambda s: F.concat(s["label"], F.lit(": "), s["text"]))
+    return F.when(F.size(sections(c)) > 0, F.array_join(parts, " ")).otherwise(F.trim(c))
+
+
+def core_rule(c: Column) -> Column:
+    """The first of ratio_parts; empty where there is none."""
+    return F.coalesce(F.try_element_at(ratio_parts(c), F.lit(1)), F.lit(""))
 
 
 def token_windows(c: Column, limit: int) -> Column:
@@ -205,3 +256,59 @@ def quote_places(text: Column, quote: Column) -> Column:
     """How often a quote stands in a text, after squeezing both; 0 for an empty quote."""
     t, q = squeeze(text), squeeze(quote)
     return F.when(q == "", 0).otherwise(F.size(F.split(F.replace(t, q, F.lit("\u0001")), "\u0001")) - 1)
+
+
+def quote_at(text: Column, quote: Column) -> Column:
+    """The first place (from 1) of a quote in a text, both squeezed; 0 where it doesn't stand there or is empty."""
+    q = squeeze(quote)
+    return F.when(q == "", 0).otherwise(F.instr(squeeze(text), q))
+
+
+def quote_pages(text: Column, quote: Column) -> Column:
+    """Numbers, from 1, of the pages (separated by form feeds) that hold a quote."""
+    q = squeeze(quote)
+    held = F.transform(F.split(text, "\f"), lambda p, i: F.when((q != "") & F.contains(squeeze(p), q), i + 1))
+    return F.array_compact(held)
+
+
+def quote_context(text: Column, quote: Column, signs: int) -> Column:
+    """The quote's first place with up to `signs` signs on either side; empty where it doesn't stand there."""
+    t, at = squeeze(text), quote_at(text, quote)
+    start = F.greatest(at - signs, F.lit(1))
+    return F.when(at > 0, F.substring(t, start, at - start + F.length(squeeze(quote)) + signs)).otherwise("")
+
+
+#: Forms of case citations and of a court's registration numbers.
+CITATIONS = (
+    r"[A-Z][\w.&'-]*(?:\s+[A-Z&][\w.&'-]*)*\s+(?:v\.|vs\.?|versus)\s+[A-Z]",
+    r"\([0-9]{4}\)\s*[0-9]+\s*SCC\b",
+    r"(?i)\b[0-9]{4}\s+SCC\s+OnLine\b",
+    r"\bAIR\s+[0-9]{4}\b",
+    r"(?i)\(\s*supra\s*\)",
+)
+REGISTRATION = (
+    r"(?i)\bNos?\.\s*[0-9]{1,6}(?:\s*(?:,|and|&)\s*[0-9]{1,6})*(?:\s*(?:of|/)\s*(?:19|20)[0-9]{2}\b|/[A-Za-z][\w/()-]*?(?:19|20)[0-9]{2}\b)"
+    r"|\(IB\)\s*[-/]?\s*[0-9]{1,6}\s*[/(]\s*\(?[A-Za-z][\w/()-]*?(?:19|20)[0-9]{2}\b"
+    r"|\b[0-9]{1,6}\s*(?:/\s*[A-Za-z]{2,}|\(\s*[A-Za-z]{2,}\s*\))(?:\s*/\s*[A-Za-z]{2,})*\s*/?\s*(?:19|20)[0-9]{2}\b"
+)
+
+
+def citation_hits(c: Column) -> Column:
+    """Case citations in a text, form by form, as they stand there."""
+    return F.concat(*[F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in CITATIONS])
+
+
+def registration_hits(c: Column) -> Column:
+    """Registration numbers of cases, those with a year, as they stand there."""
+    return F.regexp_extract_all(c, F.lit(REGISTRATION), F.lit(0))
+
+
+def window_places(c: Column, limit: int) -> Column:
+    """Numbers of the windows of at most `limit` words (tokens of a word-count tokenizer) a text is cut into."""
+    n = F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    return F.when(n > 0, F.sequence(F.lit(0), F.ceil(n / limit).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def renamed_keys(c: Column, old: str, new: str) -> Column:
+    """JSON text with a key of that name renamed wherever it stands as a key."""
+    return F.regexp_replace(c, rf'"{old}"(\s*:)', f'"{new}"$1')

@@ -74,12 +74,18 @@ def draft_checks(drafts: DataFrame, vocabulary: list[str]) -> DataFrame:
 
 
 def date_written(text: Column, day: Column) -> Column:
-    """Whether a date stands in a text in one of four forms: 2020-03-04, 04.03.2020, 4 March 2020, March 4, 2020."""
-    forms = [F.date_format(day, p) for p in ("yyyy-MM-dd", "dd.MM.yyyy", "d MMMM yyyy", "MMMM d, yyyy")]
-    found = F.contains(text, forms[0])
-    for f in forms[1:]:
-        found = found | F.contains(text, f)
-    return found
+    """Whether a date stands in a text: 4.3.2020 (padded or not, with / or - or blanks), 4th of March 2020, Mar. 4, 2020
+    or 2020-03-04; months by their first three letters, in any case."""
+    d, y = F.dayofmonth(day).cast("string"), F.year(day).cast("string")
+    m, word = F.month(day).cast("string"), F.substring(F.element_at(F.array(*map(F.lit, T.MONTHS)), F.month(day)), 1, 3)
+    ordinal = F.concat(F.lit("0?"), d, F.lit("(?:st|nd|rd|th)?"))
+    forms = (
+        F.concat(F.lit(r"(?:^|[^0-9])0?"), d, F.lit(r"\s*[./-]\s*0?"), m, F.lit(r"\s*[./-]\s*"), y, F.lit("(?:[^0-9]|$)")),
+        F.concat(F.lit(r"(?:^|[^0-9])"), ordinal, F.lit(r"\s+(?:of\s+)?"), word, F.lit(r"[a-z]*\.?,?\s+"), y),
+        F.concat(word, F.lit(r"[a-z]*\.?\s+"), ordinal, F.lit(r",?\s+"), y),
+        F.date_format(day, "yyyy-MM-dd"),
+    )
+    return F.regexp_like(F.lower(text), F.concat_ws("|", *forms))
 
 
 def literal_problems(literals: DataFrame) -> DataFrame:

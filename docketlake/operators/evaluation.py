@@ -37,13 +37,16 @@ def macro_f1(rows: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> Data
 def mcnemar(only_a: Column, only_b: Column) -> Column:
     """Exact two-sided p: min(1, 2 * sum of C(n, i) / 2^n for i up to the smaller count), 1 without any difference.
 
-    The terms follow from each other (c * (n - i + 1) / i), so nothing overflows before n = 1000.
+    The largest term is taken by its logarithm and the others follow from it downwards, so nothing overflows.
     """
     n, k = only_a + only_b, F.least(only_a, only_b)
     steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    top = F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.log((n - i + 1) / i)) - n * F.log(F.lit(2.0))
     start = F.struct(F.lit(1.0).alias("c"), F.lit(1.0).alias("s"))
-    total = F.aggregate(steps, start, lambda a, i: F.struct((a["c"] * (n - i + 1) / i).alias("c"), (a["s"] + a["c"] * (n - i + 1) / i).alias("s")))["s"]
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * total / F.pow(F.lit(2.0), n)))
+    # From C(n, k) down to C(n, 0), each as a share of the first: C(n, j - 1) = C(n, j) * j / (n - j + 1).
+    share = lambda a, i: a["c"] * (k - i + 1) / (n - k + i)
+    total = F.aggregate(steps, start, lambda a, i: F.struct(share(a, i).alias("c"), (a["s"] + share(a, i)).alias("s")))["s"]
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * total * F.exp(top)))
 
 
 def paired(rows: DataFrame) -> DataFrame:
@@ -83,15 +86,22 @@ def majority(rows: DataFrame, by: Sequence[str], label: str) -> DataFrame:
     return top.select(*by, F.when(F.size(F.filter("all", lambda x: x == F.col("t.n"))) == 1, F.col(f"t.{label}")).alias("majority"))
 
 
-def expanding_majority(rows: DataFrame, labels: Sequence[str], by: Sequence[str], order: Sequence[str], truth: str) -> DataFrame:
+def expanding_majority(rows: DataFrame, labels: Sequence[str], by: Sequence[str], order: Sequence[str], truth: str, case: Sequence[str] = ()) -> DataFrame:
     """Adds `prediction`: the majority of the truths of earlier rows of the group, null on a tie or without any.
 
-    One running count a label; only rows strictly before count, so the first of a group has no prediction.
+    One running count a label; only rows strictly before count, so the first of a group has no prediction. With `case`,
+    rows (issues) of one case share the value from before their case: they are counted per case first.
     """
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = rows
-    for i, v in enumerate(labels):
-        out = out.withColumn(f"__c{i}", F.coalesce(F.sum((F.col(truth) == v).cast("int")).over(w), F.lit(0)))
+    hits = {f"__c{i}": F.sum((F.col(truth) == v).cast("int")) for i, v in enumerate(labels)}
+    if case:
+        cases = rows.groupBy(*dict.fromkeys([*by, *case, *order])).agg(*[h.alias(c) for c, h in hits.items()])
+        counted = cases.select(*by, *case, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in hits])
+        out = out.join(counted, [*by, *case])
+    else:
+        for c, h in hits.items():
+            out = out.withColumn(c, F.coalesce(h.over(w), F.lit(0)))
     counts = [F.col(f"__c{i}") for i in range(len(labels))]
     best = F.greatest(*counts)
     winners = sum((c == best).cast("int") for c in counts)

@@ -66,8 +66,8 @@ def rebuttal_depth(points: DataFrame) -> DataFrame:
 
 
 def consistency(contradictions: Column, claims: Column) -> Column:
-    """1 less the contradictions a claim, not below 0; 1 without claims."""
-    return F.when(claims == 0, 1.0).otherwise(1 - F.least(F.lit(1.0), contradictions / claims))
+    """1 less the contradictions a claim, not below 0; null without claims."""
+    return F.when(claims > 0, 1 - F.least(F.lit(1.0), contradictions / claims))
 
 
 def mean_of_available(*parts: Column) -> Column:
@@ -84,9 +84,17 @@ def grounded(values: DataFrame) -> DataFrame:
 
 
 def citation_tiers(assessments: DataFrame) -> DataFrame:
-    """(session_id, claim_id, tier): VERIFIED if all citations support with a verbatim quote, CONTRADICTED if any contradicts."""
-    g = assessments.groupBy("session_id", "claim_id").agg(F.bool_or(F.col("entailment") == "CONTRADICTS").alias("bad"), F.bool_and((F.col("entailment") == "SUPPORTS") & F.col("verbatim")).alias("good"))
-    return g.select("session_id", "claim_id", F.when(F.col("bad"), "CONTRADICTED").when(F.col("good"), "VERIFIED").otherwise("NEUTRAL").alias("tier"))
+    """(session_id, claim_id, tier, entailment) of claims with citations (entailment, verbatim).
+
+    A verdict counts only with its own quote, verbatim; without it, it is neutral. tier is VERIFIED if every citation
+    supports, else UNVERIFIABLE; entailment is CONTRADICTS if any contradicts, SUPPORTS if all support, else NEUTRAL.
+    """
+    said = F.when(F.coalesce("verbatim", F.lit(False)), F.col("entailment")).otherwise("NEUTRAL")
+    g = assessments.groupBy("session_id", "claim_id").agg(F.bool_or(said == "CONTRADICTS").alias("bad"), F.bool_and(said == "SUPPORTS").alias("good"))
+    return g.select(
+        "session_id", "claim_id", F.when(F.col("good"), "VERIFIED").otherwise("UNVERIFIABLE").alias("tier"),
+        F.when(F.col("bad"), "CONTRADICTS").when(F.col("good"), "SUPPORTS").otherwise("NEUTRAL").alias("entailment"),
+    )
 
 
 def attempt_fold(attempts: DataFrame, cap: int) -> DataFrame:

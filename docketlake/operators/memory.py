@@ -9,28 +9,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def usable_lessons(lessons: DataFrame, status: str, statutes: list[str], versions: dict[str, str] | None = None) -> DataFrame:
-    """ACTIVE lessons of the status whose keys are empty or among the statutes; null keys count as none.
+def usable_lessons(
+    lessons: DataFrame, status: str, statutes: list[str], versions: dict[str, str] | None = None, families: dict[str, str] | None = None, unkeyed: list[str] | None = None
+) -> DataFrame:
+    """ACTIVE lessons of the status, or of another of its family, whose keys are empty or among the statutes.
 
-    With versions, a lesson whose map `law_versions` names another version of a shared statute is left out.
+    Null keys count as none, and so do those in `unkeyed`. families: status to family. With versions, a lesson whose map
+    `law_versions` names another version of a shared statute is left out.
     """
-    keys = F.coalesce("statute_ids", F.array().cast("array<string>"))
-    keys = F.filter(keys, lambda k: k.isNotNull())
+    keys = F.filter(F.coalesce("statute_ids", F.array().cast("array<string>")), lambda k: k.isNotNull())
+    if unkeyed:
+        keys = F.array_except(keys, F.array(*map(F.lit, unkeyed)))
     wanted = F.array(*map(F.lit, statutes)).cast("array<string>")
-    out = lessons.filter((F.col("status") == "ACTIVE") & (F.col("party_status") == status) & ((F.size(keys) == 0) | F.arrays_overlap(keys, wanted)))
+    family = (families or {}).get(status)
+    sides = {status, *(s for s, f in (families or {}).items() if family is not None and f == family)}
+    out = lessons.filter((F.col("status") == "ACTIVE") & F.col("party_status").isin(*sorted(sides)) & ((F.size(keys) == 0) | F.arrays_overlap(keys, wanted)))
     if versions:
         now = F.create_map(*[F.lit(x) for kv in versions.items() for x in kv])
         out = out.filter(F.forall(F.map_entries("law_versions"), lambda e: F.coalesce(F.try_element_at(now, e["key"]) == e["value"], F.lit(True))))
     return out
 
 
+def ranked(lessons: DataFrame, by: list[str], score: Column, id: str, k: int) -> DataFrame:
+    """Adds `rank`, from 1: the k lessons of the highest score in each group, ties by id."""
+    w = Window.partitionBy(*by).orderBy(F.desc(score), id)
+    return lessons.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def budget_pick(ranked: DataFrame, by: list[str], order: list[Column], id: str, tokens: str, budget: int, k: int) -> DataFrame:
     """(by, picked): ids taken in rank order while they fit: one too big is skipped and the walk goes on, until k are taken.
 
-    A fold over each group's ordered candidates; a plain running sum would stop at the first that is too big. Groups
-    are cut to `reach` = budget candidates in rank order beforehand only where every one costs at least a token, since
-    no more can be taken.
+    A fold over each group's ordered candidates; a plain running sum would stop at the first that is too big. A group of
+    any size stays small: of candidates of equal cost only the first k in rank order can be taken, so the fold sees at
+    most k rows for each cost up to the budget.
     """
+    groups = ranked.select(*[F.col(c).alias(f"__{c}") for c in by]).distinct()
+    cheap = Window.partitionBy(*by, tokens).orderBy(*order)
+    ranked = ranked.filter(F.col(tokens) <= budget).withColumn("__c", F.row_number().over(cheap)).filter(F.col("__c") <= k).drop("__c")
     w = Window.partitionBy(*by).orderBy(*order)
     items = ranked.withColumn("__r", F.row_number().over(w)).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__r", F.col(id).alias("i"), F.col(tokens).cast("bigint").alias("t")))).alias("c"))
     kind = dict(ranked.dtypes)[id]
@@ -40,7 +55,8 @@ def budget_pick(ranked: DataFrame, by: list[str], order: list[Column], id: str,
         fits = (F.size(s["p"]) < k) & (s["u"] + x["t"] <= budget)
         return F.struct(F.when(fits, F.concat(s["p"], F.array(x["i"]))).otherwise(s["p"]).alias("p"), F.when(fits, s["u"] + x["t"]).otherwise(s["u"]).alias("u"))
 
-    return items.select(*by, F.aggregate("c", start, step)["p"].alias("picked"))
+    groups = groups.join(items, [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in by], "left").select(*[F.col(f"__{c}").alias(c) for c in by], "c")
+    return groups.select(*by, F.aggregate(F.coalesce("c", F.array().cast(items.schema["c"].dataType)), start, step)["p"].alias("picked"))
 
 
 def exploration(rest: DataFrame, by: list[str], id: str, n: int, seed: str) -> DataFrame:

@@ -37,10 +37,22 @@ def exactly_one(labels: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     return n.join(e, key, "full").select(key, p.alias("problem")).filter("problem is not null")
 
 
+def unlike(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, values): groups with more than one distinct value, sorted; nulls are none."""
+    return rows.groupBy(*by).agg(F.array_sort(F.collect_set(value)).alias("values")).filter("size(values) > 1")
+
+
 def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
 
 
+def dangling_by(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, by: str) -> DataFrame:
+    """(missing_id, referenced_by, n_rows): as dangling, one row for each missing key and each `by` that refers to it; a
+    row each, not a list, so that a key with many referrers stays many rows."""
+    n = child.filter(F.col(child_key).isNotNull()).groupBy(F.col(child_key).alias("missing_id"), F.col(by).alias("referenced_by")).agg(F.count("*").alias("n_rows"))
+    return n.join(parent.select(F.col(parent_key).alias("missing_id")).distinct(), "missing_id", "left_anti")
+
+
 def dangling(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """(missing_id, n_rows): keys of child rows that no parent row has. Counted before the join, so a hot key is one row."""
     n = child.filter(F.col(child_key).isNotNull()).groupBy(F.col(child_key).alias("missing_id")).agg(F.count("*").alias("n_rows"))

@@ -23,16 +23,27 @@ def format_audit(problems: DataFrame) -> DataFrame:
     return problems.groupBy("rule").agg(F.count("*").alias("n"), F.min("row_key").alias("example"))
 
 
-def persona_report(opinions: DataFrame, least_cases: int, bias: float) -> DataFrame:
-    """(judge, n, valid_rate, gap_min, gap_median, gap_max, share_a, biased) of opinions (judge, case_id, valid, gap, winner, side_a).
+def persona_report(decisions: DataFrame, least_cases: int, bias: float, disagreement: float, widest: float) -> DataFrame:
+    """One row a judge of its decisions (judge, case_id, result, abstain_reason, gap, both_valid, issues_abstained, issues).
 
-    biased: one role wins more than `bias` of the judge's cases, once it has least_cases.
+    cases; decided; disagreement_rate: abstentions because the two orders disagreed, of the cases with both opinions
+    valid, and whether that is over `disagreement`; issue_disagreement_rate over those cases; gaps: count, smallest,
+    median, greatest and how many are over `widest`; top_wins: the wins of the role that won more; biased: that role, once `least_cases` are
+    decided, has won more than `bias` of the decided ones. A rate without a case is null.
     """
-    g = opinions.groupBy("judge").agg(
-        F.count("*").alias("n"), F.avg(F.col("valid").cast("int")).alias("valid_rate"), F.min("gap").alias("gap_min"), F.median("gap").alias("gap_median"), F.max("gap").alias("gap_max"),
-        F.avg(F.when(F.col("winner").isNotNull(), (F.col("winner") == F.col("side_a")).cast("int"))).alias("share_a"), F.count_distinct("case_id").alias("cases"),
+    valid = F.coalesce("both_valid", F.lit(False))
+    wins = decisions.filter("result is not null").groupBy("judge", "result").agg(F.count("*").alias("n")).groupBy("judge").agg(F.max("n").alias("top"))
+    g = decisions.groupBy("judge").agg(
+        F.count("*").alias("cases"), F.count("result").alias("decided"), F.count_if(valid).alias("valid"), F.count_if(F.col("abstain_reason") == "ORDER_SWAP_DISAGREEMENT").alias("swapped"),
+        F.sum(F.when(valid, F.col("issues_abstained"))).alias("ia"), F.sum(F.when(valid, F.col("issues"))).alias("i"),
+        F.count("gap").alias("gaps"), F.min("gap").alias("gap_min"), F.median("gap").alias("gap_median"), F.max("gap").alias("gap_max"), F.count_if(F.col("gap") > widest).alias("gaps_over"),
+    )
+    rate = F.try_divide("swapped", "valid")
+    return g.join(wins, "judge", "left").select(
+        "judge", "cases", "decided", rate.alias("disagreement_rate"), F.coalesce(rate > disagreement, F.lit(False)).alias("over_limit"), F.try_divide("ia", "i").alias("issue_disagreement_rate"),
+        "gaps", "gap_min", "gap_median", "gap_max", "gaps_over", F.coalesce("top", F.lit(0)).alias("top_wins"),
+        F.coalesce((F.col("decided") >= least_cases) & (F.try_divide(F.col("top"), F.col("decided")) > bias), F.lit(False)).alias("biased"),
     )
-    return g.withColumn("biased", F.coalesce((F.col("cases") >= least_cases) & (F.greatest("share_a", 1 - F.col("share_a")) > bias), F.lit(False))).drop("cases")
 
 
 def advocacy(scores: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -49,8 +49,11 @@ def resolve(citations: DataFrame, known: DataFrame, aliases: DataFrame | None =
     longest = c.select("citation", F.explode(prefixes).alias("id")).join(ids, "id").groupBy("citation").agg(F.max(F.struct(F.length("id").alias("l"), "id"))["id"].alias("id"))
     hit = hit.unionByName(longest.select("citation", F.lit(10).alias("rank"), F.lit("prefix").alias("rule"), "id"))
     tokens = lambda x: F.split(x, "_")
+    # Both share the last token and every other token of the citation: they meet on the last and the longest of these.
+    key = lambda c, t: F.concat_ws(" ", F.element_at(tokens(F.col(c)), -1), t)
+    longest = F.array_max(F.transform(tokens(F.col("citation")), lambda t: F.struct(F.length(t).alias("l"), t.alias("t"))))["t"]
     spelled = (
-        c.withColumn("last", F.element_at(tokens(F.col("citation")), -1)).join(ids.withColumn("last", F.element_at(tokens(F.col("id")), -1)), "last")
+        c.withColumn("last", key("citation", longest)).join(ids.withColumn("t", F.explode(F.array_distinct(tokens(F.col("id"))))).withColumn("last", key("id", F.col("t"))).drop("t"), "last")
         .filter((F.col("id") != F.col("citation")) & (F.size(F.array_except(tokens(F.col("citation")), tokens(F.col("id")))) == 0) & (F.size(tokens(F.col("citation"))) > 1))
         .groupBy("citation").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1")
     )

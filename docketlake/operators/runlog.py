@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def spend(calls: DataFrame, prices: DataFrame, on: list[str]) -> DataFrame:
-    """(on, calls, units, cost, priced): cost of calls by price; rows without a price are kept, with null cost."""
-    used = calls.groupBy(*on).agg(F.count("*").alias("calls"), F.sum("units").alias("units"))
+    """(on, calls, units, cost, priced): cost of calls by price; rows without a price are kept, with null cost.
+
+    Units are rounded to four places, which is what is billed."""
+    used = calls.groupBy(*on).agg(F.count("*").alias("calls"), F.round(F.sum("units"), 4).alias("units"))
     return used.join(prices, on, "left").select(*on, "calls", "units", (F.col("units") * F.col("price")).alias("cost"), F.col("price").isNotNull().alias("priced"))
 
 

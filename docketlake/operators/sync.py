@@ -54,16 +54,20 @@ def refresh_payload(stored: DataFrame, payload: DataFrame, key: str, vector: str
     return kept.unionByName(payload.join(stored.select(key, vector), key), allowMissingColumns=True)
 
 
-def snapshot_hash(rows: DataFrame, key: str, digest: str, groups: int = 256) -> DataFrame:
+def snapshot_hash(rows: DataFrame, key: str, digest: str, digits: int = 4) -> DataFrame:
     """One row (snapshot_hash): independent of row order and partitioning.
 
-    Keys are folded in `groups` hash groups, each hashed over its sorted 'key:hash' lines, and the group hashes in turn,
-    so that no task sees more than its share of the table.
+    Lines 'key:hash' are folded in 16 ** digits groups by the key's md5, each hashed over its sorted lines; the group
+    hashes are folded by all but two digits in turn, until one is left. The groups are fixed, so that a hash can be
+    compared with an older one; four digits keep a group below 20,000 lines up to a billion rows, more digits beyond.
     """
-    line = F.concat(F.col(key).cast("string"), F.lit(":"), F.col(digest))
-    group = F.substring(F.md5(F.col(key).cast("string")), 1, 2)
-    folded = rows.groupBy(group.alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("h"))
-    return folded.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("g", F.lit(":"), "h"))), "\n"), 256).alias("snapshot_hash"))
+    folded = rows.select(F.substring(F.md5(F.col(key).cast("string")), 1, digits).alias("g"), F.concat(F.col(key).cast("string"), F.lit(":"), F.col(digest)).alias("line"))
+    while True:
+        folded = folded.groupBy("g").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("h"))
+        if not digits:
+            return folded.select(F.col("h").alias("snapshot_hash"))
+        digits = max(0, digits - 2)
+        folded = folded.select(F.substring("g", 1, digits).alias("g"), F.concat("g", F.lit(":"), "h").alias("line"))
 
 
 def first_seen(rows: DataFrame, key: str, digest: str, order: list[str]) -> DataFrame:

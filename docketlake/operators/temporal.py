@@ -21,19 +21,21 @@ def case_dates(cases: DataFrame) -> DataFrame:
     return key.unionByName(cases.select("case_id", F.lit("DECISION").alias("label"), F.col("decided_on").alias("day")).filter("day is not null"))
 
 
-def resolve_statutes(law: DataFrame, overlay: DataFrame, dates: DataFrame) -> DataFrame:
-    """(case_id, statute_id, status, applied, unresolved) of every statute as of every case's dates.
+def resolve_statutes(law: DataFrame, overlay: DataFrame, dates: DataFrame, asked: DataFrame) -> DataFrame:
+    """(case_id, statute_id, status, applied, unresolved) of the statutes a case asks for, as of the case's dates.
 
-    overlay: statute_id, parameter, value_bool, value, keyed_on, effective_from, effective_to, status. Only APPROVED
-    rows count. A row keyed on a label the case lacks is `unresolved` and says nothing about force. status: CONFLICT
-    if two rows of a parameter cover the date; else HIDDEN if rows on section_in_force had a date and none that covers
-    it is true; UNVERIFIED if none had a date; else CONFIRMED. applied: the covering values, by parameter.
+    asked: case_id, statute_id; statutes that `law` lacks give nothing. dates: case_id, label, day. overlay: statute_id,
+    parameter, value_bool, value, keyed_on, effective_from, effective_to, status. Only APPROVED rows count. A row keyed
+    on a label the case lacks is `unresolved` and says nothing about force. status: CONFLICT if two rows of a parameter
+    cover the date; else HIDDEN if rows on section_in_force had a date and none that covers it is true; UNVERIFIED if
+    none had a date; else CONFIRMED. applied: the covering values, by parameter.
+
+    Only what is asked for meets overlay rows, by statute, and only dates of the labels they are keyed on are looked
+    up, by case and label: two equi-joins, no product of cases and statutes.
     """
-    rows = overlay.filter("status = 'APPROVED'")
-    cases = dates.select("case_id").distinct()
-    due = law.select("statute_id").distinct().join(rows, "statute_id").select("statute_id", "parameter", "value_bool", "value", "keyed_on", "effective_from", "effective_to")
-    # Rows of statutes with overlays meet the cases; a date is looked up by an equi-join on case and label.
-    seen = due.join(cases).join(dates.withColumnRenamed("label", "keyed_on"), ["case_id", "keyed_on"], "left")
+    pairs = asked.select("case_id", "statute_id").distinct().join(law.select("statute_id").distinct(), "statute_id", "left_semi")
+    due = overlay.filter("status = 'APPROVED'").select("statute_id", "parameter", "value_bool", "value", "keyed_on", "effective_from", "effective_to")
+    seen = pairs.join(due, "statute_id").join(dates.withColumnRenamed("label", "keyed_on"), ["case_id", "keyed_on"], "left")
     hit = F.coalesce(covers(F.col("effective_from"), F.col("effective_to"), F.col("day")) & F.col("day").isNotNull(), F.lit(False))
     force = F.col("parameter") == "section_in_force"
     per = seen.groupBy("case_id", "statute_id", "parameter").agg(
@@ -44,13 +46,12 @@ def resolve_statutes(law: DataFrame, overlay: DataFrame, dates: DataFrame) -> Da
         F.max("hits").alias("most"), F.sum("dated").alias("dated"), F.bool_or("true_now").alias("on"), F.sum("lost").alias("unresolved"),
         F.array_sort(F.collect_list(F.when((F.col("hits") == 1) & (F.col("parameter") != "section_in_force"), F.struct("parameter", "value")))).alias("applied"),
     )
-    every = cases.join(law.select("statute_id").distinct())
     status = (
         F.when(F.coalesce("most", F.lit(0)) > 1, "CONFLICT").when((F.coalesce("dated", F.lit(0)) > 0) & ~F.col("on"), "HIDDEN")
         .when(F.coalesce("dated", F.lit(0)) == 0, "UNVERIFIED").otherwise("CONFIRMED")
     )
     empty = F.array().cast("array<struct<parameter:string,value:string>>")
-    return every.join(out, ["case_id", "statute_id"], "left").select(
+    return pairs.join(out, ["case_id", "statute_id"], "left").select(
         "case_id", "statute_id", status.alias("status"), F.coalesce("applied", empty).alias("applied"), F.coalesce("unresolved", F.lit(0)).alias("unresolved")
     )
 
@@ -80,11 +81,12 @@ def overlapping(records: DataFrame) -> DataFrame:
 
 
 def limitation_expiry(rows: DataFrame) -> DataFrame:
-    """Adds needs_review and expiry to rows (default_day, acks, period_years, excluded, minimum_days).
+    """Adds needs_review, first_expiry and expiry to rows (default_day, acks, period_years, excluded, minimum_days).
 
     The period runs from the default day; each acknowledgment, in order, that falls on or before the expiry so far
-    starts it anew. If the expiry falls into the excluded window, it moves to the day after the window plus what was
-    left of the period at the window's start, at least minimum_days. An acknowledgment within the window needs review.
+    starts it anew. An acknowledgment inside the excluded window needs review, and then the expiry is that of the
+    default day alone. Otherwise, if the running period and the window meet, the period stops at the window's start (or
+    at the default day, if that is later) and what is left of it, at least minimum_days, runs from the day after it.
     """
     months = F.col("period_years") * 12
     first = F.add_months("default_day", months)
@@ -92,11 +94,31 @@ def limitation_expiry(rows: DataFrame) -> DataFrame:
     chain = F.expr("aggregate(array_sort(coalesce(acks, cast(array() as array<date>))), add_months(default_day, period_years * 12), (e, a) -> if(a <= e, greatest(e, add_months(a, period_years * 12)), e))")
     out = rows.withColumn("run_to", chain)
     a, b = F.col("excluded.from"), F.col("excluded.to")
-    inside = F.coalesce((F.col("run_to") >= a) & (F.col("run_to") <= b), F.lit(False))
-    resume = F.date_add(b, 1)
-    left = F.greatest(F.datediff("run_to", a), F.coalesce("minimum_days", F.lit(0)))
-    review = F.expr("exists(coalesce(acks, cast(array() as array<date>)), x -> x between excluded.from and excluded.to)")
-    return out.withColumn("needs_review", F.coalesce(review, F.lit(False))).withColumn("first_expiry", first).withColumn("expiry", F.when(inside, F.date_add(resume, left)).otherwise(F.col("run_to"))).drop("run_to")
+    meets = F.coalesce((F.col("default_day") <= b) & (F.col("run_to") >= a), F.lit(False))
+    left = F.greatest(F.datediff("run_to", F.greatest(F.col("default_day"), a)), F.coalesce("minimum_days", F.lit(0)))
+    review = F.coalesce(F.expr("exists(coalesce(acks, cast(array() as array<date>)), x -> x between excluded.from and excluded.to)"), F.lit(False))
+    expiry = F.when(F.col("needs_review"), first).when(meets, F.date_add(F.date_add(b, 1), left)).otherwise(F.col("run_to"))
+    return out.withColumn("needs_review", review).withColumn("first_expiry", first).withColumn("expiry", expiry).drop("run_to")
+
+
+def limitation_conclusions(stated: DataFrame, dates: DataFrame, rules: DataFrame, default_label: str, filing_label: str) -> DataFrame:
+    """(case_id, turn, problem, expiry) where an argument's conclusion on limitation is at odds with the case's dates.
+
+    stated: case_id, turn, statute_id, ord, asserts_within, acks; dates: case_id, label, day; rules: statute_id,
+    period_years, excluded, minimum_days. Of the statutes an argument offers, the first (by ord) with a rule counts, and
+    an argument is checked once. An argument without a conclusion, a rule or one of the two dates says nothing. problem:
+    UNMAPPED if an acknowledgment needs review, INCONSISTENT if (filed <= expiry) is not what is asserted.
+    """
+    offered = stated.join(rules.withColumn("has_rule", F.lit(True)), "statute_id", "left")
+    one = offered.groupBy("case_id", "turn").agg(
+        F.min_by("asserts_within", F.when(F.col("asserts_within").isNotNull(), F.col("ord"))).alias("asserts_within"), F.min_by("acks", F.when(F.col("asserts_within").isNotNull(), F.col("ord"))).alias("acks"),
+        F.min(F.when(F.col("has_rule"), F.struct("ord", "period_years", "excluded", "minimum_days"))).alias("r"),
+    )
+    at = dates.groupBy("case_id").agg(F.max(F.when(F.col("label") == default_label, F.col("day"))).alias("default_day"), F.max(F.when(F.col("label") == filing_label, F.col("day"))).alias("filed"))
+    known = one.join(at, "case_id").filter("r is not null and asserts_within is not null and default_day is not null and filed is not null")
+    ran = limitation_expiry(known.select("case_id", "turn", "asserts_within", "acks", "default_day", "filed", "r.period_years", "r.excluded", "r.minimum_days"))
+    problem = F.when(F.col("needs_review"), "UNMAPPED").when((F.col("filed") <= F.col("expiry")) != F.col("asserts_within"), "INCONSISTENT")
+    return ran.select("case_id", "turn", problem.alias("problem"), "expiry").filter("problem is not null")
 
 
 def split_assignment(cases: DataFrame, test: int, validation: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -143,15 +143,15 @@ def rerank(candidates: DataFrame, passages: DataFrame, k: int) -> DataFrame:
     return candidates.join(best, ["query_id", "uid"], "left").withColumn("new_rank", F.row_number().over(w)).filter(F.col("new_rank") <= k)
 
 
-def repetition(turns: DataFrame, limit: float) -> DataFrame:
-    """(session_id, side, turn, best): for each turn after a side's first, the greatest cosine to any earlier turn.
+def repetition(turns: DataFrame, limit: float, keep: Sequence[str] = ()) -> DataFrame:
+    """(session_id, side, turn, keep, best, copied): for each turn after a side's first, the greatest cosine to any earlier turn.
 
     turns: session_id, side, turn, vec. `copied` tells best >= limit. A session's turns are few, so the self-join is
     bounded by the square of a session's length.
     """
     a, b = turns.alias("a"), turns.select("session_id", "side", F.col("turn").alias("earlier"), F.col("vec").alias("vec_b")).alias("b")
     pairs = a.join(b, ["session_id", "side"]).filter("earlier < turn")
-    return pairs.groupBy("session_id", "side", "turn").agg(F.max(cosine(F.col("vec"), F.col("vec_b"))).alias("best")).withColumn("copied", F.col("best") >= limit)
+    return pairs.groupBy("session_id", "side", "turn", *keep).agg(F.max(cosine(F.col("vec"), F.col("vec_b"))).alias("best")).withColumn("copied", F.col("best") >= limit)
 
 
 def placement(new: DataFrame, stored: DataFrame, least: float) -> DataFrame:

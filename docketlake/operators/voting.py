@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fold_judges(opinions: DataFrame) -> DataFrame:
-    """(session_id, judge, winner, reason): one vote a judge. opinions: session_id, judge, ord, valid, result.
+def fold_judges(opinions: DataFrame, means: Sequence[str] = ()) -> DataFrame:
+    """(session_id, judge, winner, reason, means): one vote a judge. opinions: session_id, judge, ord, valid, result; the
+    columns `means` are averaged over the judge's opinions.
 
     Any invalid opinion: no winner, INVALID. One order decides alone. Two orders that agree decide; that differ:
     no winner, ORDER_SWAP_DISAGREEMENT.
     """
-    g = opinions.groupBy("session_id", "judge").agg(F.bool_and("valid").alias("ok"), F.count_distinct("result").alias("n"), F.min("result").alias("result"), F.count("*").alias("orders"))
+    g = opinions.groupBy("session_id", "judge").agg(F.bool_and("valid").alias("ok"), F.count_distinct("result").alias("n"), F.min("result").alias("result"), F.count("*").alias("orders"), *[F.avg(c).alias(c) for c in means])
     return g.select(
         "session_id", "judge", F.when(F.col("ok") & (F.col("n") == 1), F.col("result")).alias("winner"),
-        F.when(~F.col("ok"), "INVALID").when(F.col("n") != 1, "ORDER_SWAP_DISAGREEMENT").when(F.col("orders") == 1, "ONE_ORDER").otherwise("AGREED").alias("reason"),
+        F.when(~F.col("ok"), "INVALID").when(F.col("n") != 1, "ORDER_SWAP_DISAGREEMENT").when(F.col("orders") == 1, "ONE_ORDER").otherwise("AGREED").alias("reason"), *means,
     )
 
 
@@ -34,12 +37,13 @@ def issue_findings(votes: DataFrame, least: int) -> DataFrame:
 def verdicts(votes: DataFrame, least: int, margin: float | None = None) -> DataFrame:
     """(session_id, winner, status) of folded votes (session_id, judge, winner, score, accuracy by side as maps).
 
-    Fewer than `least` deciding judges: UNSTABLE_TOO_FEW. A strict majority wins: MAJORITY. A tie is EVEN_SPLIT unless
-    `margin` is given; then the side whose mean score, or else accuracy, is ahead by more than the margin wins
+    Fewer than `least` deciding judges: UNSTABLE_TOO_FEW. The side with most votes wins: MAJORITY (of two sides, as
+    hearings have; of more sides it may be a plurality). A tie is EVEN_SPLIT unless
+    `margin` is given; then the side whose mean score, or else accuracy, is ahead by the margin or more wins
     (TIE_SCORE, TIE_ACCURACY), otherwise UNBROKEN_TIE.
     """
     d = votes.filter("winner is not null")
-    n = d.groupBy("session_id", "winner").agg(F.count("*").alias("n"), F.avg("score").alias("score"), F.avg("accuracy").alias("accuracy"))
+    n = d.groupBy("session_id", "winner").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("score"), F.round(F.avg("accuracy"), 6).alias("accuracy"))
     ranked = n.groupBy("session_id").agg(F.sum("n").alias("all"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "winner", "score", "accuracy"))).alias("v"))
     out = votes.select("session_id").distinct().join(ranked, "session_id", "left")
     a, b = F.try_element_at("v", F.lit(1)), F.try_element_at("v", F.lit(2))
@@ -47,8 +51,8 @@ def verdicts(votes: DataFrame, least: int, margin: float | None = None) -> DataF
     tied = b.isNotNull() & (a["n"] == b["n"])
     if margin is None:
         return out.select("session_id", F.when(~few & ~tied, a["winner"]).alias("winner"), F.when(few, "UNSTABLE_TOO_FEW").when(tied, "EVEN_SPLIT").otherwise("MAJORITY").alias("status"))
-    by_score = F.abs(a["score"] - b["score"]) > margin
-    by_accuracy = F.abs(a["accuracy"] - b["accuracy"]) > margin
+    by_score = F.abs(a["score"] - b["score"]) >= margin
+    by_accuracy = F.abs(a["accuracy"] - b["accuracy"]) >= margin
     ahead = lambda f: F.when(a[f] > b[f], a["winner"]).otherwise(b["winner"])
     return out.select(
         "session_id",

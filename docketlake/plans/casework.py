@@ -142,16 +142,18 @@ def condensed_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT l_orderkey AS session_id, l_linestatus AS side, round(sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) / nullif(sum(l_quantity), 0), 9) AS depth, count(DISTINCT l_returnflag) AS n_statuses FROM lineitem GROUP BY ALL"""
+    """SELECT l_orderkey AS session_id, l_linestatus AS side, round(sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) / nullif(sum(l_quantity), 0), 9) AS depth,
+      concat_ws(' ', CASE WHEN count(*) FILTER (l_returnflag = 'A') > 0 THEN 'ANSWERED=' || count(*) FILTER (l_returnflag = 'A') END, CASE WHEN count(*) FILTER (l_returnflag = 'N') > 0 THEN 'N=' || count(*) FILTER (l_returnflag = 'N') END, CASE WHEN count(*) FILTER (l_returnflag = 'R') > 0 THEN 'R=' || count(*) FILTER (l_returnflag = 'R') END) AS statuses FROM lineitem GROUP BY ALL"""
 )
 def rebuttal_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     points = line.select(F.col("l_orderkey").alias("session_id"), F.col("l_linestatus").alias("side"), F.when(F.col("l_returnflag") == "A", "ANSWERED").otherwise(F.col("l_returnflag")).alias("status"), F.col("l_quantity").alias("centrality"))
-    return hearing.rebuttal_depth(points).select("session_id", "side", F.round("depth", 9).alias("depth"), F.size("statuses").cast("long").alias("n_statuses"))
+    return hearing.rebuttal_depth(points).select("session_id", "side", F.round("depth", 9).alias("depth"), F.array_join(F.transform(F.array_sort(F.map_entries("statuses")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ").alias("statuses"))
 
 
 @query(
-    """SELECT l_orderkey AS session_id, l_suppkey AS claim_id, CASE WHEN bool_or(l_returnflag = 'R') THEN 'CONTRADICTED' WHEN bool_and(l_returnflag = 'A' AND l_quantity > 5) THEN 'VERIFIED' ELSE 'NEUTRAL' END AS tier FROM lineitem GROUP BY ALL"""
+    """WITH a AS (SELECT l_orderkey AS session_id, l_suppkey AS claim_id, CASE WHEN l_quantity > 5 THEN l_returnflag ELSE 'N' END AS e FROM lineitem)
+    SELECT session_id, claim_id, CASE WHEN bool_and(e = 'A') THEN 'VERIFIED' ELSE 'UNVERIFIABLE' END AS tier, CASE WHEN bool_or(e = 'R') THEN 'CONTRADICTS' WHEN bool_and(e = 'A') THEN 'SUPPORTS' ELSE 'NEUTRAL' END AS entailment FROM a GROUP BY ALL"""
 )
 def citation_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
@@ -197,7 +199,7 @@ def recalled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH o AS (SELECT o_custkey AS q, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r, o_orderstatus AS s FROM orders), f AS (SELECT q, min(CASE WHEN s = 'P' THEN r END) AS f FROM o GROUP BY q)
-    SELECT round(avg((f <= 10)::INT::DOUBLE * (f IS NOT NULL)::INT + 0), 9) AS recall_at_k FROM (SELECT coalesce(f, 9999) AS f FROM f)"""
+    SELECT round(avg((f <= 10)::INT::DOUBLE * (f IS NOT NULL)::INT + 0), 9) AS recall_at_k, round(avg(CASE WHEN f <= 10 THEN 1.0 / f ELSE 0 END), 9) AS mrr FROM (SELECT coalesce(f, 9999) AS f FROM f)"""
 )
 def known_item_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of customers with a pending order among their ten dearest."""
@@ -205,7 +207,7 @@ def known_item_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     r = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
     o = table(spark, sf_dir, "orders").withColumn("r", r).groupBy(F.col("o_custkey").alias("query_id")).agg(F.min(F.when(F.col("o_orderstatus") == "P", F.col("r"))).alias("found_at"))
-    return evaluation.retrieval_quality(o, 10).select(F.round("recall_at_k", 9).alias("recall_at_k"))
+    return evaluation.retrieval_quality(o, 10).select(F.round("recall_at_k", 9).alias("recall_at_k"), F.round("mrr", 9).alias("mrr"))
 
 
 @query(
@@ -240,15 +242,20 @@ def route_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH g AS (SELECT l_suppkey AS judge, count(*) AS n, avg((l_quantity > 5)::INT) AS valid_rate, min(l_discount) AS gap_min, median(l_discount) AS gap_median, max(l_discount) AS gap_max, avg((l_returnflag = 'A')::INT) AS share_a, count(DISTINCT l_orderkey) AS c FROM lineitem GROUP BY 1)
-    SELECT judge, n, round(valid_rate, 9) AS valid_rate, gap_min, round(gap_median, 9) AS gap_median, gap_max, round(share_a, 9) AS share_a, c >= 100 AND greatest(share_a, 1 - share_a) > 0.68 AS biased FROM g"""
+    """WITH d AS (SELECT l_suppkey AS judge, l_orderkey AS case_id, CASE WHEN l_quantity > 5 AND l_returnflag <> 'N' THEN l_returnflag END AS result, l_returnflag = 'N' AS swapped, CASE WHEN l_linestatus = 'F' THEN l_discount END AS gap, l_quantity > 5 AS ok, l_linenumber % 3 AS ia, 3 AS i FROM lineitem),
+    w AS (SELECT judge, max(n) AS top FROM (SELECT judge, result, count(*) AS n FROM d WHERE result IS NOT NULL GROUP BY ALL) GROUP BY judge),
+    g AS (SELECT judge, count(*) AS cases, count(result) AS decided, count(*) FILTER (swapped) / nullif(count(*) FILTER (ok), 0) AS rate, sum(ia) FILTER (ok) / nullif(sum(i) FILTER (ok), 0) AS ir, count(gap) AS gaps, min(gap) AS a, median(gap) AS m, max(gap) AS z, count(*) FILTER (gap > 0.05) AS o FROM d GROUP BY judge)
+    SELECT g.judge, cases, decided, round(rate, 9) AS disagreement_rate, coalesce(rate > 0.35, false) AS over_limit, round(ir, 9) AS issue_disagreement_rate, gaps, a AS gap_min, round(m, 9) AS gap_median, z AS gap_max, o AS gaps_over, coalesce(top, 0) AS top_wins, coalesce(decided >= 100 AND top / decided > 0.52, false) AS biased FROM g LEFT JOIN w ON w.judge = g.judge"""
 )
 def persona_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each supplier as a judge: valid share, gaps, and whether one return flag wins too often."""
-    line = table(spark, sf_dir, "lineitem")
-    o = line.select(F.col("l_suppkey").alias("judge"), F.col("l_orderkey").alias("case_id"), (F.col("l_quantity") > 5).alias("valid"), F.col("l_discount").alias("gap"), F.col("l_returnflag").alias("winner"), F.lit("A").alias("side_a"))
-    r = reports.persona_report(o, 100, 0.68)
-    return r.select("judge", "n", F.round("valid_rate", 9).alias("valid_rate"), "gap_min", F.round("gap_median", 9).alias("gap_median"), "gap_max", F.round("share_a", 9).alias("share_a"), "biased")
+    """Each supplier as a judge: disagreement between orders, gaps, and whether one return flag wins too often."""
+    line, ok = table(spark, sf_dir, "lineitem"), F.col("l_quantity") > 5
+    d = line.select(
+        F.col("l_suppkey").alias("judge"), F.col("l_orderkey").alias("case_id"), F.when(ok & (F.col("l_returnflag") != "N"), F.col("l_returnflag")).alias("result"), F.when(F.col("l_returnflag") == "N", "ORDER_SWAP_DISAGREEMENT").alias("abstain_reason"),
+        F.when(F.col("l_linestatus") == "F", F.col("l_discount")).alias("gap"), ok.alias("both_valid"), (F.col("l_linenumber") % 3).alias("issues_abstained"), F.lit(3).alias("issues"),
+    )
+    r = reports.persona_report(d, 100, 0.52, 0.35, 0.05)
+    return r.select("judge", "cases", "decided", *[F.round(c, 9).alias(c) if c in ("disagreement_rate", "issue_disagreement_rate", "gap_median") else F.col(c) for c in r.columns[3:]])
 
 
 @query("""SELECT l_orderkey AS session_id, l_returnflag AS side, round(avg((3 * l_discount + l_tax) / 4), 9) AS score FROM lineitem GROUP BY ALL""")
@@ -263,15 +270,19 @@ def numbered_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT row_no AS fact_id, unnest(facts_texts) AS t, decision_date AS d FROM precedents), s AS (SELECT fact_id, string_agg(t, ' ') AS t, any_value(d) AS d FROM (SELECT DISTINCT fact_id, t, d FROM a WHERE t IS NOT NULL) GROUP BY fact_id)
-    SELECT fact_id, 'DATE_NOT_WRITTEN' AS problem FROM (SELECT *, CASE WHEN regexp_matches(d, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN try_strptime(d, '%Y-%m-%d') END AS x FROM s)
-    WHERE x IS NOT NULL AND NOT (contains(t, strftime(x, '%Y-%m-%d')) OR contains(t, strftime(x, '%d.%m.%Y')) OR contains(t, strftime(x, '%-d %B %Y')) OR contains(t, strftime(x, '%B %-d, %Y')))"""
+    """WITH s AS (SELECT row_no AS fact_id, any_value(coalesce(array_to_string(list_filter(facts_texts, lambda x: x IS NOT NULL), ' '), '')) AS t, any_value(decision_date) AS d FROM precedents GROUP BY row_no),
+    x AS (SELECT fact_id, t, CASE WHEN regexp_matches(d, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN try_strptime(d, '%Y-%m-%d')::DATE END AS x FROM s),
+    p AS (SELECT fact_id, t, x, day(x)::VARCHAR AS d, month(x)::VARCHAR AS m, year(x)::VARCHAR AS y, substr(strftime(x, '%B'), 1, 3) AS w FROM x),
+    a AS (SELECT fact_id, list(DISTINCT v) AS v FROM (SELECT fact_id, TRY_CAST(floor(TRY_CAST(replace(regexp_extract(m, '^([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), ',', '') AS DECIMAL(24,4)) * CASE WHEN lower(m) LIKE '%cr%' THEN 10000000 WHEN lower(m) LIKE '%la%' THEN 100000 ELSE 1 END) AS BIGINT) AS v
+      FROM (SELECT fact_id, unnest(regexp_extract_all(t, '(?i)([0-9][0-9,]*(?:\\.[0-9]+)?\\s*(?:/-)?\\s*(?:crores?|cr\\b|lakhs?|lacs?)?)', 1)) AS m FROM s)) GROUP BY 1)
+    SELECT fact_id, 'DATE_NOT_WRITTEN' AS problem FROM p WHERE x IS NOT NULL AND NOT regexp_matches(lower(t), lower('(?:^|[^0-9])0?' || d || '\\s*[./-]\\s*0?' || m || '\\s*[./-]\\s*' || y || '(?:[^0-9]|$)|(?:^|[^0-9])0?' || d || '(?:st|nd|rd|th)?\\s+(?:of\\s+)?' || w || '[a-z]*\\.?,?\\s+' || y || '|' || w || '[a-z]*\\.?\\s+0?' || d || '(?:st|nd|rd|th)?,?\\s+' || y || '|' || strftime(x, '%Y-%m-%d')))
+    UNION ALL SELECT p.fact_id, 'AMOUNT_NOT_WRITTEN' FROM p LEFT JOIN a ON a.fact_id = p.fact_id WHERE NOT coalesce(list_contains(v, (p.fact_id % 400)::BIGINT), false)"""
 )
 def unwritten_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Precedents whose decision date stands in none of their facts, in any of four forms."""
-    p = table(spark, sf_dir, "precedents").select("row_no", "decision_date", F.explode("facts_texts").alias("t")).filter("t is not null").distinct()
-    s = p.groupBy(F.col("row_no").alias("fact_id")).agg(F.array_join(F.collect_list("t"), " ").alias("source_text"), F.first("decision_date").alias("d"))
-    return checks.literal_problems(s.select("fact_id", "source_text", text.iso_date(F.col("d")).alias("day"), F.lit(None).cast("double").alias("amount")))
+    """Precedents whose decision date stands in none of their facts, in any form, and those whose number, as an amount, doesn't."""
+    p = table(spark, sf_dir, "precedents").select("row_no", "decision_date", "facts_texts").distinct()
+    s = p.groupBy(F.col("row_no").alias("fact_id")).agg(F.first(F.concat_ws(" ", "facts_texts")).alias("source_text"), F.first("decision_date").alias("d"))
+    return checks.literal_problems(s.select("fact_id", "source_text", text.iso_date(F.col("d")).alias("day"), (F.col("fact_id") % 400).cast("double").alias("amount")))
 
 
 @query(

@@ -48,21 +48,6 @@ def scoped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.top_k(rows, asks, 5, before=True).select("query_id", "uid", "rank", F.round("score", 6).alias("score"))
 
 
-@query(
-    f"""WITH v AS ({UNIT}), q AS (SELECT uid AS query_id, section_no AS part, vec FROM v WHERE uid IN (SELECT DISTINCT uid FROM v ORDER BY uid LIMIT 3)),
-    b AS (SELECT query_id, part, v.uid, max(list_cosine_similarity(v.vec, q.vec)) AS best FROM v, q GROUP BY ALL),
-    t AS (SELECT query_id, uid, round(sum(best), 9) AS score FROM b GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid) AS rank FROM t)
-    SELECT query_id, uid, rank, round(score, 6) AS score FROM r WHERE rank <= 10"""
-)
-def maxsim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Precedents of several vectors by the summed best section, for the sections of the first three uids."""
-    v = _vectors(spark, sf_dir)
-    asked = v.select("uid").distinct().orderBy("uid").limit(3)
-    asks = v.join(asked, "uid", "left_semi").select(F.col("uid").alias("query_id"), F.col("section_no").alias("part"), "vec")
-    return vector.max_sim(v.select("uid", "vec"), asks, 10).select("query_id", "uid", "rank", F.round("score", 6).alias("score"))
-
-
 @query(
     f"""WITH v AS ({UNIT}), q AS (SELECT uid AS query_id, section_no AS part, vec FROM v WHERE uid IN (SELECT precedent_uid FROM precedents WHERE row_no % 20 = 0)),
     b AS (SELECT query_id, part, v.uid, max(list_cosine_similarity(v.vec, q.vec)) AS best FROM v, q GROUP BY ALL),
@@ -71,7 +56,7 @@ def maxsim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query_id, uid, rank, round(score, 6) AS score FROM r WHERE rank <= 10"""
 )
 def maxsim_precedents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As maxsim_topk, for the sections of every precedent with a row whose number is divisible by 20."""
+    """Precedents of several vectors by the summed best section, for the sections of every precedent with a row whose number is divisible by 20."""
     v = _vectors(spark, sf_dir)
     asked = table(spark, sf_dir, "precedents").filter("row_no % 20 = 0").select(F.col("precedent_uid").alias("uid")).distinct()
     asks = v.join(asked, "uid", "left_semi").select(F.col("uid").alias("query_id"), F.col("section_no").alias("part"), "vec")
@@ -87,11 +72,9 @@ def maxsim_precedents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repetition_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each section of a precedent against all earlier ones: the greatest similarity, and whether it is a copy."""
     v = _vectors(spark, sf_dir).filter("uid is not null")
-    turns = v.select(F.col("uid").alias("session_id"), F.col("vec_id").alias("side"), F.col("section_no").alias("turn"), "vec")
-    earlier = v.select(F.col("uid").alias("session_id"), F.col("section_no").alias("earlier"), F.col("vec").alias("vec_b"))
-    pairs = turns.join(earlier, "session_id").filter("earlier < turn").withColumn("s", vector.cosine(F.col("vec"), F.col("vec_b")))
-    best = pairs.groupBy(F.col("session_id").alias("uid"), F.col("turn").alias("section_no"), F.col("side").alias("vec_id")).agg(F.max("s").alias("best"))
-    return best.select("uid", "section_no", "vec_id", F.round("best", 6).alias("best"), (F.col("best") >= 0.92).alias("copied"))
+    turns = v.select(F.col("uid").alias("session_id"), F.lit("").alias("side"), F.col("section_no").alias("turn"), "vec_id", "vec")
+    out = vector.repetition(turns, 0.92, ["vec_id"])
+    return out.select(F.col("session_id").alias("uid"), F.col("turn").alias("section_no"), "vec_id", F.round("best", 6).alias("best"), "copied")
 
 
 LESSONS = f"SELECT DISTINCT lesson_no, status, party_status, error_code, vec::DOUBLE[] AS vec FROM lessons WHERE {OK}"
@@ -154,16 +137,45 @@ def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.split_assignment(orders, 100, 200)
 
 
+_LIMITS = """WITH k AS (SELECT l_orderkey AS c, list_sort(list(DISTINCT l_shipdate::DATE)) AS acks FROM lineitem GROUP BY 1),
+    o AS (SELECT o_orderkey AS c, o_orderdate::DATE AS d, coalesce(acks, []) AS acks, (o_orderkey % 3 + 1)::INT AS y,
+      CASE WHEN o_orderstatus = 'P' THEN NULL ELSE DATE '1997-03-15' END AS f, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE DATE '1998-02-28' END AS t, CASE WHEN o_orderpriority = '1-URGENT' THEN 90 END AS m FROM orders LEFT JOIN k ON k.c = o_orderkey),
+    z AS (SELECT *, (d + to_months(12 * y))::DATE AS one, coalesce(len(list_filter(acks, lambda x: x BETWEEN f AND t)) > 0, false) AS review FROM o),
+    w AS (SELECT *, list_reduce(list_prepend(one, acks), lambda e, x: CASE WHEN x <= e THEN greatest(e, (x + to_months(12 * y))::DATE) ELSE e END) AS e FROM z),
+    x AS (SELECT c AS case_id, review AS needs_review, CASE WHEN review THEN one WHEN f IS NOT NULL AND d <= t AND e >= f THEN t + 1 + greatest(e - greatest(d, f), coalesce(m, 0))::INT ELSE e END AS expiry FROM w)
+"""
+
+
+def _limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as debts: the ship dates of their lines are acknowledgments, and a window without courts is excluded for all but pending ones."""
+    acks = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.array_sort(F.collect_set(F.col("l_shipdate").cast("date"))).alias("acks"))
+    day = lambda d: F.when(F.col("o_orderstatus") != "P", F.lit(d).cast("date"))
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("case_id"), F.col("o_orderdate").cast("date").alias("default_day"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("period_years"),
+        F.struct(day("1997-03-15").alias("from"), day("1998-02-28").alias("to")).alias("excluded"), F.when(F.col("o_orderpriority") == "1-URGENT", 90).alias("minimum_days"),
+    )
+    return orders.join(acks, "case_id", "left")
+
+
+@query(_LIMITS + "SELECT case_id, needs_review, expiry::VARCHAR AS expiry FROM x")
+def limitation_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each order's period runs out, with acknowledgments, an excluded window and a least balance."""
+    return temporal.limitation_expiry(_limits(spark, sf_dir)).select("case_id", "needs_review", F.col("expiry").cast("string").alias("expiry"))
+
+
 @query(
-    """SELECT o_orderkey AS case_id, strftime(o_orderdate + INTERVAL 36 MONTH, '%Y-%m-%d') AS first_expiry FROM orders"""
+    _LIMITS
+    + """SELECT case_id, CASE WHEN needs_review THEN 'UNMAPPED' ELSE 'INCONSISTENT' END AS problem, expiry::VARCHAR AS expiry FROM x JOIN orders ON o_orderkey = case_id
+    WHERE needs_review OR (o_orderdate::DATE + (700 + o_custkey % 900)::INT <= expiry) <> (o_orderstatus = 'F')"""
 )
-def limitation_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three years from each order's date, by calendar months."""
-    rows = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("case_id"), F.col("o_orderdate").cast("date").alias("default_day"), F.array().cast("array<date>").alias("acks"), F.lit(3).alias("period_years"),
-        F.struct(F.lit(None).cast("date").alias("from"), F.lit(None).cast("date").alias("to")).alias("excluded"), F.lit(0).alias("minimum_days"),
-    )
-    return temporal.limitation_expiry(rows).select("case_id", F.col("expiry").cast("string").alias("first_expiry"))
+def limitation_conclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose state F claims that they were filed in time, against the dates."""
+    l = _limits(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), (F.col("o_orderstatus") == "F").alias("asserts_within"), F.date_add(F.col("o_orderdate").cast("date"), (700 + F.col("o_custkey") % 900).cast("int")).alias("filed"))
+    stated = l.select("case_id", F.lit(1).alias("turn"), F.col("case_id").cast("string").alias("statute_id"), F.lit(0).alias("ord"), "acks").join(orders, "case_id").drop("filed")
+    dates = l.select("case_id", F.lit("DEFAULT").alias("label"), F.col("default_day").alias("day")).unionByName(orders.select("case_id", F.lit("FILED").alias("label"), F.col("filed").alias("day")))
+    rules = l.select(F.col("case_id").cast("string").alias("statute_id"), "period_years", "excluded", "minimum_days")
+    return temporal.limitation_conclusions(stated, dates, rules, "DEFAULT", "FILED").select("case_id", "problem", F.col("expiry").cast("string").alias("expiry"))
 
 
 @query(
@@ -196,30 +208,35 @@ def confidence_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOCS = "documents WHERE text IS NOT NULL"
 
 
-@query(f"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?:₹|Rs\\.?) ?([0-9][0-9,]*(?:\\.[0-9]+)?(?: ?(?:lakh|crore))?)', 1), lambda m: floor(CAST(replace(regexp_extract(m, '^([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), ',', '') AS DECIMAL(28,4))
-    * CASE WHEN m LIKE '%crore' THEN 10000000 WHEN m LIKE '%lakh' THEN 100000 ELSE 1 END)::BIGINT), ',') AS amounts FROM {DOCS} AND regexp_matches(text, '(?:₹|Rs\\.?) ?[0-9]')""")
+@query(f"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)([0-9][0-9,]*(?:\\.[0-9]+)?\\s*(?:/-)?\\s*(?:crores?|cr\\b|lakhs?|lacs?)?)', 1)) AS m FROM {DOCS}),
+    v AS (SELECT doc_id, TRY_CAST(floor(TRY_CAST(replace(regexp_extract(m, '^([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), ',', '') AS DECIMAL(24,4)) * CASE WHEN lower(m) LIKE '%cr%' THEN 10000000 WHEN lower(m) LIKE '%la%' THEN 100000 ELSE 1 END) AS BIGINT) AS v FROM m)
+    SELECT doc_id, array_to_string(list_sort(list(DISTINCT v)), ',') AS amounts FROM v WHERE v IS NOT NULL GROUP BY doc_id""")
 def amounts_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"(?:₹|Rs\.?) ?[0-9]"))
-    return docs.select("doc_id", F.array_join(T.amounts(F.col("text")).cast("array<string>"), ",").alias("amounts"))
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", T.amounts(F.col("text")).alias("x"))
+    return docs.filter("size(x) > 0").select("doc_id", F.array_join(F.col("x").cast("array<string>"), ",").alias("amounts"))
+
+
+_MONTHS = "|".join(T.MONTHS)
+_MONTH_NO = "list_position([" + ", ".join(f"'{m}'" for m in T.MONTHS) + f"], regexp_extract(m, '({_MONTHS})', 1))::VARCHAR"
+_DAY = "TRY_CAST(regexp_extract(m, '([0-9]{{4}})$', 1) || '-' || lpad({m}, 2, '0') || '-' || lpad({d}, 2, '0') AS DATE)"
 
 
 @query(f"""WITH d AS (SELECT doc_id, list_concat(list_concat(
-      list_transform(regexp_extract_all(text, '\\b([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})\\b', 1), lambda m: try_strptime(m, '%Y-%m-%d')::DATE),
-      list_transform(regexp_extract_all(text, '\\b([0-9]{{2}}\\.[0-9]{{2}}\\.[0-9]{{4}})\\b', 1), lambda m: try_strptime(m, '%d.%m.%Y')::DATE)),
-      list_transform(regexp_extract_all(text, '\\b([0-9]{{1,2}} (?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{{4}})\\b', 1), lambda m: try_strptime(m, '%d %B %Y')::DATE)) AS ds FROM {DOCS})
-    SELECT doc_id, len(x) AS n_dates, x[1]::VARCHAR AS first_date, x[-1]::VARCHAR AS last_date FROM (SELECT doc_id, list_sort(list_distinct(list_filter(ds, lambda z: z IS NOT NULL))) AS x FROM d) WHERE len(x) > 0""")
+      list_transform(regexp_extract_all(lower(text), '\\b[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{4}}\\b'), lambda m: {_DAY.format(m="regexp_extract(m, '^[0-9]+[./-]([0-9]+)', 1)", d="regexp_extract(m, '^([0-9]+)', 1)")}),
+      list_transform(regexp_extract_all(lower(text), '\\b[0-9]{{1,2}}(?:st|nd|rd|th)?\\s+(?:day\\s+of\\s+)?(?:{_MONTHS}),?\\s+[0-9]{{4}}\\b'), lambda m: {_DAY.format(m=_MONTH_NO, d="regexp_extract(m, '^([0-9]+)', 1)")})),
+      list_transform(regexp_extract_all(lower(text), '\\b(?:{_MONTHS})\\s+[0-9]{{1,2}}(?:st|nd|rd|th)?,?\\s+[0-9]{{4}}\\b'), lambda m: {_DAY.format(m=_MONTH_NO, d="regexp_extract(m, '^[a-z]+[ \\s]+([0-9]+)', 1)")})) AS ds FROM {DOCS})
+    SELECT doc_id, array_to_string(x::VARCHAR[], ',') AS dates FROM (SELECT doc_id, list_sort(list_distinct(list_filter(ds, lambda z: z IS NOT NULL))) AS x FROM d) WHERE len(x) > 0""")
 def dates_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", T.dates(F.col("text")).alias("x"))
-    return docs.filter("size(x) > 0").select("doc_id", F.size("x").alias("n_dates"), F.col("x")[0].cast("string").alias("first_date"), F.element_at("x", -1).cast("string").alias("last_date"))
+    return docs.filter("size(x) > 0").select("doc_id", F.array_join(F.col("x").cast("array<string>"), ",").alias("dates"))
 
 
-@query(f"""SELECT doc_id, len(regexp_extract_all(text, '[0-9]+(?:,[0-9]+)*(?:\\.[0-9]+)?')) AS n_numbers, CASE WHEN contains(lower(text), 'appeal') THEN 'Appeal' WHEN contains(lower(text), 'petition') THEN 'petition' END AS marker,
-    trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', ' ', 'g')) AS title_key FROM {DOCS}""")
+@query(f"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[0-9]+(?:,[0-9]+)*(?:\\.[0-9]+)?'), lambda m: replace(m, ',', '')), ' ') AS numbers, CASE WHEN contains(lower(text), 'appeal') THEN 'Appeal' WHEN contains(lower(text), 'petition') THEN 'petition' END AS marker FROM {DOCS}""")
 def text_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers in digits, first configured marker and normalised head of each document."""
+    """Numbers in digits and the first configured marker of each document."""
     docs = table(spark, sf_dir, "documents").filter("text is not null")
     c = F.col("text")
-    return docs.select("doc_id", F.size(T.numbers(c)).alias("n_numbers"), T.first_marker(c, ["Appeal", "petition"]).alias("marker"), T.title_key(F.substring(c, 1, 60)).alias("title_key"))
+    return docs.select("doc_id", F.array_join(T.numbers(c), " ").alias("numbers"), T.first_marker(c, ["Appeal", "petition"]).alias("marker"))
 
 
 @query("""SELECT DISTINCT row_no, trim(regexp_replace(lower(case_title), '[^a-z0-9]+', ' ', 'g')) AS title_key FROM precedents WHERE case_title IS NOT NULL""")
@@ -233,18 +250,37 @@ def strict_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "precedents").select("row_no", T.iso_date(F.col("decision_date")).cast("string").alias("decided")).distinct()
 
 
-@query()
+@query(f"""WITH t AS (SELECT DISTINCT doc_id, text FROM {DOCS}), m AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '(?i)\\bNos?\\.?\\s*[0-9]{{1,6}}\\s*(?:of|/)\\s*(?:19|20)[0-9]{{2}}\\b'),
+      regexp_extract_all(text, '(?:^|[^0-9/])([0-9]{{1,6}}\\s*/\\s*(?:19|20)[0-9]{{2}})\\b', 1))) AS m FROM t),
+    n AS (SELECT DISTINCT doc_id, CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END || '/' || y AS n FROM (SELECT doc_id, regexp_extract(m, '([0-9]{{1,6}})\\s*(?:[oO][fF]|/)', 1) AS x, regexp_extract(m, '([0-9]{{4}})$', 1) AS y FROM m))
+    SELECT doc_id, array_to_string(list_sort(list(n)), ' ') AS numbers FROM n GROUP BY doc_id""")
 def appeal_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of appeals and petitions in each precedent's appeal number (a pattern with look-behind, so without SQL)."""
-    return table(spark, sf_dir, "precedents").select("row_no", T.appeal_numbers(F.col("appeal_number")).alias("numbers")).distinct()
+    """Numbers of appeals and petitions in each document."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", T.appeal_numbers(F.col("text")).alias("n"))
+    return docs.filter("size(n) > 0").select("doc_id", F.array_join("n", " ").alias("numbers"))
+
+
+_NUMBERED = "regexp_replace(ratio_text, '([A-Z]{4,}(?: [A-Z]+)*):', '7. \\1:', 'g')"
+_PARTS = f"""WITH t AS (SELECT DISTINCT row_no, regexp_replace({_NUMBERED}, 'STATUTORY INTERPRETATION', 'PARTY IDENTITIES', 'g') AS t FROM precedents WHERE ratio_text IS NOT NULL),
+    s AS (SELECT row_no, t, regexp_extract_all(t, '(?:^|\\s)[0-9]+\\.\\s+([A-Z][A-Z /&-]*[A-Z]):\\s*', 1) AS k, list_transform(string_split_regex(t, '(?:^|\\s)[0-9]+\\.\\s+[A-Z][A-Z /&-]*[A-Z]:\\s*')[2:], lambda x: trim(x)) AS v FROM t),
+    p AS (SELECT row_no, t, k, list_transform(range(1, len(k) + 1), lambda i: struct_pack(l := k[i], t := v[i])) AS p FROM s)
+"""
 
 
-@query("""WITH s AS (SELECT row_no, unnest(regexp_extract_all(ratio_text, '(?:^|\\s)([A-Z][A-Z ]{3,}):\\s', 1)) AS label FROM precedents WHERE ratio_text IS NOT NULL)
-    SELECT label, count(*) AS n FROM s GROUP BY label""")
+@query(
+    _PARTS
+    + """SELECT row_no, array_to_string(list_transform(list_filter(p, lambda x: x.l <> 'PARTY IDENTITIES' AND x.t <> ''), lambda x: x.l || ': ' || x.t), chr(10)) AS facts,
+    array_to_string(list_transform(list_filter(p[1:3], lambda x: x.t <> ''), lambda x: x.l || ': ' || x.t), chr(10)) AS parts, array_to_string(list_transform(p[1:3], lambda x: x.l || ': ' || x.t), ' ') AS passage,
+    coalesce(list_transform(list_filter(p[1:3], lambda x: x.t <> ''), lambda x: x.l || ': ' || x.t)[1], '') AS core FROM p WHERE len(k) > 0
+    UNION ALL SELECT row_no, trim(t), trim(t), trim(t), trim(t) FROM p WHERE len(k) = 0"""
+)
 def ratio_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled parts of ratio texts, counted by label."""
-    rows = table(spark, sf_dir, "precedents").filter("ratio_text is not null").select("row_no", F.explode(T.sections(F.col("ratio_text"))).alias("s"))
-    return rows.filter("s.label <> ''").groupBy(F.col("s.label").alias("label")).agg(F.count("*").alias("n"))
+    """Labelled parts of ratio texts as facts, as ratio parts, as one passage and the core rule. The tables have labels
+    without numbers, so numbers are put before them, and one label stands for the one that is left out."""
+    numbered = F.regexp_replace(F.regexp_replace("ratio_text", r"([A-Z]{4,}(?: [A-Z]+)*):", "7. $1:"), "STATUTORY INTERPRETATION", "PARTY IDENTITIES")
+    rows = table(spark, sf_dir, "precedents").filter("ratio_text is not null").select("row_no", numbered.alias("t")).distinct()
+    c = F.col("t")
+    return rows.select("row_no", F.array_join(T.facts_sections(c), "\n").alias("facts"), F.array_join(T.ratio_parts(c), "\n").alias("parts"), T.ratio_passage(c).alias("passage"), T.core_rule(c).alias("core"))
 
 
 @query()
@@ -268,32 +304,46 @@ WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x:
 
 @query(
     f"""WITH v AS (SELECT DISTINCT key, unnest({GRAM.format(n=6)}) AS g FROM (SELECT case_id AS key, {WORDS} AS w FROM documents WHERE case_id IS NOT NULL AND text IS NOT NULL)),
+    k AS (SELECT DISTINCT key, unnest({GRAM.format(n=6)}) AS g FROM (SELECT case_id AS key, {WORDS} AS w FROM (SELECT case_id, unnest(facts_texts) AS text FROM precedents) WHERE case_id IS NOT NULL AND text IS NOT NULL)),
     s AS (SELECT DISTINCT key, source_id, unnest({GRAM.format(n=6)}) AS g FROM (SELECT case_id AS key, analysis_id AS source_id, {WORDS} AS w FROM (SELECT case_id, analysis_id, interpretation AS text FROM statutory_analysis WHERE case_id IS NOT NULL AND interpretation IS NOT NULL)))
-    SELECT key, source_id, count(*) AS n_leaked FROM s SEMI JOIN v USING (key, g) GROUP BY ALL"""
+    SELECT key, source_id, count(*) AS n_leaked FROM s SEMI JOIN v USING (key, g) ANTI JOIN k USING (key, g) GROUP BY ALL"""
 )
 def leakage_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six-word runs of an analysis that stand in a document of its case."""
+    """Six-word runs of an analysis that stand in a document of its case and not in the facts of its precedents."""
     views = table(spark, sf_dir, "documents").select(F.col("case_id").alias("key"), "text")
+    visible = table(spark, sf_dir, "precedents").select(F.col("case_id").alias("key"), F.explode("facts_texts").alias("text"))
     sealed = table(spark, sf_dir, "statutory_analysis").select(F.col("case_id").alias("key"), F.col("analysis_id").alias("source_id"), F.col("interpretation").alias("text"))
-    return overlap.leakage(views, sealed, None, 6)
+    return overlap.leakage(views, sealed, visible, 6)
 
 
-_GEN = ", ".join(f"'{w}'" for w in overlap.GENERIC)
-_DIST = "list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: len(w) >= 4 AND w NOT IN (" + _GEN + ")))"
+TRADES = "steels papers shipping foods power realty agro infra polymers minerals motors textiles chemicals logistics pharma ceramics cables seeds".split()
+_GENERIC = (*overlap.GENERIC, *TRADES)
+_GEN = ", ".join(f"'{w}'" for w in _GENERIC)
+_DIST = "list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: len(w) >= 3 AND w NOT IN (" + _GEN + ")))"
 
 
 @query(
-    f"""WITH t AS (SELECT row_no AS title_id, unnest(ws) AS w FROM (SELECT DISTINCT row_no, {_DIST.format(c='case_title')} AS ws FROM precedents WHERE case_title IS NOT NULL)),
-    n AS (SELECT name_id, ws, ws[1] AS lead FROM (SELECT DISTINCT party_name AS name_id, list_filter(regexp_split_to_array(lower(party_name), '[^a-z0-9]+'), lambda w: len(w) >= 4 AND w NOT IN ({_GEN})) AS ws FROM parties) WHERE len(ws) > 0),
-    e AS (SELECT name_id, lead, unnest(list_distinct(ws)) AS w, len(list_distinct(ws)) AS k FROM n),
-    p AS (SELECT t.title_id, e.name_id, e.k, count(*) AS n_shared FROM e JOIN t ON t.w = e.w JOIN t l ON l.title_id = t.title_id AND l.w = e.lead GROUP BY ALL)
-    SELECT title_id, name_id, n_shared FROM p WHERE n_shared >= least(2, k)"""
+    f"""WITH t AS (SELECT DISTINCT row_no AS title_id, list_distinct(list_filter(regexp_split_to_array(lower(case_title), '[^a-z0-9]+'), lambda w: w <> '')) AS t,
+      regexp_extract(appeal_number, 'No\\. ([0-9]+) of', 1) || '/' || regexp_extract(appeal_number, 'of ([0-9]{{4}})', 1) AS number FROM precedents WHERE case_title IS NOT NULL),
+    n AS (SELECT DISTINCT case_id || '/' || ord AS name_id, kind, cause_title_role AS role, {_DIST.format(c='party_name')} AS n, coalesce(variants, []) AS variants FROM parties WHERE party_name IS NOT NULL),
+    f AS (SELECT *, list_prepend(n, list_transform(variants, lambda v: {_DIST.format(c='v')})) AS forms FROM n),
+    m AS (SELECT DISTINCT name_id, x AS must, x AS every, len(x) AS needed FROM (SELECT name_id, unnest(forms) AS x FROM f WHERE kind = 'PERSON' AND role IS NOT NULL) WHERE len(x) >= 2
+      UNION SELECT DISTINCT name_id, n[1:1], list_distinct(flatten(forms)), 2 FROM f WHERE kind NOT IN ('PERSON', 'BANK', 'AUTHORITY') AND len(n) > 0),
+    j AS (SELECT title_id, name_id, max(len(list_intersect(t, every))) AS n_shared FROM (SELECT *, unnest(must) AS w FROM m WHERE len(must) > 0) m JOIN (SELECT title_id, t, unnest(t) AS w FROM t) t ON t.w = m.w
+      WHERE list_has_all(t, must) AND len(list_intersect(t, every)) >= needed GROUP BY ALL),
+    c AS (SELECT DISTINCT p.case_id || '/' || p.ord AS name_id, regexp_extract(d.appeal_number, 'No\\. ([0-9]+) of', 1) || '/' || regexp_extract(d.appeal_number, 'of ([0-9]{{4}})', 1) AS number FROM parties p JOIN precedents d ON d.case_id = p.case_id WHERE p.party_name IS NOT NULL),
+    b AS (SELECT title_id, f.name_id, max(len(list_intersect(t, list_distinct(flatten(forms))))) AS n_shared FROM t JOIN c USING (number) JOIN f ON f.name_id = c.name_id WHERE len(list_intersect(t, list_distinct(flatten(forms)))) > 0 AND number <> '/' GROUP BY ALL)
+    SELECT *, 'NAME' AS reason FROM j UNION ALL SELECT *, 'NUMBER' FROM b ANTI JOIN j USING (title_id, name_id)"""
 )
 def entity_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Precedent titles that share a party name's lead word and two distinctive words (or all it has)."""
-    titles = table(spark, sf_dir, "precedents").select(F.col("row_no").alias("title_id"), F.col("case_title").alias("text")).filter("text is not null").distinct()
-    names = table(spark, sf_dir, "parties").select(F.col("party_name").alias("name_id"), F.col("party_name").alias("text")).filter("text is not null").distinct()
-    return overlap.shared_names(titles, names, 2)
+    """Precedents that seem to concern the same dispute as a party: by its name in the title, or by a number and a word."""
+    number = F.concat(F.regexp_extract("appeal_number", r"No\. ([0-9]+) of", 1), F.lit("/"), F.regexp_extract("appeal_number", "of ([0-9]{4})", 1))
+    p = table(spark, sf_dir, "precedents").withColumn("numbers", F.filter(F.array(number), lambda x: x != "/"))
+    titles = p.select(F.col("row_no").alias("title_id"), F.col("case_title").alias("text"), "numbers").filter("text is not null").distinct()
+    q = table(spark, sf_dir, "parties").filter("party_name is not null").withColumn("name_id", F.concat("case_id", F.lit("/"), F.col("ord").cast("string")))
+    names = q.select("name_id", F.col("party_name").alias("text"), "variants", "kind", F.col("cause_title_role").alias("role")).distinct()
+    numbers = q.select("name_id", "case_id").join(p.select("case_id", F.explode("numbers").alias("number")), "case_id").select("name_id", "number").distinct()
+    return overlap.shared_names(titles, names, 2, _GENERIC, numbers)
 
 
 @query(
@@ -388,26 +438,9 @@ def citation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Synchronisation and quality
 
-_HASHED = "SELECT DISTINCT snapshot_no, statute_id AS k, md5(concat_ws('|', coalesce(section_title, '~'), coalesce(statutory_summary, '~'))) AS c, md5(coalesce(jurisdiction_type, '~')) AS d, received_at FROM law_snapshots"
-
-
-@query(
-    f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY snapshot_no, k ORDER BY received_at DESC, c DESC, d DESC) AS rn FROM ({_HASHED})),
-    m AS (SELECT min(snapshot_no) AS a, max(snapshot_no) AS b FROM law_snapshots),
-    o AS (SELECT h.* FROM h, m WHERE snapshot_no = a AND rn = 1), n AS (SELECT h.* FROM h, m WHERE snapshot_no = b AND rn = 1)
-    SELECT coalesce(o.k, n.k) AS statute_id, CASE WHEN o.k IS NULL THEN 'insert' WHEN n.k IS NULL THEN 'remove' WHEN o.c <> n.c THEN 'update' WHEN o.d <> n.d THEN 'refresh' ELSE 'unchanged' END AS action
-    FROM o FULL JOIN n ON o.k = n.k"""
-)
-def incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What to do to bring the first law delivery to the last: by content, then by derived fields."""
-    rows = table(spark, sf_dir, "law_snapshots")
-    hashed = rows.select(
-        "snapshot_no", "statute_id", F.md5(F.concat_ws("|", F.coalesce("section_title", F.lit("~")), F.coalesce("statutory_summary", F.lit("~")))).alias("content_hash"),
-        F.md5(F.coalesce("jurisdiction_type", F.lit("~"))).alias("derived_hash"), "received_at",
-    )
-    last = hashed.groupBy("snapshot_no", "statute_id").agg(F.max(F.struct("received_at", "content_hash", "derived_hash")).alias("x")).select("snapshot_no", "statute_id", "x.content_hash", "x.derived_hash")
-    ends = F.broadcast(rows.agg(F.min("snapshot_no").alias("a"), F.max("snapshot_no").alias("b")))  # one row
-    return sync.incremental_sync(last.join(ends).filter("snapshot_no = a"), last.join(ends).filter("snapshot_no = b"), "statute_id")
+#: References and codes are derived fields: a change of these alone needs no new embedding.
+LAW_DERIVED = ("intersecting_statute_ids", "audit_error_codes")
+LAW_TEXT = tuple(c for c in LAW_CONTENT if c not in LAW_DERIVED)
 
 
 @query(
@@ -415,13 +448,13 @@ def incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     m AS (SELECT min(snapshot_no) AS a, max(snapshot_no) AS b FROM law_snapshots),
     o AS (SELECT s.* FROM s, m WHERE snapshot_no = a), n AS (SELECT s.* FROM s, m WHERE snapshot_no = b)
     SELECT coalesce(o.statute_id, n.statute_id) AS statute_id, CASE WHEN o.statute_id IS NULL THEN 'insert' WHEN n.statute_id IS NULL THEN 'remove'
-      WHEN """ + " OR ".join(f"n.{c} IS DISTINCT FROM o.{c}" for c in LAW_CONTENT) + """ THEN 'update' ELSE 'unchanged' END AS action
+      WHEN """ + " OR ".join(f"n.{c} IS DISTINCT FROM o.{c}" for c in LAW_TEXT) + """ THEN 'update' WHEN """ + " OR ".join(f"n.{c} IS DISTINCT FROM o.{c}" for c in LAW_DERIVED) + """ THEN 'refresh' ELSE 'unchanged' END AS action
     FROM o FULL JOIN n ON o.statute_id = n.statute_id"""
 )
-def law_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What to do to bring the first law delivery to the last, by all content columns. A law record has no derived fields."""
+def incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to do to bring the first law delivery to the last, by all content columns, the derived ones apart."""
     rows = table(spark, sf_dir, "law_snapshots")
-    hashed = rows.filter("statute_id is not null").select("snapshot_no", "statute_id", sync.content_hash(*LAW_CONTENT).alias("content_hash"), F.lit("").alias("derived_hash"), "received_at")
+    hashed = rows.filter("statute_id is not null").select("snapshot_no", "statute_id", sync.content_hash(*LAW_TEXT).alias("content_hash"), sync.content_hash(*LAW_DERIVED).alias("derived_hash"), "received_at")
     last = hashed.groupBy("snapshot_no", "statute_id").agg(F.max(F.struct("received_at", "content_hash", "derived_hash")).alias("x")).select("snapshot_no", "statute_id", "x.content_hash", "x.derived_hash")
     ends = F.broadcast(rows.agg(F.min("snapshot_no").alias("a"), F.max("snapshot_no").alias("b")))  # one row
     return sync.incremental_sync(last.join(ends).filter("snapshot_no = a"), last.join(ends).filter("snapshot_no = b"), "statute_id")
@@ -429,8 +462,9 @@ def law_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH l AS (SELECT DISTINCT doc_id, sha256(coalesce(text, '~')) AS h FROM documents),
-    g AS (SELECT substr(md5(doc_id::VARCHAR), 1, 2) AS g, sha256(string_agg(doc_id::VARCHAR || ':' || h, chr(10) ORDER BY doc_id::VARCHAR || ':' || h)) AS h FROM l GROUP BY 1)
-    SELECT sha256(string_agg(g || ':' || h, chr(10) ORDER BY g || ':' || h)) AS snapshot_hash FROM g"""
+    g4 AS (SELECT substr(md5(doc_id::VARCHAR), 1, 4) AS g, sha256(string_agg(doc_id::VARCHAR || ':' || h, chr(10) ORDER BY doc_id::VARCHAR || ':' || h)) AS h FROM l GROUP BY 1),
+    g2 AS (SELECT substr(g, 1, 2) AS g, sha256(string_agg(g || ':' || h, chr(10) ORDER BY g || ':' || h)) AS h FROM g4 GROUP BY 1)
+    SELECT sha256(string_agg(g || ':' || h, chr(10) ORDER BY g || ':' || h)) AS snapshot_hash FROM g2"""
 )
 def content_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hash of all documents, whatever their order."""
@@ -509,7 +543,7 @@ def one_order_a_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 def role_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of a cause title with more than one role."""
     p = table(spark, sf_dir, "parties").filter("cause_title_role is not null")
-    return p.groupBy("case_id", "ord").agg(F.array_sort(F.collect_set("cause_title_role")).alias("roles")).filter("size(roles) > 1")
+    return quality.unlike(p, ["case_id", "ord"], "cause_title_role").withColumnRenamed("values", "roles")
 
 
 # Evaluation
@@ -554,10 +588,10 @@ def balanced_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("level", F.round("balanced_accuracy", 9).alias("balanced_accuracy"), F.round("macro_f1", 9).alias("macro_f1"))
 
 
-@query(_EXPANDING + ", s AS (SELECT count(*) AS pairs, count(CASE WHEN prediction = truth AND truth <> 'O' THEN 1 END) AS only_a, count(CASE WHEN prediction <> truth AND truth = 'O' THEN 1 END) AS only_b FROM e WHERE prediction IS NOT NULL) SELECT pairs, only_a, only_b FROM s")
+@query(_EXPANDING + ", s AS (SELECT count(*) AS pairs, count(CASE WHEN prediction = truth AND truth <> 'O' THEN 1 END) AS only_a, count(CASE WHEN prediction <> truth AND truth = 'O' THEN 1 END) AS only_b FROM e WHERE prediction IS NOT NULL), q AS (SELECT *, only_a + only_b AS n, least(only_a, only_b) AS k FROM s) SELECT pairs, only_a, only_b, round(least(1.0, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) * 2 FROM range(0, 1000000) r(i) WHERE i <= k)), 6) AS p FROM q")
 def paired_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running majority against always answering O, over the orders both predict."""
-    return evaluation.paired(_outcomes(spark, sf_dir).select("truth", F.col("prediction").alias("a"), F.lit("O").alias("b"))).select("pairs", "only_a", "only_b")
+    return evaluation.paired(_outcomes(spark, sf_dir).select("truth", F.col("prediction").alias("a"), F.lit("O").alias("b"))).select("pairs", "only_a", "only_b", F.round("p", 6).alias("p"))
 
 
 @query(
@@ -574,7 +608,7 @@ def subset_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile interval of the mean confidence of lessons by type (seeded draws, so without SQL)."""
     lessons = table(spark, sf_dir, "lessons").select("lesson_no", "lesson_type", "confidence").distinct()
-    return evaluation.bootstrap(lessons, ["lesson_type"], "confidence", ["lesson_no"], lambda v: sum(v) / len(v), samples=200)
+    return evaluation.bootstrap(lessons, ["lesson_type"], "confidence", ["lesson_no"], lambda v: sum(v) / len(v))
 
 
 @query(
@@ -590,34 +624,32 @@ def majority_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Votes: orders as sessions, line items as judges' opinions, return flag as the side upheld
 
-_VOTES = "SELECT l_orderkey AS session_id, l_suppkey AS judge, l_linenumber AS ord, l_linestatus = 'F' OR l_quantity > 5 AS valid, l_returnflag AS result, l_quantity AS score, l_discount AS accuracy FROM lineitem"
-_FOLD = f"""WITH o AS ({_VOTES}), g AS (SELECT session_id, judge, bool_and(valid) AS ok, count(DISTINCT result) AS n, min(result) AS r, avg(score) AS score, avg(accuracy) AS accuracy FROM o GROUP BY ALL),
-    f AS (SELECT session_id, judge, CASE WHEN ok AND n = 1 THEN r END AS winner, score, accuracy FROM g),
-    s AS (SELECT session_id, winner, count(*) AS n, avg(score) AS score FROM f WHERE winner IS NOT NULL GROUP BY ALL),
-    k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, winner) AS rn, sum(n) OVER (PARTITION BY session_id) AS total, lead(n) OVER (PARTITION BY session_id ORDER BY n DESC, winner) AS next FROM s),
-    v AS (SELECT i.session_id, CASE WHEN coalesce(total, 0) < 2 THEN NULL WHEN k.n = coalesce(next, 0) THEN NULL ELSE winner END AS winner,
-      CASE WHEN coalesce(total, 0) < 2 THEN 'UNSTABLE_TOO_FEW' WHEN k.n = coalesce(next, 0) THEN 'EVEN_SPLIT' ELSE 'MAJORITY' END AS status FROM (SELECT DISTINCT session_id FROM f) i LEFT JOIN k ON k.session_id = i.session_id AND rn = 1)
+_VOTES = "SELECT l_orderkey AS session_id, l_suppkey AS judge, l_linenumber AS ord, l_linestatus = 'F' OR l_quantity > 5 AS valid, CASE WHEN l_returnflag = 'A' THEN 'P' ELSE 'R' END AS result, l_quantity AS score, l_discount AS accuracy FROM lineitem"
+_FOLD = f"""WITH o AS ({_VOTES}), g AS (SELECT session_id, judge, bool_and(valid) AS ok, count(DISTINCT result) AS n, count(*) AS orders, min(result) AS r, avg(score) AS score, avg(accuracy) AS accuracy FROM o GROUP BY ALL),
+    f AS (SELECT session_id, judge, CASE WHEN ok AND n = 1 THEN r END AS winner, CASE WHEN NOT ok THEN 'INVALID' WHEN n <> 1 THEN 'ORDER_SWAP_DISAGREEMENT' WHEN orders = 1 THEN 'ONE_ORDER' ELSE 'AGREED' END AS reason, score, accuracy FROM g),
+    s AS (SELECT session_id, count(winner) AS total, count(*) FILTER (winner = 'P') AS p, count(*) FILTER (winner = 'R') AS r, round(avg(score) FILTER (winner = 'P'), 6) AS ps, round(avg(score) FILTER (winner = 'R'), 6) AS rs, round(avg(accuracy) FILTER (winner = 'P'), 6) AS pa, round(avg(accuracy) FILTER (winner = 'R'), 6) AS ra FROM f GROUP BY 1),
+    v AS (SELECT session_id, CASE WHEN total < 2 THEN NULL WHEN p <> r THEN CASE WHEN p > r THEN 'P' ELSE 'R' END WHEN abs(ps - rs) >= 20 THEN CASE WHEN ps > rs THEN 'P' ELSE 'R' END WHEN abs(pa - ra) >= 20 THEN CASE WHEN pa > ra THEN 'P' ELSE 'R' END END AS winner,
+      CASE WHEN total < 2 THEN 'UNSTABLE_TOO_FEW' WHEN p <> r THEN 'MAJORITY' WHEN abs(ps - rs) >= 20 THEN 'TIE_SCORE' WHEN abs(pa - ra) >= 20 THEN 'TIE_ACCURACY' ELSE 'UNBROKEN_TIE' END AS status FROM s)
 """
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem")
-    opinions = line.select(
+    opinions = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("session_id"), F.col("l_suppkey").alias("judge"), F.col("l_linenumber").alias("ord"), ((F.col("l_linestatus") == "F") | (F.col("l_quantity") > 5)).alias("valid"),
-        F.col("l_returnflag").alias("result"), F.col("l_quantity").alias("score"), F.col("l_discount").alias("accuracy"),
+        F.when(F.col("l_returnflag") == "A", "P").otherwise("R").alias("result"), F.col("l_quantity").alias("score"), F.col("l_discount").alias("accuracy"),
     )
-    means = opinions.groupBy("session_id", "judge").agg(F.avg("score").alias("score"), F.avg("accuracy").alias("accuracy"))
-    return voting.fold_judges(opinions).join(means, ["session_id", "judge"])
+    return voting.fold_judges(opinions, ["score", "accuracy"])
 
 
-@query(_FOLD + "SELECT session_id, judge, winner FROM f")
+@query(_FOLD + "SELECT session_id, judge, winner, reason FROM f")
 def fold_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _folded(spark, sf_dir).select("session_id", "judge", "winner")
+    return _folded(spark, sf_dir).select("session_id", "judge", "winner", "reason")
 
 
 @query(_FOLD + "SELECT * FROM v")
 def bench_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voting.verdicts(_folded(spark, sf_dir), 2)
+    """Verdicts with a tie ladder: most votes, then the score, then the accuracy, ahead by twenty or more."""
+    return voting.verdicts(_folded(spark, sf_dir), 2, 20)
 
 
 @query(_FOLD + "SELECT coalesce(winner, 'UNSTABLE_' || status) AS key, count(*) AS n FROM v GROUP BY ALL")
@@ -651,8 +683,8 @@ def order_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lesson_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten weightiest active lessons of each party status."""
     l = table(spark, sf_dir, "lessons").filter("status = 'ACTIVE'").select("lesson_no", "party_status", "severity", "frequency", "confidence", "error_code").distinct()
-    w = Window.partitionBy("party_status").orderBy(F.desc(F.round(F.col("severity") * F.log1p("frequency") * F.col("confidence"), 9)), "lesson_no")
-    return l.withColumn("rank", F.row_number().over(w)).filter("rank <= 10").select("party_status", "lesson_no", "rank")
+    score = F.round(F.col("severity") * F.log1p("frequency") * F.col("confidence"), 9)
+    return memory.ranked(l, ["party_status"], score, "lesson_no", 10).select("party_status", "lesson_no", "rank")
 
 
 @query()
@@ -664,11 +696,12 @@ def lesson_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT DISTINCT lesson_no FROM lessons WHERE status = 'ACTIVE' AND party_status = 'APPELLANT' AND
-    (len(list_filter(coalesce(statute_ids, []), lambda k: k IS NOT NULL)) = 0 OR list_has_any(statute_ids, ['CREVC_1999_SEC_1', 'CREVC_1999_SEC_2', 'MEDC_1990_SEC_1']))"""
+    """SELECT DISTINCT lesson_no FROM (SELECT *, list_filter(coalesce(statute_ids, []), lambda k: k IS NOT NULL AND k <> 'CAFFG_1978_SEC_2') AS k FROM lessons) WHERE status = 'ACTIVE' AND party_status IN ('APPELLANT', 'PETITIONER') AND
+    (len(k) = 0 OR list_has_any(k, ['CREVC_1999_SEC_1', 'CREVC_1999_SEC_2', 'MEDC_1990_SEC_1']))"""
 )
 def usable_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = memory.usable_lessons(table(spark, sf_dir, "lessons"), "APPELLANT", ["CREVC_1999_SEC_1", "CREVC_1999_SEC_2", "MEDC_1990_SEC_1"])
+    families = {"APPELLANT": "MOVING", "PETITIONER": "MOVING", "RESPONDENT": "ANSWERING"}
+    got = memory.usable_lessons(table(spark, sf_dir, "lessons"), "APPELLANT", ["CREVC_1999_SEC_1", "CREVC_1999_SEC_2", "MEDC_1990_SEC_1"], families=families, unkeyed=["CAFFG_1978_SEC_2"])
     return got.select("lesson_no").distinct()
 
 
@@ -685,7 +718,7 @@ def spend_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = table(spark, sf_dir, "events").select("event_type", F.col("value").alias("units"))
     prices = spark.createDataFrame(_PRICES, "event_type string, price double")
     out = runlog.spend(calls, prices, ["event_type"])
-    return out.select("event_type", "calls", F.round("units", 4).alias("units"), F.round(F.round("units", 4) * F.col("cost") / F.col("units"), 4).alias("cost"), "priced")
+    return out.select("event_type", "calls", "units", F.round("cost", 4).alias("cost"), "priced")
 
 
 @query("""SELECT user_id, event_type, count(*) AS requests, round(sum(value), 4) AS units FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR GROUP BY ALL""")
@@ -698,11 +731,12 @@ def trailing_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS z FROM events)
-    SELECT user_id, count(*) AS n_events, max(CASE WHEN a = 1 THEN event_type END) AS first_kind, max(CASE WHEN z = 1 THEN event_type END) AS last_kind, count(DISTINCT event_type) AS n_kinds FROM e GROUP BY user_id"""
+    SELECT user_id, count(*) AS n_events, max(CASE WHEN a = 1 THEN event_type END) AS first_kind, max(CASE WHEN z = 1 THEN event_type END) AS last_kind,
+      (SELECT string_agg(k || '=' || n, ' ' ORDER BY k) FROM (SELECT user_id AS u, event_type AS k, count(*) AS n FROM events GROUP BY ALL) WHERE u = e.user_id) AS kinds FROM e GROUP BY user_id"""
 )
 def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = runlog.trace_summary(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type")
-    return out.select("user_id", "n_events", "first_kind", "last_kind", F.size("kinds").cast("bigint").alias("n_kinds"))
+    return out.select("user_id", "n_events", "first_kind", "last_kind", F.array_join(F.transform(F.array_sort(F.map_entries("kinds")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ").alias("kinds"))
 
 
 @query(
@@ -746,9 +780,9 @@ _RULES = [
 
 @query(
     """WITH l AS (SELECT DISTINCT rec_no, diagnostic_checklist.financial_threshold.minimum_amount AS m, diagnostic_checklist.financial_threshold.currency AS c, procedural_timelines.adjudication_window_days AS w, procedural_timelines.rectification_window_days AS r FROM law),
-    o AS (SELECT rec_no, 'P1' AS predicate_id, CASE WHEN m IS NULL OR w IS NULL THEN 'SKIPPED' WHEN NOT (m >= 100000) OR w <= 90 THEN 'PASS' ELSE 'FAIL' END AS outcome, (m IS NULL)::INT + (w IS NULL)::INT AS n_missing, 'ERR_WINDOW' AS e FROM l
-      UNION ALL SELECT rec_no, 'P2', CASE WHEN c IS NULL OR w IS NULL OR r IS NULL THEN 'SKIPPED' WHEN c = 'INR' AND w + r > 20 THEN 'PASS' ELSE 'FAIL' END, (c IS NULL)::INT + (w IS NULL)::INT + (r IS NULL)::INT, 'ERR_THRESHOLD' FROM l)
-    SELECT rec_no, predicate_id, outcome, CASE WHEN outcome = 'FAIL' THEN e END AS error_code, n_missing FROM o"""
+    o AS (SELECT rec_no, 'P1' AS predicate_id, CASE WHEN m IS NULL OR w IS NULL THEN 'SKIPPED' WHEN NOT (m >= 100000) OR w <= 90 THEN 'PASS' ELSE 'FAIL' END AS outcome, array_to_string(list_sort(list_filter([CASE WHEN m IS NULL THEN 'minimum' END, CASE WHEN w IS NULL THEN 'window' END], lambda x: x IS NOT NULL)), ',') AS missing, 'ERR_WINDOW' AS e FROM l
+      UNION ALL SELECT rec_no, 'P2', CASE WHEN c IS NULL OR w IS NULL OR r IS NULL THEN 'SKIPPED' WHEN c = 'INR' AND w + r > 20 THEN 'PASS' ELSE 'FAIL' END, array_to_string(list_sort(list_filter([CASE WHEN c IS NULL THEN 'currency' END, CASE WHEN w IS NULL THEN 'window' END, CASE WHEN r IS NULL THEN 'rectify' END], lambda x: x IS NOT NULL)), ','), 'ERR_THRESHOLD' FROM l)
+    SELECT rec_no, predicate_id, outcome, CASE WHEN outcome = 'FAIL' THEN e END AS error_code, missing FROM o"""
 )
 def predicate_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two compiled rules over every law record: PASS, FAIL or SKIPPED with what is missing."""
@@ -756,4 +790,4 @@ def predicate_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rec_no", F.col("diagnostic_checklist.financial_threshold.minimum_amount").alias("minimum"), F.col("diagnostic_checklist.financial_threshold.currency").alias("currency"),
         F.col("procedural_timelines.adjudication_window_days").alias("window"), F.col("procedural_timelines.rectification_window_days").alias("rectify"),
     ).distinct()
-    return predicates.run_all(law, _RULES, ["rec_no"]).select("rec_no", "predicate_id", "outcome", "error_code", F.size("missing").alias("n_missing"))
+    return predicates.run_all(law, _RULES, ["rec_no"]).select("rec_no", "predicate_id", "outcome", "error_code", F.array_join(F.array_sort("missing"), ",").alias("missing"))

@@ -93,8 +93,17 @@ def append_trace(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def markdown_table(df: DataFrame, most: int = 200) -> str:
-    """A small report as a Markdown table; at most `most` rows, which is the limit of a report page."""
-    rows = df.limit(most).collect()
-    head = "| " + " | ".join(df.columns) + " |\n| " + " | ".join("---" for _ in df.columns) + " |\n"
-    return head + "".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |\n" for r in rows)
+def markdown_rows(df: DataFrame, order: list[str]) -> DataFrame:
+    """(line_no, line) of a table as Markdown, head first, in the order given; a report of any size, written in Spark."""
+    head = ["| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |"]
+    cells = F.concat_ws(" | ", *[F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in df.columns])
+    body = df.select(F.struct(*order).alias("o"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
+    # A global order without a single task: rows of equal rank by range partition, numbered by their partition's offset.
+    ordered = body.orderBy("o").select("line", F.monotonically_increasing_id().alias("line_no"))
+    top = df.sparkSession.createDataFrame([(i - len(head), h) for i, h in enumerate(head)], "line_no long, line string")
+    return top.unionByName(ordered.select("line_no", "line"))
+
+
+def markdown_table(df: DataFrame, order: list[str]) -> str:
+    """A report as one Markdown text, whole; for tables that fit a page. Larger ones are written by markdown_rows."""
+    return "".join(r.line + "\n" for r in markdown_rows(df, order).orderBy("line_no").toLocalIterator())
