@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketlake.plans.session import cut
+
 #: Integers of one run partition; runs are cut at its multiples, which bounds what one window group can hold.
 BUCKET = 1 << 16
-#: Copies of each id's validity for the references to it, so that a hot id is spread over so many tasks.
-SALTS = 16
+#: References to one id that meet its validity in one task; the validity of an id with more is copied once for so many.
+HOT = 100_000
 
 
 def normal_id(c: Column) -> Column:
@@ -84,13 +86,19 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     A reference without a time can only be `missing` (month null). No refs: no rows; no parents: all are missing.
 
     Plan: parent ids become runs per stem; the distinct referenced ids (not the references) are matched to them;
-    references then meet one row an id, salted so that a hot id is no hot task.
+    references then meet one row an id; the row of an id with more than HOT references is copied, and they are salted.
     """
     refs = refs.filter("id is not null and id <> ''").select("ref_table", "ref_id", "id", F.col("t").cast("timestamp_ntz").alias("t")).distinct()
     parents = parents.filter("id is not null and id <> ''")
-    info = known_ids(refs, key_runs(parents)).join(validity(parents), "id", "left")
-    info = info.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    refs = refs.withColumn("salt", F.pmod(F.xxhash64("ref_id", "t"), F.lit(SALTS)).cast("int"))
+    asked = cut(refs.groupBy("id").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts")))
+    info = known_ids(asked, key_runs(parents)).join(validity(parents), "id", "left")
+    hot = cut(asked.filter("salts > 1"))
+    on = ["id"]
+    if not hot.isEmpty():
+        every, own = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)), F.pmod(F.xxhash64("ref_id", "t"), F.coalesce("salts", F.lit(1)))
+        info = info.join(hot, "id", "left").withColumn("salt", every).drop("salts")
+        refs = refs.join(hot, "id", "left").withColumn("salt", own.cast("int")).drop("salts")
+        on = ["id", "salt"]
     holds = F.exists("spans", lambda s: (s["s"] <= F.col("t")) & (F.col("t") < s["e"]))
     reason = (
         F.when(~F.col("known"), "missing")
@@ -99,7 +107,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
         .otherwise("late")
     )
     return (
-        refs.join(info, ["id", "salt"])
+        refs.join(info, on)
         .select("ref_table", "ref_id", F.col("id").alias("missing_id"), reason.alias("reason"), F.date_format("t", "yyyy-MM").alias("ref_month"))
         .filter("reason is not null")
         .distinct()
