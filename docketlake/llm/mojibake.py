@@ -18,7 +18,6 @@ SINGLE = (
     ("cp1251", "cp1252"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp1251"), ("koi8_r", "cp1251"),
     ("cp1251", "koi8_r"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp1252", "koi8_r"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"),
 )
-LAYERS = 6
 
 
 def _table(name: str) -> dict[str, int]:
@@ -119,6 +118,7 @@ _WORD = re.compile(r"[^\s]*[^\x00-\x7f\s][^\s]*")
 _JOINERS = set("’‘ʼ'-‐‑–—…·/.@&_­​‌‍⁠﻿₹°®™©“”„§№†‡•×½¼¾ºª")
 
 
+@lru_cache(maxsize=1 << 17)
 def word_cost(word: str) -> float:
     """How unlike any written word this is: scripts mixed between neighbours, signs inside, capitals within, accents in a row."""
     cost, accents = 0.0, 0
@@ -208,10 +208,17 @@ _RESTORED = (
 )
 
 
+#: Two signs that could be a lead and a following byte under some encoding, and the signs that lost ones begin with: a text
+#: without them is not searched further.
+_PAIR = re.compile("[" + "".join(re.escape(c) for k in MISREAD for c, b in CODECS[k].bytes.items() if b >= 0xC2) + "][" + "".join(re.escape(c) for k in MISREAD for c, b in CODECS[k].bytes.items() if b <= 0xBF) + "]")
+_LOST_FIRST = re.compile("[�âàïðãÂÃвГВ‚√‡Γ├┬ÔÓ]")
+
+
 def repair(text: str) -> tuple[str, int, bool]:
     """(repaired text, layers undone, whether the text was garbled). Signs that were lost stay lost."""
     layers = 0
-    for _ in range(LAYERS):
+    # Each layer undone makes the text shorter, so the loop ends.
+    while _PAIR.search(text):
         best: tuple[int, str] = (0, text)
         for name in MISREAD:
             codec = CODECS[name]
@@ -228,7 +235,7 @@ def repair(text: str) -> tuple[str, int, bool]:
     out, drop = _single_pass(text)
     if drop:
         text, layers = out, layers + 1
-    lost = bool(_LOST.search(text))
+    lost = bool(_LOST_FIRST.search(text)) and bool(_LOST.search(text))
     if lost:
         for gap, sign in _RESTORED:
             text = gap.sub(sign, text)
