@@ -9,30 +9,28 @@ from pyspark.sql import functions as F
 
 from docketlake.plans.session import cut
 
-#: Largest language and topic classes that are margins of their own; the rest of either is one class. Bounds the cells.
-LANGUAGES, TOPICS = 32, 128
-OTHER = "(other)"
+#: Cells of (source, language, topic) that the driver rakes at most; with more of them, coarser topics must be given.
+CELLS = 200_000
+#: Stands for a null language or topic.
+NONE = "(none)"
 #: Documents of a source that one task orders for the systematic draw.
 DRAW_GROUP = 50_000
 
 
-def _largest(df: DataFrame, column: str, most: int) -> DataFrame:
-    """Folds all but the `most` classes with most tokens, and null, into one class."""
-    top = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.sum("n_tokens").alias("t")).orderBy(F.desc("t"), column).limit(most)
-    return df.join(top.select(column, F.lit(True).alias("__top")), column, "left").withColumn(column, F.when(F.col("__top"), F.col(column)).otherwise(OTHER)).drop("__top")
-
-
-def _fill(weight: np.ndarray, tokens: np.ndarray, most: np.ndarray, want: float) -> np.ndarray:
-    """weight times the factor for which tokens, with no weight above its most, sum to want (or to all that is possible)."""
-    if want >= (most * tokens).sum():
-        return most.copy()
-    low, high = 0.0, 1.0
-    while (np.minimum(weight * high, most) * tokens).sum() < want and high < 1e12:
-        high *= 2
+def _fill(weight: np.ndarray, tokens: np.ndarray, most: np.ndarray, group: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """weight times one factor a group for which the group's tokens, with no weight above its most, sum to want (or to all
+    that is possible)."""
+    n = len(want)
+    total = lambda factor: np.bincount(group, np.minimum(weight * factor[group], most) * tokens, n)
+    low, high = np.zeros(n), np.ones(n)
+    while ((short := total(high) < want) & (high < 1e12)).any():
+        high = np.where(short & (high < 1e12), 2 * high, high)
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if (np.minimum(weight * mid, most) * tokens).sum() < want else (low, mid)
-    return np.minimum(weight * high, most)
+        short = total(mid) < want
+        low, high = np.where(short, mid, low), np.where(short, high, mid)
+    full = want >= np.bincount(group, most * tokens, n)
+    return np.where(full[group], most, np.minimum(weight * high[group], most))
 
 
 def rake(cells: pd.DataFrame, shares: dict[str, float], total: float, rounds: int = 50) -> np.ndarray:
@@ -43,16 +41,14 @@ def rake(cells: pd.DataFrame, shares: dict[str, float], total: float, rounds: in
     """
     tokens, most = cells["tokens"].to_numpy(float), cells["cap"].to_numpy(float)
     weight = np.minimum(1.0, most)
-    groups = {c: [np.flatnonzero(cells[c] == k) for k in sorted(cells[c].unique())] for c in ("source", "lang", "topic")}
-    reach = {s: min(shares.get(s, 0.0) * total, float((most * tokens)[(cells["source"] == s).to_numpy()].sum())) for s in cells["source"].unique()}
-    used = sum(reach.values())
+    margins = {c: pd.factorize(cells[c], sort=True, use_na_sentinel=False) for c in ("topic", "lang", "source")}
+    of, names = margins["source"]
+    reach = np.minimum([shares.get(s, 0.0) * total for s in names], np.bincount(of, most * tokens))
+    wants = {c: reach if c == "source" else reach.sum() * np.bincount(g, tokens) / tokens.sum() for c, (g, _) in margins.items()}
     for _ in range(rounds):
         before = weight.copy()
-        for margin in ("topic", "lang", "source"):
-            for at in groups[margin]:
-                name = cells[margin].iat[at[0]]
-                want = reach[name] if margin == "source" else used * tokens[at].sum() / tokens.sum()
-                weight[at] = _fill(np.maximum(weight[at], 1e-9), tokens[at], most[at], want)
+        for c, (g, _) in margins.items():
+            weight = _fill(np.maximum(weight, 1e-9), tokens, most, g, wants[c])
         if np.abs(weight - before).max() < 1e-6:
             break
     return weight
@@ -66,15 +62,17 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     defaults to the tokens of all documents that take part. A source that can't reach its share is used up to its cap
     and falls short; the others keep share * total. No documents or no targets give no rows.
 
-    Plan: tokens are summed per (source, language, topic) cell, at most len(targets) * 33 * 129 cells; their weights
-    are raked on the driver; documents get the cell's weight, whole repeats first and the rest by a systematic draw
+    Every language and topic is a margin of its own. Plan: tokens are summed per (source, language, topic) cell; the
+    weights of the cells, at most CELLS (more raise an error), are raked on the driver; documents get the cell's weight, whole repeats first and the rest by a systematic draw
     over the source's documents, ordered by language, topic and a hash, in groups of bounded size.
     """
     goals = targets.select("source", F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").alias("cap"))
     # Counting tokens is the costly part: it is done once, and what follows reads the counts.
     slim = cut(docs.filter("source is not null and n_tokens > 0").select("doc_id", "source", "lang", "topic", "n_tokens").join(goals.select("source", "cap"), "source"))
-    slim = cut(_largest(_largest(slim, "lang", LANGUAGES), "topic", TOPICS))
-    cells = slim.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"), F.max("cap").alias("cap"), F.count("*").alias("n")).toPandas()
+    slim = slim.withColumn("lang", F.coalesce("lang", F.lit(NONE))).withColumn("topic", F.coalesce("topic", F.lit(NONE)))
+    cells = slim.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"), F.max("cap").alias("cap"), F.count("*").alias("n")).limit(CELLS + 1).toPandas()
+    if len(cells) > CELLS:
+        raise ValueError(f"more than {CELLS} cells of source, language and topic: give coarser topics")
     shares = {r["source"]: r["target_share"] for r in goals.collect()}
     cells = cells.sort_values(["source", "lang", "topic"]).reset_index(drop=True)
     cells["weight"] = rake(cells, shares, float(total_tokens or cells["tokens"].sum())) if len(cells) else []
@@ -82,7 +80,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     weights = docs.sparkSession.createDataFrame(cells[["source", "lang", "topic", "weight", "groups"]], "source string, lang string, topic string, weight double, `groups` long")
     h = F.xxhash64(F.lit(seed), "doc_id")
     drawn = (
-        slim.join(F.broadcast(weights), ["source", "lang", "topic"])  # at most one row a cell, as bounded above
+        slim.join(F.broadcast(weights), ["source", "lang", "topic"])  # at most CELLS rows
         .withColumn("group", F.pmod(h, F.col("groups")))
         .withColumn("part", F.col("weight") - F.floor("weight"))
         .withColumn("h", F.xxhash64(F.lit(seed + 1), "doc_id"))
