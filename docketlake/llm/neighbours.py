@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlake.llm.hnsw import Graph
-from docketlake.plans.session import cut, hash_sample, parallelism
+from docketlake.plans.session import cut, hash_sample
 
 #: Vectors of a shard. A shard that gets twice as many is split by a hash; queries then go to each of its parts.
 SHARD = 16_384
 #: Queries to one part of a shard that one task answers; with more of them, copies of the part share them.
 QUERIES = 65_536
-#: Rows the shard centres are fitted on: this many a shard, and at least LEAST_SAMPLE (documented bound of the fit).
-SAMPLE, LEAST_SAMPLE = 16, 8192
+#: Rows the shard centres are fitted on, whatever the table's size, and centres at most: what the driver holds is bounded.
+#: Shards of a table so large that it would need more centres are cut into parts (see most_similar).
+SAMPLE, CENTRES = 32_768, 2048
 
 
 def valid(vec: Column, size: int) -> Column:
@@ -53,10 +54,11 @@ def centres(x: np.ndarray, shards: int) -> np.ndarray:
     return (means / (np.linalg.norm(means, axis=1, keepdims=True) + 1e-30)).astype(np.float32)
 
 
-def _route(at: np.ndarray, gap: float | None):
+def _route(at: np.ndarray, gap: float, probes: int):
     """Gives each vector, of length one, its home shard and, if it is a query, the shards it may have neighbours in.
 
-    gap: shards whose centre is less similar to the query than the best one by more than this are left out; None: none is.
+    gap: shards whose centre is less similar to the query than the best one by more than this are left out; of the
+    others the `probes` best are asked.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,7 +67,9 @@ def _route(at: np.ndarray, gap: float | None):
                 continue
             x = _unit(pdf["vec"]).astype(np.float32)
             s = x @ at.T
-            near = np.ones_like(s, bool) if gap is None else s >= s.max(1, keepdims=True) - gap
+            near = s >= s.max(1, keepdims=True) - gap
+            if probes < s.shape[1]:
+                near &= s >= np.partition(s, -probes, axis=1)[:, -probes, None]
             near &= pdf["asks"].to_numpy()[:, None]
             _, c = np.nonzero(near)
             asked = np.split(c.astype(np.int32), np.cumsum(near.sum(1))[:-1])
@@ -105,8 +109,21 @@ def _answer(k: int, ef: int, least: float):
     return run
 
 
+def _slots(plan: DataFrame) -> tuple[DataFrame, int]:
+    """(shard, slot) and the number of slots: a value for each part and copy of a shard that hashes to a partition of its
+    own, so that no two of them share a task while others wait. One row a part, from the plan of the shards."""
+    spark = plan.sparkSession
+    each = plan.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    each = cut(each.select(F.concat_ws(".", "shard", "part", "copy").alias("shard")))
+    n = max(1, each.count())
+    # Among so many numbers every partition is hit; what isn't keeps its number, and shares.
+    free = spark.range(12 * n).withColumn("i", F.pmod(F.hash("id"), F.lit(n))).groupBy("i").agg(F.min("id").alias("slot"))
+    numbered = each.withColumn("i", F.row_number().over(Window.orderBy("shard")).cast("long") - 1)  # a row a part: few
+    return cut(numbered.join(free, "i", "left").select("shard", F.coalesce("slot", "i").alias("slot"))), n
+
+
 def most_similar(
-    df: DataFrame, id: str, vec: str, k: int = 10, size: int = 64, least: float = -2.0, ef: int = 160, gap: float | None = None, asks: Column | None = None
+    df: DataFrame, id: str, vec: str, k: int = 10, size: int = 64, least: float = -2.0, ef: int = 160, gap: float = 2.0, probes: int = 16, asks: Column | None = None
 ) -> DataFrame:
     """(id_a, id_b, similarity): the k rows most similar to each query row id_a, of those with cosine `least` or more.
 
@@ -114,37 +131,35 @@ def most_similar(
     all zero or hold null, NaN or infinite numbers belong to no pair; rows without id neither. Repeated rows count
     once. Equal similarities are ordered by id. Fewer rows than k give as many as there are; an empty table none.
 
-    The search is approximate: ef is the width of the beam in a graph, gap limits the shards asked (see _route). Its
-    recall is measured by recall(). With `least`, the pairs found from either side are both sides' pairs.
+    The search is approximate: ef is the width of the beam in a graph, gap and probes limit the shards asked (see _route), so
+    that the work of a query does not grow with the number of shards. Its recall is measured by recall(). With `least`, the pairs found from either side are both sides' pairs.
 
     Plan: equal vectors are one class, however many, and only its smallest id enters a graph. Shard centres come from
-    a bounded sample; each vector is sent once as a node to its shard and as a query to the shards near it; a task
-    holds one shard (at most 2 * SHARD nodes) and QUERIES queries. Only the k best of each shard are merged.
+    a bounded sample; each vector is sent once as a node to its shard and as a query to the shards near it; each shard
+    (at most 2 * SHARD nodes, with QUERIES queries) has a partition of its own. Only the k best of each are merged.
     """
     spark = df.sparkSession
     asks = F.lit(True) if asks is None else asks
     rows = df.filter(valid(F.col(vec), size) & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vec).alias("vec"), F.coalesce(asks, F.lit(False)).alias("asks"))
     rows = rows.withColumn("h", F.xxhash64("vec")).withColumn("g", F.xxhash64(F.lit(1), "vec"))
     n = rows.count()
-    shards = max(1, round(n / SHARD))
-    most = max(LEAST_SAMPLE, SAMPLE * shards)
-    sample = hash_sample(rows.select("g", "vec"), F.xxhash64("g"), n, 2 * most).dropDuplicates(["g"]).limit(most).toPandas()
+    shards = min(CENTRES, max(1, round(n / SHARD)))
+    sample = hash_sample(rows.select("g", "vec"), F.xxhash64("g"), n, SAMPLE).dropDuplicates(["g"]).toPandas()
     at = centres(_unit(sample["vec"]), shards) if len(sample) else np.zeros((1, size), np.float32)
     reps = rows.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("vec").alias("vec"), F.max("asks").alias("asks"), F.count_distinct("id").alias("size"))
-    reps = cut(reps.mapInPandas(_route(at, gap), "h long, g long, id long, size long, vec binary, home int, near array<int>"))
+    reps = cut(reps.mapInPandas(_route(at, gap, probes), "h long, g long, id long, size long, vec binary, home int, near array<int>"))
     # Parts of a shard with too many nodes, and copies of a part with too many queries: one row a shard.
     parts = reps.groupBy(F.col("home").alias("shard")).agg(F.ceil(F.count("*") / (2 * SHARD)).cast("int").alias("parts"))
     copies = reps.select(F.explode("near").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies"))
-    # Two numbers for each of the shards, whose count was chosen above: at most n / SHARD rows.
-    plan = F.broadcast(cut(parts.join(copies, "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))))
+    plan = cut(parts.join(copies, "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1))))
     mix = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     nodes = reps.select("id", "vec", F.col("home").alias("shard")).join(plan, "shard").select("shard", (mix % F.col("parts")).cast("int").alias("part"), upto("copies").alias("copy"), F.lit(0).alias("role"), "id", "vec")
     questions = reps.select("id", "vec", F.explode("near").alias("shard")).join(plan, "shard").select("shard", upto("parts").alias("part"), (F.floor(mix / 64) % F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("role"), "id", "vec")
-    routed = nodes.unionByName(questions).select(F.concat_ws(".", "shard", "part", "copy").alias("shard"), "role", "id", "vec")
-    # A task a shard or so: left to itself, a small shuffle would be merged into fewer tasks than there are cores.
-    routed = routed.repartition(max(2 * shards, parallelism(spark)), "shard")
-    found = routed.groupBy("shard").applyInPandas(_answer(k, ef, least), "q long, n long, sim double")
+    routed = nodes.unionByName(questions).withColumn("shard", F.concat_ws(".", "shard", "part", "copy")).drop("part", "copy")
+    slots, n_slots = _slots(plan)
+    routed = routed.join(slots, "shard").repartition(n_slots, "slot")
+    found = routed.groupBy("slot", "shard").applyInPandas(_answer(k, ef, least), "q long, n long, sim double")
     if least > -1:
         found = cut(found)
         found = found.unionByName(found.select(F.col("n").alias("q"), F.col("q").alias("n"), "sim"))
@@ -170,18 +185,20 @@ def most_similar(
     )
 
 
-def recall(found: DataFrame, df: DataFrame, id: str, vec: str, k: int = 10, size: int = 64, queries: int = 200) -> DataFrame:
-    """(n_queries, recall): the share of the k most similar rows that `found` holds, over `queries` of its query rows.
+def recall(found: DataFrame, df: DataFrame, id: str, vec: str, k: int = 10, size: int = 64, queries: int = 200, least: float = -2.0, asks: Column | None = None) -> DataFrame:
+    """(n_queries, recall): the share of the k most similar rows, of those of similarity `least` or more, that `found`
+    holds, over `queries` of the rows that `asks` (of id and vec) names.
 
     The truth comes from brute force: the chosen queries, a bounded number, are compared with all rows in blocks.
     """
     rows = df.filter(valid(F.col(vec), size) & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vec).alias("vec"))
-    chosen = found.select(F.col("id_a").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(queries)
-    own = chosen.join(rows, "id").dropDuplicates(["id"]).toPandas()
+    own = rows.filter(F.lit(True) if asks is None else asks).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(queries).toPandas()
     q, q_ids = _unit(own["vec"]), own["id"].to_numpy()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if not len(pdf) or not len(q_ids):
+                continue
             s = q @ _unit(pdf["vec"]).T
             ids = pdf["id"].to_numpy()
             s[q_ids[:, None] == ids] = -3
@@ -189,7 +206,7 @@ def recall(found: DataFrame, df: DataFrame, id: str, vec: str, k: int = 10, size
             at = np.argpartition(-s, m - 1, axis=1)[:, :m]
             yield pd.DataFrame({"id_a": np.repeat(q_ids, m), "id_b": ids[at].ravel(), "sim": np.take_along_axis(s, at, 1).ravel()})
 
-    truth = rows.mapInPandas(run, "id_a long, id_b long, sim double").filter("sim > -2").groupBy("id_a", "id_b").agg(F.max("sim").alias("sim"))
+    truth = rows.mapInPandas(run, "id_a long, id_b long, sim double").filter((F.col("sim") > -2) & (F.col("sim") >= least)).groupBy("id_a", "id_b").agg(F.max("sim").alias("sim"))
     worst = truth.withColumn("r", F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("sim"), "id_b"))).filter(F.col("r") <= k).groupBy("id_a").agg(F.min("sim").alias("worst"), F.count("*").alias("want"))
     # A row as similar as the last of the true ones is as good as it.
     got = found.join(worst, "id_a").groupBy("id_a").agg(F.count_if(F.col("similarity") >= F.col("worst") - 1e-5).alias("hit"), F.max("want").alias("want"))
