@@ -79,7 +79,12 @@ def _route(at: np.ndarray, gap: float, probes: int):
 
 
 def _answer(k: int, ef: int, least: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [b for b in batches if len(b)]  # one part of a shard: bounded
+        if rows:
+            yield answer(pd.concat(rows, ignore_index=True))
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, asks = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
         empty = pd.DataFrame({"q": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
         if len(nodes) < 1 or not len(asks):
@@ -109,19 +114,6 @@ def _answer(k: int, ef: int, least: float):
     return run
 
 
-def _slots(plan: DataFrame) -> tuple[DataFrame, int]:
-    """(shard, slot) and the number of slots: a value for each part and copy of a shard that hashes to a partition of its
-    own, so that no two of them share a task while others wait. One row a part, from the plan of the shards."""
-    spark = plan.sparkSession
-    each = plan.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    each = cut(each.select(F.concat_ws(".", "shard", "part", "copy").alias("shard")))
-    n = max(1, each.count())
-    # Among so many numbers every partition is hit; what isn't keeps its number, and shares.
-    free = spark.range(12 * n).withColumn("i", F.pmod(F.hash("id"), F.lit(n))).groupBy("i").agg(F.min("id").alias("slot"))
-    numbered = each.withColumn("i", F.row_number().over(Window.orderBy("shard")).cast("long") - 1)  # a row a part: few
-    return cut(numbered.join(free, "i", "left").select("shard", F.coalesce("slot", "i").alias("slot"))), n
-
-
 def most_similar(
     df: DataFrame, id: str, vec: str, k: int = 10, size: int = 64, least: float = -2.0, ef: int = 160, gap: float = 2.0, probes: int = 16, asks: Column | None = None
 ) -> DataFrame:
@@ -151,15 +143,19 @@ def most_similar(
     # Parts of a shard with too many nodes, and copies of a part with too many queries: one row a shard.
     parts = reps.groupBy(F.col("home").alias("shard")).agg(F.ceil(F.count("*") / (2 * SHARD)).cast("int").alias("parts"))
     copies = reps.select(F.explode("near").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies"))
-    plan = cut(parts.join(copies, "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1))))
+    plan = parts.join(copies, "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1)).cast("long"))
+    upto_here = F.sum(F.col("parts") * F.col("copies")).over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+    plan = cut(plan.withColumn("at", upto_here - F.col("parts") * F.col("copies")))
+    n_parts = plan.agg(F.max(F.col("at") + F.col("parts") * F.col("copies"))).first()[0] or 1
+    plan = F.broadcast(plan)  # a row a shard: at most CENTRES
     mix = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    nodes = reps.select("id", "vec", F.col("home").alias("shard")).join(plan, "shard").select("shard", (mix % F.col("parts")).cast("int").alias("part"), upto("copies").alias("copy"), F.lit(0).alias("role"), "id", "vec")
-    questions = reps.select("id", "vec", F.explode("near").alias("shard")).join(plan, "shard").select("shard", upto("parts").alias("part"), (F.floor(mix / 64) % F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("role"), "id", "vec")
-    routed = nodes.unionByName(questions).withColumn("shard", F.concat_ws(".", "shard", "part", "copy")).drop("part", "copy")
-    slots, n_slots = _slots(plan)
-    routed = routed.join(slots, "shard").repartition(n_slots, "slot")
-    found = routed.groupBy("slot", "shard").applyInPandas(_answer(k, ef, least), "q long, n long, sim double")
+    place = lambda part, copy: (F.col("at") + part * F.col("copies") + copy).cast("int").alias("place")
+    nodes = reps.select("id", "vec", F.col("home").alias("shard")).join(plan, "shard").withColumn("copy", upto("copies")).select(place(mix % F.col("parts"), F.col("copy")), F.lit(0).alias("role"), "id", "vec")
+    questions = reps.select("id", "vec", F.explode("near").alias("shard")).join(plan, "shard").withColumn("part", upto("parts")).select(place(F.col("part"), F.floor(mix / 64) % F.col("copies")), F.lit(1).alias("role"), "id", "vec")
+    # Each part and copy is numbered, and the number is its partition: no two share a task while others wait.
+    routed = nodes.unionByName(questions).repartitionById(int(n_parts), "place")
+    found = routed.mapInPandas(_answer(k, ef, least), "q long, n long, sim double")
     if least > -1:
         found = cut(found)
         found = found.unionByName(found.select(F.col("n").alias("q"), F.col("q").alias("n"), "sim"))
