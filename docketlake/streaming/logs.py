@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from docketlake.plans.session import ensure_checkpoint_dir
+
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """The events table as a stream; event time as a timestamp with zone, which watermarks need."""
@@ -34,6 +37,17 @@ def deduplicated(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream has given once it has read all there is: the rows of its last state, in a table of that name.
+
+    The sink keeps results on the driver, so this is for results that are small, such as counts by hour.
+    """
+    ensure_checkpoint_dir(stream.sparkSession)
+    run = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{stream.sparkSession.sparkContext.getCheckpointDir()}/streams/{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
 def guard(events: DataFrame, prices: dict[str, float], cap: float, stop: Callable[[float], None], checkpoint: str) -> StreamingQuery:
     """Adds up spend batch by batch and calls `stop` once the cap is passed. Totals are one row a batch."""
     total = {"spent": 0.0}
