@@ -82,14 +82,12 @@ def agent_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT DISTINCT vec_id, uid, decided, statutes FROM vectors), x AS (SELECT DISTINCT precedent_uid AS uid FROM precedents WHERE upper(final_order) = 'DISMISSED' AND precedent_uid IS NOT NULL)
-    SELECT vec_id FROM v WHERE decided < DATE '2018-01-01' AND uid NOT IN (SELECT uid FROM x) AND list_has_any(statutes, (SELECT list(statute_id) FROM (SELECT DISTINCT statute_id FROM law WHERE jurisdiction_type = 'SAVING_PROVISION' AND statute_id IS NOT NULL)))""")
+    SELECT vec_id FROM v WHERE decided < DATE '2018-01-01' AND uid NOT IN (SELECT uid FROM x) AND list_has_any(statutes, ['CREVC_1999_SEC_1', 'CREVC_1999_SEC_2', 'MEDC_1990_SEC_1'])""")
 def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors a search of 2018 may see: decided before, not of dismissed precedents, on saving provisions."""
+    """Vectors a search of 2018 may see: decided before, not of dismissed precedents, on one of three statutes."""
     v = table(spark, sf_dir, "vectors").select("vec_id", F.col("uid").alias("precedent_id"), "decided", "statutes").filter("precedent_id is not null").distinct()
     excluded = table(spark, sf_dir, "precedents").filter("upper(final_order) = 'DISMISSED'").select(F.col("precedent_uid").alias("precedent_id"))
-    # Statutes of a type are few: they are a parameter of the search.
-    statutes = [r.statute_id for r in lookup.of_types(table(spark, sf_dir, "law"), ["SAVING_PROVISION"]).filter("statute_id is not null").collect()]
-    return vector.scoped(v, F.lit("2018-01-01").cast("date"), excluded, statutes).select("vec_id").distinct()
+    return vector.scoped(v, F.lit("2018-01-01").cast("date"), excluded, ["CREVC_1999_SEC_1", "CREVC_1999_SEC_2", "MEDC_1990_SEC_1"]).select("vec_id").distinct()
 
 
 @query("SELECT DISTINCT statute_id FROM law WHERE jurisdiction_type IN ('SAVING_PROVISION', 'PROCEDURAL_TIMELINE')")
@@ -516,15 +514,15 @@ def lessons_from_the_future(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("first_case").cast("string").alias("first_case"), F.col("newest_source").cast("string").alias("newest_source"), "undated", "refused")
 
 
-@query("""WITH l AS (SELECT DISTINCT lesson_id, party_status AS family FROM lessons WHERE lesson_id IS NOT NULL AND party_status IS NOT NULL), s AS (SELECT o_orderkey AS session_id, CASE o_orderstatus WHEN 'F' THEN 'APPELLANT' WHEN 'O' THEN 'RESPONDENT' END AS family FROM orders WHERE o_orderkey % 97 = 0)
+@query("""WITH l AS (SELECT DISTINCT lesson_id, party_status AS family FROM lessons WHERE lesson_id IS NOT NULL AND party_status IS NOT NULL), s AS (SELECT DISTINCT user_id AS session_id, CASE user_id % 3 WHEN 0 THEN 'APPELLANT' WHEN 1 THEN 'RESPONDENT' END AS family FROM events)
     SELECT session_id, 'A' AS side, l.lesson_id FROM s JOIN l ON l.family = s.family WHERE session_id % 2 = 0 UNION ALL SELECT session_id, 'A', 'L_' || session_id FROM s WHERE session_id % 2 = 1""")
 def served_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Odd sessions have a pinned lesson, even ones those of their family (every 97th order is a session)."""
+    """Users as sessions: odd ones have a pinned lesson, even ones those of their family."""
     l = table(spark, sf_dir, "lessons").filter("lesson_id is not null and party_status is not null").select("lesson_id", F.col("party_status").alias("family")).distinct()
-    s = table(spark, sf_dir, "orders").filter("o_orderkey % 97 = 0").select(
-        F.col("o_orderkey").alias("session_id"), F.lit("A").alias("side"), F.when(F.col("o_orderstatus") == "F", "APPELLANT").when(F.col("o_orderstatus") == "O", "RESPONDENT").alias("family"),
-        F.when(F.col("o_orderkey") % 2 == 1, F.create_map(F.lit("A"), F.array(F.concat(F.lit("L_"), F.col("o_orderkey").cast("string"))))).alias("pins"),
-    )
+    i = F.col("user_id")
+    s = table(spark, sf_dir, "events").select(
+        i.alias("session_id"), F.lit("A").alias("side"), F.when(i % 3 == 0, "APPELLANT").when(i % 3 == 1, "RESPONDENT").alias("family"), F.when(i % 2 == 1, F.create_map(F.lit("A"), F.array(F.concat(F.lit("L_"), i.cast("string"))))).alias("pins")
+    ).dropDuplicates(["session_id"])
     return reports.served_lessons(s, l)
 
 

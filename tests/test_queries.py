@@ -27,7 +27,7 @@ def rows(names, data):
     return sorted((tuple(value(r[i]) for i in order) for r in data), key=repr)
 
 
-CORE = sorted(n for n in entry.oracle_sql() if n in {**entry.library.SQL, **entry.casework.SQL, **entry.training.SQL})
+CORE = sorted(n for part in entry.CORE for n in part.SQL)
 
 
 @pytest.mark.parametrize("name", CORE)
