@@ -73,7 +73,7 @@ def _route(at: np.ndarray, gap: float, probes: int):
             near &= pdf["asks"].to_numpy()[:, None]
             _, c = np.nonzero(near)
             asked = np.split(c.astype(np.int32), np.cumsum(near.sum(1))[:-1])
-            yield pdf.drop(columns=["vec", "asks"]).assign(vec=[v.tobytes() for v in x], home=s.argmax(1).astype(np.int32), near=asked)
+            yield pdf.drop(columns="vec").assign(vec=[v.tobytes() for v in x], home=s.argmax(1).astype(np.int32), near=asked)
 
     return run
 
@@ -85,7 +85,7 @@ def _answer(k: int, ef: int, least: float):
             yield answer(pd.concat(rows, ignore_index=True))
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, asks = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
+        nodes, asks = pdf[pdf["role"] != 1], pdf[pdf["role"] > 0]
         empty = pd.DataFrame({"q": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
         if len(nodes) < 1 or not len(asks):
             return empty
@@ -139,7 +139,7 @@ def most_similar(
     sample = hash_sample(rows.select("g", "vec"), F.xxhash64("g"), n, SAMPLE).dropDuplicates(["g"]).toPandas()
     at = centres(_unit(sample["vec"]), shards) if len(sample) else np.zeros((1, size), np.float32)
     reps = rows.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("vec").alias("vec"), F.max("asks").alias("asks"), F.count_distinct("id").alias("size"))
-    reps = cut(reps.mapInPandas(_route(at, gap, probes), "h long, g long, id long, size long, vec binary, home int, near array<int>"))
+    reps = cut(reps.mapInPandas(_route(at, gap, probes), "h long, g long, id long, asks boolean, size long, vec binary, home int, near array<int>"))
     # Parts of a shard with too many nodes, and copies of a part with too many queries: one row a shard.
     parts = reps.groupBy(F.col("home").alias("shard")).agg(F.ceil(F.count("*") / (2 * SHARD)).cast("int").alias("parts"))
     copies = reps.select(F.explode("near").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies"))
@@ -151,8 +151,12 @@ def most_similar(
     mix = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     place = lambda part, copy: (F.col("at") + part * F.col("copies") + copy).cast("int").alias("place")
-    nodes = reps.select("id", "vec", F.col("home").alias("shard")).join(plan, "shard").withColumn("copy", upto("copies")).select(place(mix % F.col("parts"), F.col("copy")), F.lit(0).alias("role"), "id", "vec")
-    questions = reps.select("id", "vec", F.explode("near").alias("shard")).join(plan, "shard").withColumn("part", upto("parts")).select(place(F.col("part"), F.floor(mix / 64) % F.col("copies")), F.lit(1).alias("role"), "id", "vec")
+    # A node is its own query where it lives (role 2); only other shards and parts are sent the vector again (role 1).
+    part, copy = mix % F.col("parts"), F.floor(mix / 64) % F.col("copies")
+    nodes = reps.select("id", "vec", "asks", F.col("home").alias("shard")).join(plan, "shard").withColumn("copy", upto("copies"))
+    nodes = nodes.select(place(part, F.col("copy")), F.when(F.col("asks") & (F.col("copy") == copy), 2).otherwise(0).alias("role"), "id", "vec")
+    questions = reps.select("id", "vec", "home", F.explode("near").alias("shard")).join(plan, "shard").withColumn("part", upto("parts"))
+    questions = questions.filter((F.col("shard") != F.col("home")) | (F.col("part") != part)).select(place(F.col("part"), copy), F.lit(1).alias("role"), "id", "vec")
     # Each part and copy is numbered, and the number is its partition: no two share a task while others wait.
     routed = nodes.unionByName(questions).repartitionById(int(n_parts), "place")
     found = routed.mapInPandas(_answer(k, ef, least), "q long, n long, sim double")
@@ -162,7 +166,7 @@ def most_similar(
     best = Window.partitionBy("q").orderBy(F.desc("sim"), "n")
     found = cut(found.groupBy("q", "n").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r"))
     # Back from classes of equal vectors to rows: of the other side's class the k + 1 smallest ids can be among k.
-    classes = rows.select("id", "h", "g", "asks").distinct().join(reps.filter("size > 1").select("h", "g", F.col("id").alias("rep")), ["h", "g"]).select("rep", "id", "asks")
+    classes = rows.select("id", "h", "g", "asks").distinct().join(cut(reps.filter("size > 1").select("h", "g", F.col("id").alias("rep"))), ["h", "g"]).select("rep", "id", "asks")
     classes = cut(classes)
     first = classes.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("r") <= k + 1).select("rep", "id")
     q_side = found.join(classes.filter("asks").select(F.col("rep").alias("q"), F.col("id").alias("qid")), "q", "left").withColumn("one", F.col("qid").isNull()).withColumn("qid", F.coalesce("qid", "q"))
