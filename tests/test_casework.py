@@ -84,7 +84,7 @@ def test_scores(spark):
     d = spark.createDataFrame([("s", "A", "ANSWERED", 0.5), ("s", "A", "EVADED", 1.5), ("s", "B", "EVADED", 0.0)], "session_id string, side string, status string, centrality double")
     assert [(r.side, r.depth) for r in hearing.rebuttal_depth(d).orderBy("side").collect()] == [("A", 0.25), ("B", None)]
     got = spark.range(1).select(hearing.consistency(F.lit(3), F.lit(2)), hearing.consistency(F.lit(0), F.lit(0)), hearing.mean_of_available(F.lit(None).cast("double"), F.lit(0.5)), hearing.mean_of_available(F.lit(None).cast("double"))).first()
-    assert list(got) == [0.0, 1.0, 0.5, None]
+    assert list(got) == [0.0, None, 0.5, None]
     v = spark.createDataFrame([(90, "within 90 days", "paid within 90 days of"), (91, "within 90 days", "paid within 90 days of"), (9, "", "x"), (9, None, "x")], "value int, quote string, text string")
     assert [r.kept for r in hearing.grounded(v).collect()] == [True, False, False, False]
     c = spark.createDataFrame([(1, 3), (2, 0)], "n_addressed int, n_items int").withColumn("session_id", F.col("n_items"))
@@ -95,7 +95,9 @@ def test_decisions(spark):
     a = spark.createDataFrame([("s", 1, 1, ["E"], []), ("s", 1, 2, [], ["W"]), ("s", 1, 3, [], []), ("s", 2, 1, ["E"], []), ("s", 2, 2, ["E"], []), ("s", 2, 3, ["E"], [])], "session_id string, turn int, attempt int, hard_errors array<string>, warnings array<string>")
     assert rows(hearing.attempt_fold(a, 1)) == [("s", 1, 2, "PASS_WITH_NOTES"), ("s", 2, 2, "FLAGGED")]
     t = spark.createDataFrame([("s", "c", "SUPPORTS", True), ("s", "c", "SUPPORTS", False), ("s", "d", "SUPPORTS", True), ("s", "e", "CONTRADICTS", True), ("s", "e", "SUPPORTS", True)], "session_id string, claim_id string, entailment string, verbatim boolean")
-    assert rows(hearing.citation_tiers(t)) == [("s", "c", "NEUTRAL"), ("s", "d", "VERIFIED"), ("s", "e", "CONTRADICTED")]
+    assert rows(hearing.citation_tiers(t)) == [("s", "c", "UNVERIFIABLE", "NEUTRAL"), ("s", "d", "VERIFIED", "SUPPORTS"), ("s", "e", "UNVERIFIABLE", "CONTRADICTS")]
+    unquoted = t.filter("claim_id = 'e'").withColumn("verbatim", F.lit(False))
+    assert rows(hearing.citation_tiers(unquoted)) == [("s", "e", "UNVERIFIABLE", "NEUTRAL")]
     left = hearing.prerequisites_left(spark.createDataFrame([("s", "S", [0]), ("s", "S", [2]), ("s", "T", None)], "session_id string, statute_id string, places array<int>"), spark.createDataFrame([("S", 4), ("T", 0)], "statute_id string, n int"))
     assert rows(left) == [("s", "S", [1, 3]), ("s", "T", [])]
     e = spark.createDataFrame([("s", 2, "E1", "S", "f", "v", "late", ["b"]), ("s", 1, "E1", "S", "f", "w", "early", ["a"]), ("s", 3, "E2", "S", "f", "x", "gone", [])], "session_id string, ord int, code string, statute_id string, field string, value string, detail string, record_ids array<string>")

@@ -30,7 +30,10 @@ OVERLAY = "statute_id string, parameter string, value_bool boolean, value string
 def status(spark, overlay, day, label="DECISION"):
     law = spark.createDataFrame([("S",), ("T",)], "statute_id string")
     dates = spark.createDataFrame([("c", label, day)], "case_id string, label string, day date")
-    got = temporal.resolve_statutes(law, spark.createDataFrame(overlay, OVERLAY), dates).filter("statute_id = 'S'").first()
+    asked = spark.createDataFrame([("c", "S"), ("c", "S"), ("c", "Z")], "case_id string, statute_id string")
+    got = temporal.resolve_statutes(law, spark.createDataFrame(overlay, OVERLAY), dates, asked).collect()
+    assert len(got) == 1 and got[0].statute_id == "S"
+    got = got[0]
     return got.status, got.unresolved, [tuple(a) for a in got.applied]
 
 
@@ -50,10 +53,11 @@ def test_limitation(spark):
     kind = "default_day date, acks array<date>, period_years int, excluded struct<from:date,to:date>, minimum_days int"
     data = [
         (D(2000, 2, 29), [], 3, (None, None), 0), (D(2001, 6, 1), [D(2005, 6, 1), D(2003, 1, 1)], 3, (None, None), 0), (D(2007, 4, 1), None, 3, (D(2010, 3, 15), D(2012, 2, 28)), 90),
-        (D(2001, 6, 1), [D(2009, 1, 1)], 3, (D(2009, 1, 1), D(2009, 2, 1)), 0),
+        (D(2001, 6, 1), [D(2009, 1, 1)], 3, (D(2009, 1, 1), D(2009, 2, 1)), 0), (D(2010, 1, 1), [], 3, (D(2010, 3, 15), D(2012, 2, 28)), 0), (D(2012, 1, 1), [], 3, (D(2010, 3, 15), D(2012, 2, 28)), 0),
+        (D(2012, 3, 1), [], 3, (D(2010, 3, 15), D(2012, 2, 28)), 0),
     ]
     got = temporal.limitation_expiry(spark.createDataFrame(data, kind)).select("expiry", "needs_review").collect()
-    assert [r.expiry for r in got] == [D(2003, 2, 28), D(2008, 6, 1), D(2012, 2, 29) + dt.timedelta(days=90), D(2004, 6, 1)] and [r.needs_review for r in got] == [False, False, False, True]
+    assert [r.expiry for r in got] == [D(2003, 2, 28), D(2008, 6, 1), D(2012, 2, 29) + dt.timedelta(days=90), D(2004, 6, 1), D(2012, 2, 29) + (D(2013, 1, 1) - D(2010, 3, 15)), D(2012, 2, 29) + (D(2015, 1, 1) - D(2012, 1, 1)), D(2015, 3, 1)] and [r.needs_review for r in got] == [False, False, False, True, False, False, False]
 
 
 def test_windows_and_overlaps(spark):
@@ -95,7 +99,9 @@ def test_evaluation_values(spark):
     f = spark.createDataFrame([("P", "P"), ("P", "R"), ("R", "P"), ("R", "R")], "truth string, prediction string")
     assert evaluation.macro_f1(f, spark.createDataFrame([("P",), ("R",)], "label string")).first()[0] == 0.5
     m = spark.createDataFrame([(0, 0), (0, 6), (3, 3), (1, 9)], "a long, b long").select(evaluation.mcnemar(F.col("a"), F.col("b")))
-    assert [r[0] for r in m.collect()] == [1.0, 2 / 64, 1.0, 22 / 1024]
+    assert [r[0] for r in m.collect()] == pytest.approx([1.0, 2 / 64, 1.0, 22 / 1024])
+    big = spark.createDataFrame([(40_000, 40_100)], "a long, b long").select(evaluation.mcnemar(F.col("a"), F.col("b"))).first()[0]
+    assert big == pytest.approx(0.7264, abs=2e-3)
     e = spark.createDataFrame([(1, "g", "R"), (2, "g", "R"), (3, "g", "P")], "seq int, g string, truth string")
     assert [r.prediction for r in evaluation.expanding_majority(e, ["P", "R"], ["g"], ["seq"], "truth").orderBy("seq").collect()] == [None, "R", "R"]
     none = evaluation.accuracy(spark.createDataFrame([("P", None)], "truth string, prediction string")).first()
@@ -178,8 +184,16 @@ def test_citations(spark):
 
 def test_overlap(spark):
     titles = spark.createDataFrame([("P-1", "Kappa Omega Steels Ltd vs State"), ("P-2", "Kappa Omega Bank vs X"), ("P-3", "Kappa Delta Ltd")], "title_id string, text string")
-    names = spark.createDataFrame([("n", "Kappa Omega Holdings Limited"), ("m", "Ltd")], "name_id string, text string")
-    assert rows(overlap.shared_names(titles, names, 2)) == [("P-1", "n", 2), ("P-2", "n", 2)]
+    kind = "name_id string, text string, variants array<string>, kind string, role string"
+    names = spark.createDataFrame([("n", "Kappa Omega Holdings Limited", None, "COMPANY", None), ("m", "Ltd", [], "COMPANY", None), ("p", "Omega Kappa", ["Delta, Kappa"], "PERSON", "APPELLANT"), ("q", "Omega Kappa", None, "PERSON", None), ("b", "Omega Bank", None, "BANK", None)], kind)
+    got = rows(overlap.shared_names(titles, names, 2))
+    assert got == [("P-1", "n", 2, "NAME"), ("P-1", "p", 2, "NAME"), ("P-2", "n", 2, "NAME"), ("P-2", "p", 2, "NAME"), ("P-3", "p", 2, "NAME")]
+    numbers = spark.createDataFrame([("b", "7/2019")], "name_id string, number string")
+    numbered = titles.withColumn("numbers", F.when(F.col("title_id") != "P-1", F.array(F.lit("7/2019"))))
+    assert rows(overlap.shared_names(numbered, names.filter("name_id = 'b'"), 2, case_numbers=numbers)) == [("P-2", "b", 1, "NUMBER")]
+    asked = spark.createDataFrame([("c", "It is Kappa against Omega"), ("d", "No. 07 of 2019"), ("e", "unsure")], "case_id string, text string")
+    known = overlap.identified(asked, spark.createDataFrame([("c", "Kappa Omega Ltd"), ("e", "Ltd")], "case_id string, name string"), spark.createDataFrame([("d", "7/2019")], "case_id string, number string"))
+    assert rows(known) == [("c", True), ("d", True), ("e", False)]
     v = spark.createDataFrame([("k", "one two three four five"), ("z", "one two three")], "key string, text string")
     s = spark.createDataFrame([("k", 1, "zero one two three four"), ("k", 2, "short"), ("k", 3, None)], "key string, source_id int, text string")
     assert rows(overlap.leakage(v, s, None, 3)) == [("k", 1, 2)] and rows(overlap.leakage(v, s, v.filter("key = 'k'"), 3)) == []
@@ -268,14 +282,20 @@ def test_quality(spark):
 
 def test_text_functions(spark):
     assert one(spark, "paid ₹1,00,000.50 and Rs. 2 lakh, ₹1.5 crore", T.amounts) == [100000, 200000, 15000000]
+    assert one(spark, "6 lacs, 5/- , 2 CR and 3 crafts", T.amounts) == [3, 5, 600000, 20000000]
     assert one(spark, "on 2020-02-30, 01.02.2020 and 4 March 2019", T.dates) == [D(2019, 3, 4), D(2020, 2, 1)]
+    assert one(spark, "1/2/2021, 3rd day of MAY, 2021; June 5th 2021, 30-02-2021", T.dates) == [D(2021, 2, 1), D(2021, 5, 3), D(2021, 6, 5)]
     assert one(spark, "No. 972 of 2020 & I.A. No. 31/2021", T.appeal_numbers) == ["31/2021", "972/2020"]
+    assert one(spark, "nos 007 / 2019, 8 / 1999, 9/3001", T.appeal_numbers) == ["7/2019", "8/1999"]
     assert [one(spark, x, T.iso_date) for x in ("2020-02-29", "2019-02-29", "20200101", None)] == [D(2020, 2, 29), None, None, None]
     assert one(spark, "aa bb cccccccc d e", lambda c: T.token_windows(c, 5)) == ["aa bb", "cccccccc", "d e"]
     assert one(spark, "x", lambda c: T.greedy_batches(c, F.array(F.lit(3), F.lit(3), F.lit(9), F.lit(1)), 5)) == [0, 1, 2, 3]
     assert one(spark, "one two", lambda c: T.n_grams(T.words(c), 3)) == [] and one(spark, "a b a b a", lambda c: T.n_grams(T.words(c), 2)) == ["a b", "b a"]
-    assert [tuple(s) for s in one(spark, "ABSTRACT RULE: first. TEST APPLIED: second", T.sections)] == [("ABSTRACT RULE", "first."), ("TEST APPLIED", "second")]
-    assert [tuple(s) for s in one(spark, "no label", T.sections)] == [("", "no label")]
+    four = "1. ABSTRACT RULE: first. 2. PARTY IDENTITIES: A 3. TEST/STANDARD - APPLIED: second 4. LAST ONE: d"
+    assert [tuple(s) for s in one(spark, four, T.sections)] == [("ABSTRACT RULE", "first."), ("PARTY IDENTITIES", "A"), ("TEST/STANDARD - APPLIED", "second"), ("LAST ONE", "d")]
+    assert one(spark, four, T.facts_sections) == ["ABSTRACT RULE: first.", "TEST/STANDARD - APPLIED: second", "LAST ONE: d"] and len(one(spark, four, T.ratio_parts)) == 3
+    assert one(spark, "no label", T.sections) == [] and one(spark, " no label ", T.facts_sections) == ["no label"] and one(spark, " ", T.ratio_parts) == [] and one(spark, " ", T.core_rule) == ""
+    assert one(spark, "As in Kappa v. Omega and AIR 1999 (Supra)", lambda c: F.size(T.citation_hits(c))) == 3 and one(spark, "No. 177/ABC/XYZ/2020 and Respondent No. 1", T.registration_hits) == ["No. 177/ABC/XYZ/2020"]
     assert one(spark, 'x\n{"a": 1}\n{"b": "2"}\nend', T.last_json_object) == {"b": "2"}
     assert one(spark, "P14(v)", T.clean_source_id) == "P14" and one(spark, "[P4.S1]", T.clean_source_id) == "P4.S1"
     assert one(spark, "abc", lambda c: T.cap(c, 2)) == "ab…" and one(spark, "x", lambda c: T.cap_list(F.array(F.lit("a"), F.lit("b"), F.lit("c")), 2)) == "a, b +1 more"
@@ -300,7 +320,7 @@ def test_sources(spark, tmp_path):
     pinned = spark.createDataFrame([("l.json", "0")], "file string, sha256 string")
     assert files.registry(spark, str(tmp_path / "log"), pinned).first().ok is False
     path = files.write_snapshot(raw, str(tmp_path / "snap"), "1")
-    assert spark.read.parquet(path).count() == 1 and files.markdown_table(raw.select(F.lit(1).alias("a"))) == "| a |\n| --- |\n| 1 |\n"
+    assert spark.read.parquet(path).count() == 1 and files.markdown_table(raw.select(F.lit(1).alias("a")), ["a"]) == "| a |\n| --- |\n| 1 |\n"
 
 
 def test_streams_equal_batch(spark, sf, tmp_path):
@@ -328,7 +348,7 @@ def test_max_sim_asks_every_stated_precedent(spark, sf):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
 
-def test_law_sync_sees_every_content_column(spark, sf, tmp_path):
+def test_sync_sees_every_content_column(spark, sf, tmp_path):
     one = spark.read.parquet(f"{sf}/law_snapshots.parquet").filter("diagnostic_checklist is not null and procedural_timelines is not null").limit(1).cache()
     base = one.withColumn("statute_id", F.explode(F.array(*map(F.lit, (*library.LAW_CONTENT, "source_file"))))).withColumn("snapshot_no", F.lit(1))
     other = {"array<string>": F.array(F.lit("new")), "string": F.lit("new")}
@@ -336,7 +356,8 @@ def test_law_sync_sees_every_content_column(spark, sf, tmp_path):
         {c: F.when(F.col("statute_id") == c, other.get(t, F.lit(None).cast(t))).otherwise(F.col(c)) for c, t in base.dtypes if c in (*library.LAW_CONTENT, "source_file")}
     )
     base.unionByName(new).write.parquet(str(tmp_path / "law_snapshots.parquet"))
-    assert rows(library.law_sync(spark, str(tmp_path))) == sorted([(c, "update") for c in library.LAW_CONTENT] + [("source_file", "unchanged")])
+    want = {c: "refresh" if c in library.LAW_DERIVED else "update" for c in library.LAW_CONTENT} | {"source_file": "unchanged"}
+    assert dict(rows(library.incremental_sync(spark, str(tmp_path)))) == want
 
 
 def test_title_keys_are_of_whole_titles(spark, tmp_path):

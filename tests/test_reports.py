@@ -24,10 +24,12 @@ def test_corpus(spark):
 
 
 def test_bench_reports(spark):
-    o = spark.createDataFrame([("j", "c1", True, 0.1, "P", "P"), ("j", "c2", True, 0.3, "P", "P"), ("j", "c3", False, None, None, "P")], "judge string, case_id string, valid boolean, gap double, winner string, side_a string")
-    got = reports.persona_report(o, 3, 0.9).first()
-    assert (got.n, got.gap_min, got.gap_median, got.gap_max, got.share_a, got.biased) == (3, 0.1, 0.2, 0.3, 1.0, True)
-    assert not reports.persona_report(o, 4, 0.9).first().biased
+    kind = "judge string, case_id string, result string, abstain_reason string, gap double, both_valid boolean, issues_abstained int, issues int"
+    o = spark.createDataFrame([("j", "c1", "P", None, 0.1, True, 1, 2), ("j", "c2", "P", None, 0.3, True, 0, 2), ("j", "c3", None, "ORDER_SWAP_DISAGREEMENT", None, True, 2, 2), ("j", "c4", None, "INVALID", None, False, 9, 9), ("k", "c1", None, None, None, None, None, None)], kind)
+    got = {r.judge: r for r in reports.persona_report(o, 2, 0.9, 0.3, 0.2).collect()}
+    j = got["j"]
+    assert (j.cases, j.decided, j.over_limit, j.issue_disagreement_rate, j.gaps, j.gap_median, j.gaps_over, j.top_wins, j.biased) == (4, 2, True, 0.5, 2, 0.2, 1, 2, True) and abs(j.disagreement_rate - 1 / 3) < 1e-12
+    assert (got["k"].decided, got["k"].disagreement_rate, got["k"].biased) == (0, None, False) and not reports.persona_report(o.filter("judge = 'j'"), 3, 0.9, 0.3, 0.2).first().biased
     s = spark.createDataFrame([("s", "A", 1.0, 0.0), ("s", "A", 0.0, 0.0)], "session_id string, side string, x double, y double")
     assert rows(reports.advocacy(s, {"x": 3.0, "y": 1.0})) == [("s", "A", 0.375)]
     m = spark.createDataFrame([("r", "c", "1", "1"), ("r", "d", None, None), ("q", "c", "1", "2")], "run_id string, case_id string, before string, after string")
