@@ -96,7 +96,9 @@ def frequencies(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(common: np.ndarray, t: float):
-    """(t, id, n, p): the first tokens of each set under order 1, rarest first, with the set's size and their place."""
+    """(t, id, n, p, many): the first tokens of each set under order 1, rarest first, with the set's size and their place, and
+    whether more than BLOCK sets may hold the token: its counter, which it shares, is an upper bound."""
+    many = int(np.floor(np.log2(BLOCK) * 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -107,13 +109,14 @@ def _prefixes(common: np.ndarray, t: float):
                 n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
                 doc = np.repeat(np.arange(len(n)), n)
                 # One sort key: the document, how common the token is, the token's first bits; the rest as they stand.
-                key = (doc.astype(np.uint64) << np.uint64(50)) | (common[flat >> np.uint64(64 - COUNTERS)].astype(np.uint64) << np.uint64(42)) | (flat >> np.uint64(22))
+                level = common[flat >> np.uint64(64 - COUNTERS)]
+                key = (doc.astype(np.uint64) << np.uint64(50)) | (level.astype(np.uint64) << np.uint64(42)) | (flat >> np.uint64(22))
                 order = np.argsort(key, kind="stable")
                 place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
                 keep = place < np.repeat(_prefix(n, t) + MATCHES, n)
                 at = doc[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[order][keep].view(np.int64)), b.column(0).take(pa.array(at)), pa.array(n[at].astype(np.int32)), pa.array(place[keep].astype(np.int32))], ["t", "id", "n", "p"]
+                    [pa.array(flat[order][keep].view(np.int64)), b.column(0).take(pa.array(at)), pa.array(n[at].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(level[order][keep] >= many)], ["t", "id", "n", "p", "many"]
                 )
 
     return run
@@ -142,13 +145,18 @@ class Similar:
         first = self.members.filter("id = rep").select("id")
         self.sets = cut(rows.join(first, "id", "left_semi").select("id", "s").dropDuplicates(["id"]))
         kind = dict(self.sets.dtypes)["id"]
-        self.prefix = cut(self.sets.mapInArrow(_prefixes(frequencies(self.sets), t), f"t long, id {kind}, n int, p int"))
+        self.prefix = cut(self.sets.mapInArrow(_prefixes(frequencies(self.sets), t), f"t long, id {kind}, n int, p int, many boolean"))
         self.met = cut(self._meet(self.prefix, t))
         ends = self.sets.select("id", F.size("s").alias("n"), "s")
         length = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * F.lit(t) - F.lit(1e-9)) + MATCHES).cast("int")
-        ends = ends.select("id", "n", F.slice("s", F.lit(1), length).alias("up"), F.slice("s", F.col("n") - length + 1, length).alias("down"))
+        # Half of a token tells enough here: what two tokens share by chance only lets a pair through, and what two of one
+        # set share by chance is counted (alike) and taken off what is needed.
+        half = lambda c: F.transform(c, lambda x: F.shiftright(x, 32).cast("int"))
+        ends = ends.select("id", "n", half(F.slice("s", F.lit(1), length)).alias("up"), half(F.slice("s", F.col("n") - length + 1, length)).alias("down"))
+        alike = lambda c: F.size(c) - F.size(F.array_distinct(c))
+        ends = ends.withColumn("alike", alike("up") + alike("down"))
         a, b = (ends.select(*[F.col(c).alias(f"{c}_{x}") for c in ends.columns]) for x in "ab")
-        need = F.least(F.lit(MATCHES), _overlap(F.col("n_a"), F.col("n_b"), t))
+        need = F.least(F.lit(MATCHES), _overlap(F.col("n_a"), F.col("n_b"), t)) - F.col("alike_a")
         share = lambda c: F.size(F.array_intersect(f"{c}_a", f"{c}_b")) >= need
         self.candidates = cut(self.met.join(a, F.col("a") == F.col("id_a")).join(b, F.col("b") == F.col("id_b")).filter(share("up")).filter(share("down")).select("a", "b"))
         both = self.candidates.join(self.sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(self.sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -159,7 +167,7 @@ class Similar:
     def _meet(prefix: DataFrame, t: float) -> DataFrame:
         """(a, b): pairs that share MATCHES tokens of their prefixes under order 1, or all that similar sets share."""
         # The documents of a hot token are cut into blocks that meet block by block, so that no task holds them all.
-        hot = cut(prefix.groupBy("t").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK).select("t", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
+        hot = cut(prefix.filter("many").groupBy("t").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK).select("t", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
         one = F.lit(1)
         if hot.isEmpty():
             prefix = prefix.withColumn("blocks", one)

@@ -18,7 +18,7 @@ SHARD = 16_384
 QUERIES = 65_536
 #: Rows the shard centres are fitted on, whatever the table's size, and centres at most: what the driver holds is bounded.
 #: Shards of a table so large that it would need more centres are cut into parts (see most_similar).
-SAMPLE, CENTRES = 32_768, 2048
+SAMPLE, CENTRES = 8192, 1024
 
 
 def valid(vec: Column, size: int) -> Column:
