@@ -60,12 +60,23 @@ def budget_pick(ranked: DataFrame, by: list[str], order: list[Column], id: str,
 
 
 def exploration(rest: DataFrame, by: list[str], id: str, n: int, seed: str) -> DataFrame:
-    """(by, drawn): a seeded sample of each group's ids, the same draw as Python's Random of that seed on the sorted ids."""
+    """(by, drawn): a seeded sample of each group's ids, the same draw as Python's Random of that seed on the sorted ids.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(pdf[id])
-        draw = random.Random(f"{seed}:" + ":".join(str(pdf[c].iloc[0]) for c in by)).sample(ids, min(n, len(ids)))
-        return pd.DataFrame([{c: pdf[c].iloc[0] for c in by} | {"drawn": sorted(draw)}])
+    The draw depends on a group's size alone, so only sizes go to Python; the places drawn are then looked up by their
+    rank, which Spark's sort gives for a group of any size.
+    """
+
+    def places(pdf: pd.DataFrame) -> pd.DataFrame:
+        key = ":".join(str(pdf[c].iloc[0]) for c in by)
+        size = int(pdf["__n"].iloc[0])
+        at = random.Random(f"{seed}:{key}").sample(range(size), min(n, size))
+        return pd.DataFrame([{c: pdf[c].iloc[0] for c in by} | {"__r": i + 1} for i in at])
 
     kinds = dict(rest.dtypes)
-    return rest.select(*by, id).groupBy(*by).applyInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), f"drawn array<{kinds[id]}>"]))
+    sizes = rest.groupBy(*by).agg(F.count("*").alias("__n"))
+    drawn = sizes.groupBy(*by).applyInPandas(places, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "__r int"]))
+    ranked = rest.select(*by, id).withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(id)))
+    same = [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in by]
+    places_of = drawn.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__r").alias("__at"))
+    met = ranked.join(places_of, [*same, F.col("__r") == F.col("__at")])
+    return met.groupBy(*by).agg(F.array_sort(F.collect_list(id)).alias("drawn"))

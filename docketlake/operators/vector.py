@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Query vectors that go to the rows at once in top_k.
+ROUND = 16_384
 #: Query vectors that meet a block of rows in one task.
 QUERY_BLOCK = 2048
 #: Query vectors of one product of max_sim, unless one query has more.
@@ -58,37 +60,58 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, before: bool = False) ->
     """(query_id, uid, score, rank): the k rows most similar to each query, exactly; equal scores by uid.
 
     rows: uid, vec and, if `before`, decided; queries: query_id, vec and decided. With `before` a query sees only rows
-    decided strictly before its own date. Vectors must be usable. Queries are cut into blocks that are sent to every
-    slice of the rows; each pair of block and slice is one matrix product that keeps k rows a query.
+    decided strictly before its own date. Vectors must be usable.
+
+    Rows stay where they are: they are never shuffled. Queries go to them in rounds of at most ROUND, which bounds what
+    the driver and a task hold; a task keeps the k best rows of each query over all its batches, and only these are
+    shuffled and merged.
     """
-    spark = rows.sparkSession
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_queries = queries.count()
-    blocks = max(1, -(-n_queries // QUERY_BLOCK))
     day = F.coalesce(F.datediff("decided", F.lit("1970-01-01").cast("date")), F.lit(None).cast("int")).cast("double") if before else F.lit(0.0)
-    r = rows.select("uid", "vec", day.alias("day")).withColumn("slice", F.pmod(F.xxhash64("uid"), F.lit(slices))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    q = queries.select("query_id", F.col("vec").alias("q_vec"), day.alias("q_day")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": right["query_id"].iloc[:0], "uid": left["uid"].iloc[:0], "score": pd.Series(dtype=float)})
-        if not len(left) or not len(right):
-            return empty
-        left = left.sort_values("uid")
-        s = np.round(_unit(right["q_vec"]) @ _unit(left["vec"]).T, 9)
-        if before:
-            s[~(left["day"].to_numpy()[None, :] < right["q_day"].to_numpy()[:, None])] = -np.inf
-        m = min(k, len(left))
-        at = np.argsort(-s, axis=1, kind="stable")[:, :m]
-        got = np.take_along_axis(s, at, 1)
-        i, j = np.nonzero(got > -np.inf)
-        return pd.DataFrame({"query_id": right["query_id"].to_numpy()[i], "uid": left["uid"].to_numpy()[at[i, j]], "score": got[i, j]})
-
+    rounds = max(1, -(-queries.count() // ROUND))
+    asked = queries.select("query_id", "vec", day.alias("day"), F.pmod(F.xxhash64("query_id"), F.lit(rounds)).alias("round"))
     kinds = dict(rows.dtypes) | dict(queries.dtypes)
-    found = r.groupBy("block", "slice").cogroup(q.groupBy("block", "slice")).applyInPandas(score, f"query_id {kinds['query_id']}, uid {kinds['uid']}, score double")
+    schema = f"query_id {kinds['query_id']}, uid {kinds['uid']}, score double"
+    found = None
+    for i in range(rounds):
+        some = asked.filter(F.col("round") == i).toPandas()
+        one = rows.select("uid", "vec", day.alias("day")).mapInPandas(_best(some["query_id"].to_numpy(), some["vec"], some["day"].to_numpy(float), k, before), schema)
+        found = one if found is None else found.unionByName(one)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "uid")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _best(ids: np.ndarray, vecs: pd.Series, days: np.ndarray, k: int, before: bool):
+    q = _unit(vecs) if len(vecs) else np.zeros((0, 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        uids, scores = None, np.full((len(q), k), -np.inf)
+        for pdf in batches:
+            if not len(pdf) or not len(q):
+                continue
+            own, x, day = pdf["uid"].to_numpy(), _unit(pdf["vec"]).T, pdf["day"].to_numpy(float)
+            if uids is None:
+                uids = np.full((len(q), k), own[0], dtype=object)
+            m = min(k, len(own))
+            for at in range(0, len(q), QUERY_PART):
+                part = slice(at, at + QUERY_PART)
+                s = np.round(q[part] @ x, 9)
+                if before:
+                    s[~(day[None, :] < days[part, None])] = -np.inf
+                # By score, then by uid: what ties with the k-th counts too until the uids decide.
+                least = -np.partition(-s, m - 1, axis=1)[:, m - 1]
+                r, c = np.nonzero((s >= np.maximum(least, scores[part, -1])[:, None]) & (s > -np.inf))
+                for i in np.unique(r):
+                    mine = c[r == i]
+                    both_s, both_u = np.concatenate([scores[at + i], s[i, mine]]), np.concatenate([uids[at + i], own[mine]])
+                    order = sorted(range(len(both_s)), key=lambda j: (-both_s[j], both_u[j]))[:k]
+                    scores[at + i], uids[at + i] = both_s[order], both_u[order]
+        if uids is not None:
+            i, j = np.nonzero(scores > -np.inf)
+            yield pd.DataFrame({"query_id": ids[i], "uid": uids[i, j], "score": scores[i, j]})
+
+    return run
+
+
 def max_sim(sections: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, uid, score, rank): documents of many vectors by the sum, over a query's vectors, of the best section.
 
