@@ -113,4 +113,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p5_found, p5_nearest, p5_recall, p6_found, p6_groups, p7_ids, p7_totals, p8_mixture, p8_report, p9_found, p9_repaired)}
-SQL: dict[str, str] = {}
+
+_NEAR = """WITH v AS (SELECT {id} AS id, any_value(vec)::DOUBLE[] AS vec FROM {name} WHERE vec IS NOT NULL AND len(vec) = 64 AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0 AND {id} IS NOT NULL GROUP BY 1),
+    p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.vec, b.vec) AS s FROM v a JOIN v b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM p WHERE s >= 0.9)
+    SELECT DISTINCT '{name}' AS src, least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE r <= 10"""
+
+#: Brute force, which small tables allow.
+SQL: dict[str, str] = {
+    "p5_found": " UNION ALL ".join(f"SELECT * FROM ({_NEAR.format(name=name, id=id)})" for name, id in VECTORS),
+    "p6_found": """WITH t AS (SELECT row_no, regexp_extract_all(lower(concat_ws(' ', array_to_string(list_filter(any_value(facts_texts), lambda x: x IS NOT NULL), ' '), any_value(ratio_text))), '[\\p{L}\\p{N}]+') AS w FROM precedents GROUP BY row_no),
+    s AS (SELECT row_no, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM t WHERE len(w) >= 3), e AS (SELECT row_no, len(s) AS n, unnest(s) AS g FROM s),
+    p AS (SELECT a.row_no AS row_no_a, b.row_no AS row_no_b, a.n + b.n AS n, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.row_no < b.row_no GROUP BY ALL) SELECT row_no_a, row_no_b FROM p WHERE c >= 0.6 * (n - c) - 1e-9""",
+}
