@@ -101,3 +101,21 @@ def test_mixture_of_the_corpus(spark, sf):
     goals = spark.createDataFrame([("a", 1.0, 3)], "source string, target_share double, max_repeats int")
     assert [tuple(r) for r in mixture.mix(docs, goals).collect()] == [(3, "a", 7, 1)]
     assert mixture.mix(docs.limit(0), goals).count() == 0 and mixture.mix(docs, goals.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", mojibake.MISREAD)
+def test_planted_misreadings_are_found_and_mostly_restored(name):
+    """Clean texts of the corpus, wholly and one word of each, with UTF-8 read as another encoding."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = [r[0] for r in duckdb.connect().execute("SELECT DISTINCT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE regexp_matches(text, '[^\\x00-\\x7F]') ORDER BY text").fetchall()]
+    clean = [t for t in texts if not mojibake.repair(t)[2]][:150]
+    signs = {b: c for c, b in reversed(mojibake.CODECS[name].bytes.items())}
+    show = lambda t: "".join(chr(b) if b < 128 else signs[b] for b in t.encode())
+    found = exact = n = 0
+    for t in clean:
+        at = next(i for i, c in enumerate(t) if ord(c) > 127)
+        a, b = t.rfind(" ", 0, at) + 1, t.find(" ", at) if " " in t[at:] else len(t)
+        for garbled in (show(t), t[:a] + show(t[a:b]) + t[b:]):
+            out, _, bad = mojibake.repair(garbled)
+            n, found, exact = n + 1, found + bad, exact + (out == t)
+    assert found >= 0.98 * n and exact >= (0.5 if name == "iso8859_15" else 0.97) * n
