@@ -122,6 +122,61 @@ def _prefixes(common: np.ndarray, t: float):
     return run
 
 
+#: Prefix tokens, and meetings of documents in their cells, that are looked at together.
+TOGETHER, MEETINGS = 1 << 19, 4_000_000
+
+
+def _meetings(t: float):
+    """(x, y, c, least) from rows (t, own, inner, id, n, p) in order of t and n: pairs that share c tokens of their prefixes
+    here, and how many tokens they must share in all. A pair of one block meets in its inner cell only."""
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, n, p, own, inner = (rows.column(c).to_numpy() for c in ("t", "n", "p", "own", "inner"))
+        n, p = n.astype(np.int64), p.astype(np.int64)
+        ids = rows.column("id").combine_chunks().dictionary_encode()
+        at = ids.indices.to_numpy().astype(np.int64)
+        run = np.cumsum(np.append(0, key[1:] != key[:-1])) << 32
+        # As y has at least t times the tokens of x, the rows that x can meet are those right before it.
+        low = np.searchsorted(run + n, run + np.ceil(n * t - 1e-9).astype(np.int64))
+        count = np.arange(len(n)) - low
+        upto = np.cumsum(count)
+        start = 0
+        while start < len(n):
+            end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + MEETINGS, side="right")))
+            x = np.repeat(np.arange(start, end), count[start:end])
+            y = np.arange(len(x)) - np.repeat(upto[start:end] - count[start:end] - (upto[start - 1] if start else 0), count[start:end]) + low[x]
+            start = end
+            need = np.ceil((n[x] + n[y]) * (t / (1 + t)) - 1e-9).astype(np.int64)
+            near = (p[x] <= n[x] - need + MATCHES) & (p[y] <= n[y] - need + MATCHES) & (inner[x] | (own[x] != own[y])) & (at[x] != at[y])
+            x, y, need = x[near], y[near], need[near]
+            both = at[x] * len(ids.dictionary) + at[y]
+            _, first, times = np.unique(both, return_index=True, return_counts=True)
+            if len(first):
+                take = lambda v: ids.dictionary.take(pa.array(at[v[first]]))  # noqa: E731,B023
+                yield pa.RecordBatch.from_arrays([take(x), take(y), pa.array(times.astype(np.int32)), pa.array(np.minimum(need[first], MATCHES).astype(np.int32))], ["x", "y", "c", "least"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.num_rows
+            if size >= TOGETHER:
+                rows = pa.Table.from_batches(held)
+                # The last token may go on in the next batch.
+                whole = int(np.searchsorted(rows.column(0).to_numpy(), held[-1].column(0)[-1].as_py()))
+                if whole:
+                    yield from pairs(rows.slice(0, whole))
+                held = rows.slice(whole).to_batches()
+                size -= whole
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return run
+
+
 class Similar:
     """Classes of equal shingle sets, and the links between their representatives.
 
@@ -170,21 +225,17 @@ class Similar:
         hot = cut(prefix.filter("many").groupBy("t").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK).select("t", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
         one = F.lit(1)
         if hot.isEmpty():
-            prefix = prefix.withColumn("blocks", one)
+            cells = prefix.select("t", F.lit(0).alias("own"), F.lit(True).alias("inner"), "id", "n", "p")
         else:
-            prefix = prefix.join(hot, "t", "left").withColumn("blocks", F.coalesce("blocks", one))
-        own, every = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        meeting = F.when(F.col("blocks") == 1, F.col("t")).otherwise(F.xxhash64("t", "i", "j")).alias("t")
-        # x is the larger of a pair: as y has at least t times its tokens, y's prefix can be the shorter one.
-        x = prefix.withColumn("i", own).withColumn("j", every).select(meeting, F.col("id").alias("x"), F.col("n").alias("nx"), F.col("p").alias("px"))
-        short = F.col("n") - _overlap(F.col("n"), F.col("n"), t) + MATCHES
-        y = prefix.filter(F.col("p") <= short).withColumn("j", own).withColumn("i", every).select(meeting, F.col("id").alias("y"), F.col("n").alias("ny"), F.col("p").alias("py"))
-        need = _overlap(F.col("nx"), F.col("ny"), t)
-        ordered = (F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x")))
-        near = ordered & (F.col("ny") >= F.lit(t) * F.col("nx") - 1e-9) & (F.col("px") <= F.col("nx") - need + MATCHES) & (F.col("py") <= F.col("ny") - need + MATCHES)
-        # Among the first n - need + MATCHES tokens of both, a pair that is similar shares MATCHES (or all it can have).
-        met = x.join(y, "t").filter(near).groupBy("x", "y").agg(F.count("*").alias("c"), F.min(F.least(F.lit(MATCHES), need)).alias("least"))
-        return met.filter("c >= least").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            cells = prefix.join(hot, "t", "left").withColumn("blocks", F.coalesce("blocks", one)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            cell = F.when(F.col("blocks") == 1, F.col("t")).otherwise(F.xxhash64("t", F.least("own", "other"), F.greatest("own", "other")))
+            cells = cells.select(cell.alias("t"), "own", (F.col("own") == F.col("other")).alias("inner"), "id", "n", "p")
+        # The documents of a cell come to one task in order of size: each meets the smaller ones before it.
+        kind = dict(prefix.dtypes)["id"]
+        met = cells.repartition("t").sortWithinPartitions("t", "n", "id").mapInArrow(_meetings(t), f"x {kind}, y {kind}, c int, least int")
+        ends = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("c").alias("c"), F.min("least").alias("least"))
+        return ends.filter("c >= least").select("a", "b")
 
     def pairs(self) -> DataFrame:
         """(a, b), a < b, of all documents that are similar: every link between representatives is expanded to all
