@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketlake.plans.session import cut
@@ -141,7 +141,8 @@ class Similar:
         t = threshold
         # Rows without a shingle leave only after the cut: a filter before it would compute all shingles twice.
         rows = cut(docs).filter(F.size("s") > 0)
-        self.members = cut(rows.select("id", F.min("id").over(Window.partitionBy("h")).alias("rep")).distinct())
+        least = rows.groupBy("h").agg(F.min("id").alias("rep"))
+        self.members = cut(rows.select("id", "h").join(least, "h").select("id", "rep").distinct())
         first = self.members.filter("id = rep").select("id")
         self.sets = cut(rows.join(first, "id", "left_semi").select("id", "s").dropDuplicates(["id"]))
         kind = dict(self.sets.dtypes)["id"]
