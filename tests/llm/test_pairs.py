@@ -132,3 +132,42 @@ def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     got = neardup.components(spark.range(202).select("id"), edges)
     assert {r.class_id for r in got.collect()} == {0, 201}
+
+
+def test_shuffle_follows_the_texts_and_not_the_meetings(spark):
+    """Every two texts share sentences, and none are similar: what leaves a task stays in proportion to the texts."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    sentences = [" ".join(f"v{w}" for w in rng.integers(0, 300, 12)) for _ in range(60)]
+    docs = [(i, " ".join(sentences[j] for j in rng.choice(60, 12, replace=False))) for i in range(800)]
+    docs += [(900 + i, docs[i][1] + " and more of it") for i in range(5)]
+    df = spark.createDataFrame(docs, "id long, text string").repartition(4)
+    sc = spark.sparkContext
+
+    def stages():
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), None)
+        return [found.apply(i) for i in range(found.size())]
+
+    last = max((s.stageId() for s in stages()), default=-1)
+    got = rows(neardup.Similar(neardup.documents(df, "id", F.col("text"), 3), 0.6).pairs())
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    written = sum(s.shuffleWriteBytes() for s in stages() if s.stageId() > last)
+    assert got == brute_pairs(docs, 3, 0.6)[0] and {(i, 900 + i) for i in range(5)} <= set(got)
+    assert written < 4096 * len(docs), written
+
+
+@pytest.mark.parametrize("hot", [2, 7])
+def test_tokens_of_many_documents_meet_in_blocks(spark, monkeypatch, hot):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neardup, "HOT", hot)
+    rng = np.random.default_rng(9)
+    docs = []
+    for g in range(12):
+        base = [f"w{w}" for w in rng.integers(0, 25, 30)]
+        docs += [(10 * g + k, " ".join(base[:k] + ["x"] * (k % 3) + base[k:])) for k in range(rng.integers(2, 8))]
+    docs += [(500, "ünï_code Words_here and_ more"), (501, "ÜNÏ code words here; and more"), (None, "ünï code words here and more")]
+    df = spark.createDataFrame(docs, "id long, text string")
+    got = neardup.Similar(neardup.documents(df, "id", F.col("text"), 2), 0.6)
+    assert rows(got.pairs()) == brute_pairs([(i, (t or "").replace("_", " ")) for i, t in docs if i is not None], 2, 0.6)[0]
