@@ -8,7 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import takewhile
+from itertools import chain, takewhile
 
 import numpy as np
 import pandas as pd
@@ -31,29 +31,42 @@ _EMAIL_LOCAL = re.compile(rf"(?<![\w+%-]){_LOCAL}(?=(?:\s*@\s*|\s*[\[({{<]\s*at\
 _SPOKEN_LOCAL = re.compile(rf"[\w+%-]+(?:\s+dot\s+[\w+%-]+|\.[\w+%-]+)*(?=\s+at\s+[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*{_DOT}[a-z]{{2,}}\b)", re.I)
 _AT = re.compile(r"@|[\[({<]\s*at\s*[\])}>]", re.I)
 _AT_WORD = re.compile(r"\bat\s+[\w-]+(?:\.[a-z]|\s+dot\b|\s*[\[({<]\s*dot)", re.I)
-_DIGITS = re.compile(r"\d[\d\s().-]{5,}\d|\d{4}")
+_DOT_NEXT = re.compile(r"\.(?i:[a-z])")
+_DIGITS = re.compile(r"\d(?:[\d\s().-]{5,}\d|\d{3})")
+_EIGHT = re.compile(r"\d(?:[ \t.()-]{0,4}\d){7}")
 _PHONE = re.compile(r"(?<![\w₹.,/+-])(?:\+\s?\d|\(\s?\+?\d|\d)(?:[ \t.-]{0,2}[()]?[ \t]?\d){7,15}(?!\w|[.,/-]\d)")
 _DAY = re.compile(r"\d{4}-\d\d-\d\d|\d\d?\s?[.-]\s?\d\d?\s?[.-]\s?\d{4}")
 _IDS = tuple(
     re.compile(rf"(?<![\w/-])(?:{x})(?![\w]|[/-]\w)", re.I)
     for x in (r"[a-z]{5}[ -]{0,2}\d{4}[ -]{0,2}[a-z]", r"\d{4}([ -]{0,2})\d{4}\1\d{4}", r"\d{8}", r"[a-z]\d{7}", r"[a-z]{3}\d{7}", r"[a-z]{2}\d{6,8}")
 )
-_ID_HINT = re.compile(r"\d{4}(?:\d\d|[ -]{1,2}\d{4}|[ -]{0,2}[A-Za-z](?![A-Za-z]))")
+_ID_HINTS = tuple(re.compile(x) for x in (r"\d\d{3}[ -]{0,2}(?i:[a-z])", r"\d(?<![\w/-].)\d{3}[ -]{0,2}\d{4}[ -]{0,2}\d{4}", r"\d(?<![\w/-].)\d{7}", r"\d(?<=(?i:[a-z]).)\d{6}", r"\d(?<=(?i:[a-z]{3}).)\d{6}", r"\d(?<=(?i:[a-z]{2}).)\d{5}"))
+_ID_HINT = re.compile(r"\d\d{3}(?:\d\d|[ -]{1,2}\d{4}|[ -]{0,2}[A-Za-z](?![A-Za-z]))")
 _HOUSE = r"(?:(?:flat|plot|house|door|villa|shop|apartment|unit|bungalow|quarter|block|h)\s*\.?\s*(?:no|number|#)?\s*\.?\s*[a-z]?-?\d[\w/-]*|\d{1,4}(?:/\d+)*[a-z]?(?:-[a-z0-9]+)?(?=\s*,|\s+[A-Z]))"
 _HOUSE_AT, _STREET_AT = re.compile(rf"(?i:{_HOUSE})"), re.compile(r"[A-Z][\w\s]+,\s*\d")
 _PART = r"(?:\d{1,4}(?:st|nd|rd|th)?\s+)?[A-Z][A-Za-z’']*(?:\s+(?:[A-Z][A-Za-z’']*|of|the)){0,4}(?:\s+\d{1,3}(?!\s?\d))?"
 _PIN = r"(?:\s*[,–-]?\s*(?:PIN(?:\s*code)?\s*[:.-]?\s*)?\d{3}\s{0,2}\d{3}(?!\d))"
 _ADDRESS = re.compile(rf"(?<![\w/,.])(?:(?i:{_HOUSE})(?:\s*,\s*|\s+(?=[A-Z]))|(?=[A-Z][a-z]+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\s*,\s*\d)){_PART}(?:\s*,\s*(?!PIN){_PART}){{1,5}}{_PIN}?")
-_ADDRESS_HINT = re.compile(r"\d[^,]{0,40},\s*(?:\d|[A-Z])|,\s*\d")
+_NUMBER_START = re.compile(r"[\dA-Z](?<![\w/,.].)(?:(?<=\d)|(?=[a-z]+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\s*,\s*\d))")
+_HOUSE_START = re.compile(r"[\dA-Zfphdvsaubqſ](?<![\w/,.].)(?:(?<=\d)|(?<=[A-Z])(?=[a-z]+\s+[A-Z][a-z])|(?i:(?<=f)lat|(?<=p)lot|(?<=h)|(?<=d)oor|(?<=v)illa|(?<=s)hop|(?<=a)partment|(?<=u)nit|(?<=b)(?:ungalow|lock)|(?<=q)uarter))")
+_HOUSE_WORDS, _HOUSE_LETTER = ("flat", "plot", "house", "door", "villa", "shop", "apartment", "unit", "bungalow", "quarter", "block"), re.compile(r"h\s*\.?\s*(?:no|number|#)?\s*\.?\s*[a-z]?-?\d")
+_ADDRESS_HINTS = re.compile(r",\s*\d"), re.compile(r"\d[^,]{0,40},\s*[\dA-Z]")
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Shri|Sri|Smt|Kumari|Kum|Adv|Advocate|Prof|Professor|Justice|Hon'ble|Sir|Madam|Sh)"
-_TITLED = re.compile(rf"\b(?:{_TITLE}|MRS?|MS|DR|SHRI|SRI|SMT|KUMARI|ADV|PROF|JUSTICE|shri|smt|sri|mrs?|ms|dr|kumari|adv|prof|justice)\b(?:\s*\.)?\s*(?=[A-Z])")
+_HIGH_TITLES, _LOW_TITLES = [*_TITLE[3:-1].split("|"), *"MRS? MS DR SHRI SRI SMT KUMARI ADV PROF JUSTICE".split()], "shri smt sri mrs? ms dr kumari adv prof justice".split()
+_TITLED, _HIGH_TITLED = (re.compile("(?:" + "|".join(rf"{x[0]}(?<!\w.){x[1:]}" for x in titles) + r")\b(?:\s*\.)?\s*(?=[A-Z])") for titles in ([*_HIGH_TITLES, *_LOW_TITLES], _HIGH_TITLES))
+_LOW_TITLE = re.compile(r"(?:shri|s[mr]t|sri|mrs?|ms|dr|kumari|adv|prof|justice)[\s.]+[A-Z]")
 _TOKEN = r"(?:(?:[A-Z]['’])?[A-Z][a-z]+(?:-[A-Z][a-z]+)?|[A-Z]{2,}|[A-Z](?:\s?\.|(?=\s)))"
 _RUN = re.compile(rf"(?<![\w@.-])(?:{_TOKEN}(?:\s*,\s+|\s+|(?<=\.)))+{_TOKEN}(?![\w@])(?!\.\w)")
+_RUN_START = re.compile(r"[A-Z](?<![\w@.-].)")
 _NAME_AT = re.compile(rf"{_TOKEN}(?:(?:\s+|(?<=\.)){_TOKEN}){{0,3}}")
 _SPLIT = re.compile(rf"{_TOKEN}")
+_COMMA_TOKEN = re.compile(rf"\s*,\s+{_TOKEN}")
 _COMPANY = re.compile(r"\s*(?:[A-Z][\w&’'-]*\s+){0,4}(?:Ltd|Limited|LLP|LLC|Inc|Pvt|Private|Corp|Corporation|Company|GmbH|Bank|Trust|Industries|Holdings|Foundation|Society)\b", re.I)
 _COMPANY_IN = re.compile(r"\b(?:Ltd|Limited|LLP|LLC|Inc|Pvt|Private|Corp|Corporation|GmbH|Bank|Trust|Industries|Holdings|Foundation)\b", re.I)
-_FIRM_WORD = re.compile(r"([A-Z][A-Za-z]{2,})\s+(?:Ltd|Limited|LLP|LLC|Inc|Pvt|Private|Corp|Corporation|GmbH|Industries|Holdings)\b", re.I)
+_FIRM_WORD = re.compile(r"(?<![A-Z])([A-Z]{3,}+)\s+(?:Ltd|Limited|LLP|LLC|Inc|Pvt|Private|Corp|Corporation|GmbH|Industries|Holdings)\b", re.I)
+#: A part, in lower case, of every legal form above; those of _FIRM_WORD come first.
+_FORMS = ("ltd", "limited", "llp", "llc", "inc", "pvt", "private", "corp", "gmbh", "industries", "holdings", "company", "bank", "trust", "foundation", "society")
+_FIRM_FORMS = _FORMS[:11]
 _STREET = re.compile(r"\b(?:road|street|lane|avenue|marg|cross|sector|nagar|colony|enclave|towers?|heights|court|apartments?|residency|phase|layout|block|market|chowk|bazaar|path|gali)\b", re.I)
 _OFFICE = re.compile(r"\b(?:chairman|chairperson|president|registrar|members?|director|counsel|liquidator|secretary|judge|speaker|commissioner|resolution|professional|technical|judicial|officer|solicitor|attorney)\b", re.I)
 _MONTH = re.compile(r"\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\b", re.I)
@@ -89,23 +102,51 @@ class Words:
     firm: frozenset[str] = frozenset()
 
 
+# Searches below are as those of the pattern alone; what comes before them only tells where it can't match, at less cost.
+
+
+def _lowered(text: str) -> str:
+    """In lower case, with the signs that match i and s where case is ignored in their place."""
+    if "İ" in text or "ı" in text or "ſ" in text:
+        text = text.replace("İ", "i").replace("ı", "i").replace("ſ", "s")
+    return text.lower()
+
+
+def _has_at(text: str) -> bool:
+    return "@" in text or (("(" in text or "[" in text or "<" in text or "{" in text) and bool(_AT.search(text)))
+
+
+def _has_at_word(text: str, low: str) -> bool:
+    return "at" in low and ("dot" in low or bool(_DOT_NEXT.search(text))) and bool(_AT_WORD.search(text))
+
+
+def _all(pattern: re.Pattern, starts: re.Pattern, text: str) -> Iterator[re.Match]:
+    """pattern.finditer(text), tried only where `starts` allows."""
+    end = 0
+    for s in starts.finditer(text):
+        if s.start() >= end and (m := pattern.match(text, s.start())):
+            end = m.end()
+            yield m
+
+
 def propose(text: str, common: frozenset[str]) -> list[Span]:
     """Overlapping spans that may be personal information. High recall; the trees choose."""
-    out = []
-    if _AT.search(text):
+    out, low = [], _lowered(text)
+    if _has_at(text):
         out += [Span(0, 0 if "@" in m[0] else 1, m.start(), m.end()) for m in _EMAIL.finditer(text)]
-    if _AT_WORD.search(text):
+    if _has_at_word(text, low):
         out += [Span(0, 2, m.start(), m.end()) for m in _SPOKEN.finditer(text)]
     if _DIGITS.search(text):
-        for m in _PHONE.finditer(text):
+        for m in _PHONE.finditer(text) if _EIGHT.search(text) else ():
             if not _DAY.match(m[0]):
                 head = m[0].lstrip("( ")
                 # A bracket that closes behind the number is not its own.
                 start = m.start() if m[0].count("(") == m[0].count(")") else m.end() - len(head)
                 out.append(Span(1, 0 if head[0] == "+" else 1 if head.startswith("00") else 2 if head[0] == "0" else 3, start, m.end()))
         for form, pattern in enumerate(_IDS) if _ID_HINT.search(text) else ():
-            out += [Span(2, form, m.start(), m.end()) for m in pattern.finditer(text)]
-    for m in _ADDRESS.finditer(text) if _ADDRESS_HINT.search(text) else ():
+            if _ID_HINTS[form].search(text):
+                out += [Span(2, form, m.start(), m.end()) for m in pattern.finditer(text)]
+    for m in _all(_ADDRESS, _HOUSE_START if any(x in low for x in _HOUSE_WORDS) or _HOUSE_LETTER.search(low) else _NUMBER_START, text) if any(x.search(text) for x in _ADDRESS_HINTS) else ():
         s = m[0]
         out.append(Span(3, 0, m.start(), m.end()))
         # Up to each comma, and up to the last words too: the end may be no part of the address.
@@ -113,22 +154,23 @@ def propose(text: str, common: frozenset[str]) -> list[Span]:
         bare = re.sub(rf"{_PIN}$", "", s)
         if len(bare) == len(s):
             out += [Span(3, 2, m.start(), m.start() + w.start()) for w in list(re.finditer(r"\s+", bare))[-2:] if bare.rfind(",") < w.start() - 1]
-    for m in _TITLED.finditer(text):
+    for m in (_TITLED if _LOW_TITLE.search(text) else _HIGH_TITLED).finditer(text):
         n = _NAME_AT.match(text, m.end())
         if n:
             tokens = [t.end() for t in takewhile(lambda t: not _NO_NAME.fullmatch(t[0]), _SPLIT.finditer(text, n.start(), n.end()))]
             if not tokens:
                 continue
             out += [Span(4, 0, n.start(), e) for e in tokens[:5]]
-            rest = re.compile(rf"\s*,\s+{_TOKEN}").match(text, tokens[0])
+            rest = _COMMA_TOKEN.match(text, tokens[0])
             if rest:
                 out.append(Span(4, 1, n.start(), rest.end()))
-    for m in _RUN.finditer(text):
-        # A run that is or leads into a company's name holds no person's.
-        if _COMPANY_IN.search(m[0]) or _COMPANY.match(text, m.end()):
-            continue
+    firms = any(x in low for x in _FORMS)
+    for m in _all(_RUN, _RUN_START, text):
         tokens = [(t.start(), t.end()) for t in _SPLIT.finditer(text, m.start(), m.end())]
         rare = [not _is_common(text[a:b], common) for a, b in tokens]
+        # A run that is or leads into a company's name holds no person's.
+        if not any(a and b for a, b in zip(rare, rare[1:])) or (firms and (_COMPANY_IN.search(m[0]) or _COMPANY.match(text, m.end()))):
+            continue
         for i in range(len(tokens)):
             if not rare[i]:
                 continue
@@ -415,12 +457,19 @@ def train(words: Words, texts: int = TRAINING_TEXTS, seed: int = 11) -> Model:
 def _words(text: str) -> set[str]:
     """Words of a text without the local parts of its e-mail addresses, which are often names: in lower case, with a
     capital, and, marked by a sign, before the legal form of a firm."""
-    if _AT.search(text):
+    if _has_at(text):
         text = _EMAIL_LOCAL.sub("@", text)
-    if _AT_WORD.search(text):
+    low = _lowered(text)
+    if _has_at_word(text, low):
         text = _SPOKEN_LOCAL.sub("@", text)
-    firms = _FIRM_WORD.findall(text) if _COMPANY_IN.search(text) else ()
-    return {*_LOWER.findall(text), *(w.title() for w in _CAPITAL.findall(text)), *("&" + w.title() for w in firms)}
+    firms = _FIRM_WORD.findall(text) if any(x in low for x in _FIRM_FORMS) else ()
+    return {*chain.from_iterable(map(_token_words, set(text.split()))), *("&" + w.title() for w in firms)}
+
+
+@lru_cache(maxsize=1 << 18)
+def _token_words(token: str) -> tuple[str, ...]:
+    """Of what stands between blanks: no word holds or looks beyond one."""
+    return (*_LOWER.findall(token), *(w.title() for w in _CAPITAL.findall(token)))
 
 
 def as_words(found: list[str]) -> Words:

@@ -71,3 +71,39 @@ def test_common_words_come_from_every_distinct_text(spark, monkeypatch):
     assert {"the", "case", "went", "on", "astray"} <= common.lower
     assert not common.lower & {"marin", "parcel", "oskar", "ilse", "vell", "amiss"}
     assert personal.fitted(df.limit(0)) == personal.Words(frozenset())
+
+
+def test_costly_patterns_run_only_where_they_can_match(monkeypatch):
+    class Never:
+        def search(self, *_):
+            pytest.fail("ran in vain")
+
+        findall = finditer = match = search
+
+    for name in ("_AT", "_AT_WORD", "_EMAIL", "_SPOKEN", "_PHONE", "_ADDRESS", "_COMPANY_IN", "_COMPANY", "_FIRM_WORD"):
+        monkeypatch.setattr(personal, name, Never())
+    text = "The clerk of Kallova said that 9.5 per cent fell due. Both Sides left at noon."
+    assert personal.propose(text, frozenset({"both", "sides", "the"})) == []
+    assert personal._words(text) >= {"clerk", "said", "noon", "Kallova", "Sides"}
+
+
+def test_gates_lose_no_match():
+    import random
+    import re
+
+    r = random.Random(4)
+    pieces = ["at", "dot", " at ", " dot ", "Ltd", "Lımıted", "İnc", "Pvt", "Mr", "Mrs.", "dr", "shri", "Smt", "Hon'ble", "Flat 3", "h. no. 4", "Shop 12", "ſhop 3", "MG Road, 5", "12", "1234", "5678 9012", "abcde1234f", "(091)", "+91", " ", "  ", "\n", ", ", ".", "@", "[at]", "Kumar", "Ana Bel", "ANA", "A.", "O'Neil", "of", "é", "_", "-", "/", "Bank", "K."]
+    made = personal._Maker(3)
+    texts = [made.text()[0] for _ in range(500)] + ["".join(r.choice(pieces) for _ in range(r.randrange(1, 30))) for _ in range(8000)]
+    firm = re.compile(r"([A-Z][A-Za-z]{2,})\s+(?:Ltd|Limited|LLP|LLC|Inc|Pvt|Private|Corp|Corporation|GmbH|Industries|Holdings)\b", re.I)
+    at = lambda found: [(m.start(), m.end()) for m in found]
+    for t in texts:
+        low = personal._lowered(t)
+        assert personal._has_at(t) == bool(personal._AT.search(t)) and personal._has_at_word(t, low) == bool(personal._AT_WORD.search(t))
+        assert at(personal._all(personal._RUN, personal._RUN_START, t)) == at(personal._RUN.finditer(t))
+        assert at(personal._all(personal._ADDRESS, personal._HOUSE_START, t)) == at(personal._ADDRESS.finditer(t))
+        assert personal._EIGHT.search(t) or not personal._PHONE.search(t)
+        assert all(gate.search(t) or not p.search(t) for p, gate in zip(personal._IDS, personal._ID_HINTS))
+        assert any(f in low for f in personal._FORMS) or not (personal._COMPANY_IN.search(t) or personal._COMPANY.search(t))
+        assert personal._FIRM_WORD.findall(t) == firm.findall(t)
+        assert {w for x in t.split() for w in personal._token_words(x)} == {*personal._LOWER.findall(t), *(w.title() for w in personal._CAPITAL.findall(t))}
